@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +43,28 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(d.itemsize, -1).T).view(d).ravel()
 
 
-_BLOCK = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
-_STARTS = pa.schema([("k", pa.int64()), ("starts", pa.list_(pa.int32()))])
+_BLOCK = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+_FOUND = pa.schema([("slice", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+_SPANS = pa.schema([("k", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
-def _pack_starts(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch | None:
-    """Rows (key, starts) from places in the concatenation of documents of the given sizes."""
-    if not len(places):
-        return None
-    places = np.sort(places).astype(np.int64)
+def _listed(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+    """Keys and sizes of the documents that have one of the places, and the places counted along those alone."""
     begin = np.cumsum(sizes) - sizes
     doc = np.searchsorted(begin, places, "right") - 1
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    offsets = np.r_[first, len(doc)].astype(np.int32)
-    starts = (places - begin[doc]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(keys[doc[first]].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts))], schema=_STARTS)
+    used = np.unique(doc)
+    moved = np.cumsum(sizes[used]) - sizes[used]
+    at = places - begin[doc] + moved[np.searchsorted(used, doc)]
+    return keys[used].tobytes(), _planes(sizes[used].astype(np.uint32)), at.astype(np.uint32)
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Sorted places by their differences, which are small."""
+    return _planes(np.diff(places, prepend=np.uint32(0)))
+
+
+def _unsteps(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(b, np.uint32), dtype=np.int64)
 
 
 def _blocks(width: int, parts: int):
@@ -92,23 +99,17 @@ def _blocks(width: int, parts: int):
                 h = h[first]
                 part = ((h >> U64(32)) * U64(parts)) >> U64(32)
                 cuts = np.searchsorted(part, np.arange(parts + 1, dtype=U64))
-                begin = end - sizes
-                out: list[list] = [[], [], [], [], []]
+                name = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
+                out: list[list] = [[] for _ in _BLOCK]
                 for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
                     hs, ps = h[cuts[p] : cuts[p + 1]], at[cuts[p] : cuts[p + 1]].copy()
                     own = ps != KNOWN
-                    doc = np.searchsorted(begin, ps[own], "right") - 1
-                    used = np.unique(doc)  # only documents with a window in this range are listed
-                    moved = np.cumsum(sizes[used]) - sizes[used]
-                    ps[own] = ps[own] - begin[doc].astype(np.uint32) + moved[np.searchsorted(used, doc)].astype(np.uint32)
-                    for o, x in zip(out, (int(p), keys[used].tobytes(), _planes(sizes[used].astype(np.uint32)), _planes(hs), _planes(ps)), strict=True):
+                    listed, its_sizes, ps[own] = _listed(keys, sizes, ps[own].astype(np.int64))
+                    for o, x in zip(out, (int(p), name, listed, its_sizes, _planes(hs), _planes(ps)), strict=True):
                         o.append(x)
-                if len(known):  # repeated within the slice: passes through to its documents
-                    doc = np.searchsorted(begin, known, "right") - 1
-                    used = np.unique(doc)
-                    moved = np.cumsum(sizes[used]) - sizes[used]
-                    ps = (known - begin[doc] + moved[np.searchsorted(used, doc)]).astype(np.uint32)
-                    for o, x in zip(out, (int(keys[0]) % parts, keys[used].tobytes(), _planes(sizes[used].astype(np.uint32)), None, _planes(ps)), strict=True):
+                if len(known):  # repeated within the slice: goes on to its documents as it is
+                    listed, its_sizes, ps = _listed(keys, sizes, np.sort(known).astype(np.int64))
+                    for o, x in zip(out, (name % parts, name, listed, its_sizes, None, _steps(ps)), strict=True):
                         o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _BLOCK, strict=True)], schema=_BLOCK)
 
@@ -116,19 +117,21 @@ def _blocks(width: int, parts: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of hash values: the places of windows whose hash occurs in it more than once."""
+    """One range of hash values: for each slice, the places of its windows whose hash occurs more than once."""
     tables, hashes, places, owner = [], [], [], []
     for batch in batches:
-        for k, s, h, p in zip(*(column(batch, c).to_pylist() for c in ("keys", "sizes", "hashes", "places")), strict=True):
-            keys, sizes, at = np.frombuffer(k, np.int64), _unplanes(s, np.uint32).astype(np.int64), _unplanes(p, np.uint32)
-            if h is None:
-                if (b := _pack_starts(keys, sizes, at)) is not None:
-                    yield b
+        passed: list[list] = [[], [], [], []]
+        for row in zip(*(column(batch, c).to_pylist() for c in ("slice", "keys", "sizes", "places", "hashes")), strict=True):
+            if row[4] is None:
+                for o, x in zip(passed, row, strict=False):
+                    o.append(x)
                 continue
-            tables.append((keys, sizes))
-            hashes.append(_unplanes(h, U64))
-            places.append(at)
-            owner.append(len(at))
+            tables.append(row[:3])
+            hashes.append(_unplanes(row[4], U64))
+            places.append(_unplanes(row[3], np.uint32))
+            owner.append(len(places[-1]))
+        if passed[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(passed, _FOUND, strict=True)], schema=_FOUND)
     if not hashes:
         return
     h, at = np.concatenate(hashes), np.concatenate(places)
@@ -140,55 +143,81 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = order[np.r_[False, same] | np.r_[same, False]]
     many = np.sort(many[at[many] != KNOWN])
     cuts = np.searchsorted(own[many], np.arange(len(tables) + 1))
-    for i, (keys, sizes) in enumerate(tables):
-        if (b := _pack_starts(keys, sizes, at[many[cuts[i] : cuts[i + 1]]])) is not None:
-            yield b
+    out: list[list] = [[], [], [], []]
+    for i, (name, keys, sizes) in enumerate(tables):
+        if cuts[i + 1] > cuts[i]:
+            found = np.sort(at[many[cuts[i] : cuts[i + 1]]]).astype(np.int64)
+            listed, its_sizes, ps = _listed(np.frombuffer(keys, np.int64), _unplanes(sizes, np.uint32).astype(np.int64), found)
+            for o, x in zip(out, (name, listed, its_sizes, _steps(ps)), strict=True):
+                o.append(x)
+    yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
+
+
+def _merged(width: int):
+    """Sorted by slice: a row for each document, with the maximal intervals that its repeated windows cover."""
+
+    def spans(keys: list[np.ndarray], starts: list[np.ndarray]) -> pa.RecordBatch:
+        k, s = np.concatenate(keys), np.concatenate(starts)
+        order = np.lexsort((s, k))
+        k, s = k[order], s[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] > s[:-1] + width)]
+        last = np.r_[np.flatnonzero(new)[1:] - 1, len(k) - 1]
+        pairs = np.stack([s[new], s[last] + width], axis=1).astype(np.int32)
+        k = k[new]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        offsets = np.r_[2 * first, 2 * len(k)].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs.ravel()))], schema=_SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, starts = None, [], []
+        for batch in batches:
+            for name, k, n, p in zip(*(column(batch, c).to_pylist() for c in ("slice", "keys", "sizes", "places")), strict=True):
+                if name != at and keys:
+                    yield spans(keys, starts)
+                    keys, starts = [], []
+                at = name
+                sizes, places = _unplanes(n, np.uint32).astype(np.int64), _unsteps(p)
+                begin = np.cumsum(sizes) - sizes
+                doc = np.searchsorted(begin, places, "right") - 1
+                keys.append(np.frombuffer(k, np.int64)[doc])
+                starts.append(places - begin[doc])
+        if keys:
+            yield spans(keys, starts)
 
+    return run
 
-def repeated_windows(docs: DataFrame, width: int = 35) -> DataFrame:
-    """(k, starts): for each row key of docs(k, text), starts of its windows that occur more than once.
+
+def repeated_spans(docs: DataFrame, width: int = 35) -> DataFrame:
+    """(k, spans): for each row key of docs(k, text), flat [from, to) pairs of words that repeated windows cover.
 
     Hash values are cut into as many equal ranges as there are shuffle partitions. A slice of
     documents sends each of its distinct hashes once, as packed 8-byte values with 4-byte places, so a
-    passage that a third of the corpus shares adds one value for each slice, not for each document."""
+    passage that a third of the corpus shares adds one value for each slice, not for each document. What is
+    repeated goes back to the slices, a row for each slice and range, and is merged there."""
     parts = parallelism(docs.sparkSession)
-    packed = docs.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(width, parts), "part int, keys binary, sizes binary, hashes binary, places binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(_repeated, "k bigint, starts array<int>")
-
+    packed = docs.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(width, parts), "part int, slice bigint, keys binary, sizes binary, hashes binary, places binary")
+    found = packed.repartitionById(parts, F.col("part")).mapInArrow(_repeated, "slice bigint, keys binary, sizes binary, places binary")
+    return found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_merged(width), "k bigint, spans array<int>")
 
-def covered(starts: list[int], width: int, n: int) -> np.ndarray:
-    """Mask of the words that lie in a window at one of `starts`."""
-    edge = np.zeros(n + 1, np.int64)
-    s = np.unique(np.asarray(starts, np.int64))
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + width, -1)
-    return np.cumsum(edge)[:n] > 0
 
-
-def _cut(width: int):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("intervals", pa.list_(pa.list_(pa.int32())))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
-                out: list[list] = [[], [], [], []]
-                for text, lists in zip(texts, column(rows, "lists").to_pylist(), strict=True):
-                    words = text.split() if text else []
-                    n, spans = len(words), []
-                    if lists:
-                        gone = covered([x for part in lists for x in part], width, n)
-                        edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                        spans = edges.reshape(-1, 2).tolist()
-                        kept, at = [], 0
-                        for a, b in spans:
-                            kept += words[at:a]
-                            at = b
-                        words = kept + words[at:]
-                    for o, x in zip(out, (n, n - len(words), b" ".join(words), spans), strict=True):
-                        o.append(x)
-                yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), *(pa.array(o, f.type) for o, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
-
-    return run
+    for batch in batches:
+        for rows, texts in text_slices(batch, "text"):
+            out: list[list] = [[], [], [], []]
+            for text, flat in zip(texts, column(rows, "spans").to_pylist(), strict=True):
+                words = text.split() if text else []
+                n, spans = len(words), []
+                if flat:
+                    spans = [flat[i : i + 2] for i in range(0, len(flat), 2)]
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept += words[at:a]
+                        at = b
+                    words = kept + words[at:]
+                for o, x in zip(out, (n, n - len(words), b" ".join(words), spans), strict=True):
+                    o.append(x)
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), *(pa.array(o, f.type) for o, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
 
 
 def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -200,10 +229,6 @@ def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
     windows; null doc_ids stay rows of their own. Words are compared as bytes. Sequences are told
     apart by 64-bit polynomial hashes over 64-bit word hashes."""
     docs = docs.select("doc_id", "text").withColumn("k", row_key())
-    starts = repeated_windows(docs, width).groupBy("k").agg(F.collect_list("starts").alias("lists"))
-    joined = docs.join(starts, "k", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "lists")
-    return joined.mapInArrow(_cut(width), "doc_id bigint, n_words bigint, n_removed bigint, kept binary, intervals array<array<int>>").withColumn("kept", F.col("kept").cast("string"))
-
-
-def sha256_hex(b: bytes) -> str:
-    return hashlib.sha256(b).hexdigest()
+    spans = repeated_spans(docs, width).dropDuplicates(["k"])  # rows repeated whole have one key and equal spans
+    joined = docs.join(spans, "k", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    return joined.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept binary, intervals array<array<int>>").withColumn("kept", F.col("kept").cast("string"))
