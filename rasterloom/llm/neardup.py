@@ -25,9 +25,8 @@ COORDS, MATCHES, SEED = 48, 24, 7
 PREFIX = COORDS - MATCHES + 1
 #: The broadcast table of frequent postings has at most this many 16-byte entries, by its threshold.
 FREQUENT_POSTINGS = 200_000
-#: Members of a star that one task confirms against its centre.
-STAR_ROWS = 2_000
-STAR_ROUNDS = 4
+#: Posting lists up to SHORT classes give pairs; longer ones groups, cut into blocks of about BLOCK members.
+SHORT, BLOCK = 8, 1_000
 
 _B = [U64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)]
 _SALTS = mix64(np.arange(1, COORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(SEED))
@@ -95,25 +94,95 @@ def _prefixes(shared):
     return run
 
 
+def _counts(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, as a product of their 0/1 matrices over common members."""
+    values, place = np.unique(np.concatenate(own + other), return_inverse=True)
+    cut = sum(map(len, own))
+    mine, theirs = np.bincount(place[:cut], minlength=len(values)), np.bincount(place[cut:], minlength=len(values))
+    common = np.flatnonzero((mine > 0) & (theirs > 0))
+    rank = np.full(len(values), -1, np.int64)
+    rank[common] = np.arange(len(common))
+    out = np.zeros((len(own), len(other)), np.float32)
+    rows = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.repeat(np.arange(len(other)), [len(x) for x in other])
+    at = rank[place[:cut]], rank[place[cut:]]
+    for lo in range(0, len(common), 4096):
+        parts = []
+        for n, r, x in zip((len(own), len(other)), rows, at, strict=True):
+            hit = (x >= lo) & (x < lo + 4096)
+            m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
+            m[r[hit], x[hit] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links(centre: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Spanning links among the centre (-1) and members, numbered through left and right; same: right is left.
+
+    Members linked to the centre need no link among themselves. By the triangle inequality of the Jaccard
+    distance, members whose distances to the centre differ by more than the limit aren't linked."""
+    sets = left if same else left + right
+    size = np.array([len(x) for x in sets])
+    both = np.array([len(np.intersect1d(centre, x, assume_unique=True)) for x in sets])
+    union = size + len(centre) - both
+    label = np.arange(len(sets))
+    near = 100 * both >= percent * union
+    for i in np.flatnonzero(near):
+        yield -1, int(i)
+    label[near] = len(sets)
+    far = 1 - both / union
+    cols = np.arange(len(left)) if same else np.arange(len(left), len(sets))
+    for lo in range(0, len(left), 256):
+        rows = np.arange(lo, min(lo + 256, len(left)))
+        ask = (~near[rows][:, None] | ~near[cols][None, :]) & (np.abs(far[rows][:, None] - far[cols][None, :]) <= 1 - percent / 100 + 1e-9) & (rows[:, None] != cols[None, :])
+        rows, ask = rows[ask.any(axis=1)], ask[ask.any(axis=1)]
+        if not len(rows):
+            continue
+        use = ask.any(axis=0)
+        n = _counts([sets[i] for i in rows], [sets[j] for j in cols[use]])
+        hit = np.zeros(ask.shape, bool)
+        hit[:, use] = 100 * n >= percent * (size[rows][:, None] + size[cols[use]][None, :] - n)
+        hit &= ask
+        for i, line in zip(rows.tolist(), hit, strict=True):
+            for j in cols[line].tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    yield i, j
+
+
 def _confirm(size: int, percent: int):
-    """Sorted by (star, salt): the centre's text comes first, then members; each is compared with the centre."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
+    """Sorted by (p, i, j): one pair of blocks of a group, the centre's text first, then members; links that span it."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, np.zeros(0, U64)
+        at, centre, names, sets, sides = None, None, [], [], []
+
+        def done() -> list[tuple[int, int]]:
+            if centre is None or not names:
+                return []
+            order = sorted(range(len(names)), key=lambda x: sides[x])
+            cut = sum(not x for x in sides)
+            c, s = [names[x] for x in order], [sets[x] for x in order]
+            same = at[1] == at[2]
+            found = _links(centre, s if same else s[:cut], [] if same else s[cut:], same, percent)
+            return [(at[0] if x < 0 else c[x], c[y]) for x, y in found]
+
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for p, c, t in zip(*(column(batch, x).to_pylist() for x in ("p", "c", "text")), strict=True):
-                s = shingles(t, size)
+            out = []
+            for p, i, j, c, side, t in zip(*(column(batch, x).to_pylist() for x in ("p", "i", "j", "c", "side", "text")), strict=True):
+                if (p, i, j) != at:
+                    out += done()
+                    at, centre, names, sets, sides = (p, i, j), None, [], [], []
+                own = shingles(t, size)
                 if c is None:
-                    centre, own = p, s
-                    continue
-                if p != centre:
-                    raise RuntimeError("a member came without its centre")
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                for o, x in zip(out, (p, c, 100 * both >= percent * (len(own) + len(s) - both)), strict=True):
-                    o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+                    centre = own
+                else:
+                    names.append(c)
+                    sets.append(own)
+                    sides.append(side)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
+        out = done()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
 
     return run
 
@@ -124,28 +193,29 @@ def _matching(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("s1", "s2")) >= MATCHES).select("p", "c")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v, linked) of pairs(p, c), from full sets. A star is dealt out in parts of about STAR_ROWS members, each with the centre's text."""
-    stars = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("parts"))
-    centres = stars.join(texts, stars["p"] == texts["c"]).select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("c"), "text")
-    members = pairs.join(stars, "p").select("p", F.pmod(F.hash("c"), "parts").alias("salt"), "c").join(texts, "c").select("p", "salt", "c", "text")
-    rows = centres.unionByName(members).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("c").asc_nulls_first())
-    return rows.mapInArrow(_confirm(size, percent), "u bigint, v bigint, linked boolean")
-
+def _confirmed(groups: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): spanning links of the groups(p, c), each a centre and members that are all to be compared.
 
-def _centres(lists: DataFrame) -> DataFrame:
-    """(t, p): the most central class of each posting list that has several classes."""
-    return lists.groupBy("t").agg(F.max_by("c", "central").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "p")
+    A group is cut into blocks of about BLOCK members; each pair of blocks is a part that one task reads, with the
+    centre's text, so that a large group spreads over many tasks and none holds more than two blocks."""
+    need = groups.select("c").unionByName(groups.select(F.col("p").alias("c"))).distinct().join(reps.select("c", "k"), "c")
+    texts = docs.join(need, "k").select("c", F.col("text").cast("binary").alias("text")).dropDuplicates(["c"])
+    blocks = groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    pair = "explode(flatten(transform(sequence(0, n - 1), i -> transform(sequence(i, n - 1), j -> struct(i, j)))))"
+    centres = blocks.join(texts.withColumnRenamed("c", "p"), "p").select("p", F.expr(pair).alias("x"), "text")
+    centres = centres.select("p", "x.i", "x.j", F.lit(None).cast("bigint").alias("c"), F.lit(0).alias("side"), "text")
+    members = groups.join(blocks, "p").join(texts, "c").withColumn("b", F.pmod(F.hash("c"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    members = members.select("p", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "text")
+    rows = centres.unionByName(members).repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", F.col("c").asc_nulls_first())
+    return rows.mapInArrow(_confirm(size, percent), "u bigint, v bigint")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): links that connect exactly those classes which chains of linked pairs connect.
 
-    Posting lists are searched as stars. Round by round each list picks its most central class, the pairs of
-    it with the others are confirmed, and classes linked to it leave the list: they are in its component. A
-    member that isn't linked to the centre may be linked to one that left, so those that stay are at last
-    compared with all of their list in other components. Large lists are groups of near copies, which the
-    first centre empties; lists of unlike texts are short, as they are under rare postings only."""
+    Any two linked classes meet in a posting list. The pairs of a short list (SHORT members, so a bounded number
+    for each posting) are counted by signature and those above the threshold confirmed. A long list, as groups
+    of near copies make, becomes a group around its most central class, which most members are linked to."""
     spark = docs.sparkSession
     reps = materialize(classes.groupBy("c").agg(F.min("k").alias("k")).join(classes.select("c", "k", "sig").dropDuplicates(["c", "k"]), ["c", "k"]))
     total = reps.count()
@@ -153,47 +223,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     often = reps.select(F.explode("sig").alias("t")).groupBy("t").count().where(F.col("count") >= limit).orderBy("t").toPandas()
     shared = spark.sparkContext.broadcast((often["t"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
     sigs = reps.select("c", "sig")
-    lists = materialize(sigs.mapInArrow(_prefixes(shared), "t bigint, c bigint, central bigint"))
-    found = tried = None
-    open_ = lists
-    for _ in range(STAR_ROUNDS):
-        centres = materialize(_centres(open_))
-        pairs = open_.select("t", "c").join(centres, "t").where("c <> p").groupBy("p", "c").agg(F.lit(1).alias("one")).select("p", "c")
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.col("u").alias("p"), F.col("v").alias("c")), ["p", "c"], "left_anti")
-            pairs = pairs.join(tried.select(F.col("v").alias("p"), F.col("u").alias("c")), ["p", "c"], "left_anti")
-        pairs = materialize(_matching(pairs, sigs))
-        if pairs.isEmpty():
-            break
-        done = materialize(_confirmed(pairs, _texts(docs, reps, pairs), size, percent))
-        tried = done if tried is None else materialize(tried.unionByName(done))
-        links = tried.where("linked").select("u", "v")
-        found = links
-        linked = links.select(F.col("u").alias("p"), F.col("v").alias("c")).unionByName(links.select(F.col("v").alias("p"), F.col("u").alias("c"))).distinct()
-        # A list keeps the classes that its centre isn't linked to; the centre itself has met them all.
-        open_ = materialize(open_.join(centres, "t").where("c <> p").join(linked, ["p", "c"], "left_anti").select("t", "c", "central"))
-    if tried is None:
-        return spark.createDataFrame([], "u bigint, v bigint")
-    return found.unionByName(_remaining(docs, lists, tried, reps, size, percent))
-
-
-def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    need = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).distinct()
-    need = need.join(reps.select("c", "k"), "c")
-    return docs.join(need, "k").select("c", F.col("text").cast("binary").alias("text")).dropDuplicates(["c"])
-
-
-def _remaining(docs: DataFrame, lists: DataFrame, tried: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components so far, among pairs that no star has tried: what stars leave out, exactly."""
-    roots = components(tried.where("linked").select("u", "v"))
-    named = lists.select("t", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("t", "c", F.coalesce("root", "c").alias("root"))
-    several = named.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t")
-    named = materialize(named.join(several, "t"))
-    # Of each component, a list's classes pair with those of other components only.
-    pairs = named.select("t", F.col("c").alias("p"), F.col("root").alias("r")).join(named, "t").where("r < root").groupBy("p", "c").agg(F.lit(1).alias("one")).select("p", "c")
-    pairs = pairs.join(tried.select(F.col("u").alias("p"), F.col("v").alias("c")), ["p", "c"], "left_anti").join(tried.select(F.col("v").alias("p"), F.col("u").alias("c")), ["p", "c"], "left_anti")
-    pairs = materialize(_matching(pairs, reps.select("c", "sig")))
-    return _confirmed(pairs, _texts(docs, reps, pairs), size, percent).where("linked").select("u", "v")
+    lists = sigs.mapInArrow(_prefixes(shared), "t bigint, c bigint, central bigint")
+    heads = lists.groupBy("t").agg(F.max_by("c", "central").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = materialize(lists.select("t", "c").join(heads, "t"))
+    short = lists.where(f"n <= {SHORT}").select("t", "c")
+    pairs = short.join(short.select("t", F.col("c").alias("p")), "t").where("p < c").select("p", "c").distinct()
+    long = lists.where(f"n > {SHORT} AND c <> p").select("p", "c").distinct()
+    groups = materialize(_matching(pairs, sigs).unionByName(long).distinct())
+    return _confirmed(groups, docs, reps, size, percent)
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, key: bool = False) -> DataFrame:
