@@ -87,6 +87,8 @@ class _Bits:
     def bits(self, k: int) -> int:
         if not k:
             return 0
+        if k > 16:
+            raise malformed(f"a value of {k} bits", None, "jpeg_segment")
         v = self.peek16() >> (16 - k)
         self.n -= k
         return v
@@ -279,6 +281,8 @@ class _Decoder:
         zz = ZIGZAG.tolist()
         run = 0
         for unit in units:
+            if bits.at > len(bits.data) + 64:  # zeros alone from here on
+                return
             for c, k in unit:
                 row = c.coef[k]
                 if not self.progressive:

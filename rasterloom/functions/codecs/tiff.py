@@ -14,6 +14,7 @@ CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 MAX_ENTRIES = 4096
 # Tags that the decoder reads.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, COLORS, TW, TH, TILES, TILE_COUNTS, EXTRA, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 320, 322, 323, 324, 325, 338, 339
+INTEGERS = {WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, COLORS, TW, TH, TILES, TILE_COUNTS, EXTRA, FORMAT}
 
 
 def order_of(data: bytes) -> str:
@@ -56,7 +57,10 @@ def tags_at(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int, in
             value = struct.unpack(f"{order}{2 * count}{'I' if kind == 5 else 'i'}", raw)
         else:
             value = (raw,)
-        tags.setdefault(tag, value)
+        if tag in INTEGERS and not all(isinstance(x, int) and x >= 0 for x in value):
+            raise malformed(f"tag {tag} isn't an integer", at, "tiff_ifd")
+        if value:
+            tags.setdefault(tag, value)
     return tags, struct.unpack_from(order + "I", data, end - 4)[0], last
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SEQUENCE = Window.partitionBy("sequence_id").orderBy("frame_index")
-RUNNING = SEQUENCE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def in_sequence() -> WindowSpec:
+    return Window.partitionBy("sequence_id").orderBy("frame_index")
+
+
+def so_far() -> WindowSpec:
+    return in_sequence().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def milliseconds(num: Column, den: Column) -> Column:
@@ -32,8 +36,8 @@ def add_durations(n1: Column, d1: Column, n2: Column, d2: Column) -> tuple[Colum
 
 def coalesce_renders(frames: DataFrame) -> DataFrame:
     """Runs of frames with equal renders: first frame, frames, and the sum of durations in 60ths of a second."""
-    same = F.lag("render").over(SEQUENCE).eqNullSafe(F.col("render")) & (F.row_number().over(SEQUENCE) > 1)
-    marked = frames.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(RUNNING))
+    same = F.lag("render").over(in_sequence()).eqNullSafe(F.col("render")) & (F.row_number().over(in_sequence()) > 1)
+    marked = frames.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(so_far()))
     ticks = F.floor(F.col("num") * 60 / F.col("den")).cast("bigint")
     return marked.groupBy("sequence_id", "run").agg(F.min("frame_index").alias("first_frame"), F.count(F.lit(1)).alias("frames"), F.sum(ticks).alias("ticks"))
 
@@ -49,7 +53,7 @@ def budget_violation(frames: DataFrame, frame_max: int, total_max: int) -> DataF
     """(sequence_id, frame_index, resource, observed): the first frame over a limit. The primary frame is charged
     first; a later frame meets its own limit before the sum's."""
     size = F.col("width") * F.col("height") * 4
-    rows = frames.withColumn("size", size).withColumn("total", F.sum("size").over(RUNNING))
+    rows = frames.withColumn("size", size).withColumn("total", F.sum("size").over(so_far()))
     own = (F.col("frame_index") > 0) & (F.col("size") > frame_max)
     resource = F.when(own, "FrameDecodedBytes").when(F.col("total") > total_max, "SequenceDecodedBytes")
     bad = rows.withColumn("resource", resource).where("resource IS NOT NULL")

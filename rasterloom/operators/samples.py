@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
+def in_row() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
 
 
 def neighbours(samples: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def neighbours(samples: DataFrame) -> DataFrame:
 
     Rows are re-partitioned by image row once, for `left`; the row above comes by an equi-join on (image, y),
     which splits by row, so one huge image is no single partition."""
-    left = F.coalesce(F.lag("v").over(ROW), F.lit(0))
+    left = F.coalesce(F.lag("v").over(in_row()), F.lit(0))
     own = samples.withColumn("l", left)
     above = own.select("image_id", (F.col("y") + 1).alias("y"), "x", F.col("v").alias("u"), F.col("l").alias("ul"))
     return own.join(above, ["image_id", "y", "x"], "left").na.fill(0, ["u", "ul"])
@@ -54,11 +55,11 @@ def select_filter(samples: DataFrame, optimize: bool = False) -> DataFrame:
 
 
 def predictor_apply(samples: DataFrame, bits: int = 8) -> DataFrame:
-    return samples.withColumn("d", F.pmod(F.col("v") - F.coalesce(F.lag("v").over(ROW), F.lit(0)), F.lit(1 << bits)).cast("int"))
+    return samples.withColumn("d", F.pmod(F.col("v") - F.coalesce(F.lag("v").over(in_row()), F.lit(0)), F.lit(1 << bits)).cast("int"))
 
 
 def predictor_reverse(samples: DataFrame, column: str = "d", bits: int = 8) -> DataFrame:
-    running = F.sum(column).over(ROW.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum(column).over(in_row().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return samples.withColumn("restored", (running % (1 << bits)).cast("int"))
 
 

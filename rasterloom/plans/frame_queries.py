@@ -16,7 +16,7 @@ def frame_duration_ms_round(spark, sf_dir):
 @query(f"""WITH {SQL_FRAMES}, n AS (SELECT *, lead(num) OVER w AS n2, lead(den) OVER w AS d2 FROM frames WINDOW w AS (PARTITION BY sequence_id ORDER BY frame_index))
 SELECT sequence_id, frame_index, num * (d2 // gcd(den, d2)) + n2 * (den // gcd(den, d2)) AS num, den * (d2 // gcd(den, d2)) AS den FROM n WHERE n2 IS NOT NULL""")
 def frame_duration_lcm_add(spark, sf_dir):
-    rows = frames(spark, sf_dir).withColumn("n2", F.lead("num").over(ops.SEQUENCE)).withColumn("d2", F.lead("den").over(ops.SEQUENCE)).where("n2 IS NOT NULL")
+    rows = frames(spark, sf_dir).withColumn("n2", F.lead("num").over(ops.in_sequence())).withColumn("d2", F.lead("den").over(ops.in_sequence())).where("n2 IS NOT NULL")
     n, d = ops.add_durations(F.col("num"), F.col("den"), F.col("n2"), F.col("d2"))
     return rows.select("sequence_id", "frame_index", n.alias("num"), d.alias("den"))
 
@@ -89,5 +89,5 @@ def gif_stream_header(spark, sf_dir):
 @query(f"""WITH {SQL_FRAMES}, n AS (SELECT sequence_id, frame_index, render, lag(render) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS before FROM frames) SELECT sequence_id, frame_index, CASE WHEN render = before THEN 'transparent' ELSE render END AS masked FROM n""")
 def gif_mask_unchanged(spark, sf_dir):
     """What equals the frame before becomes transparent."""
-    same = F.lag("render").over(ops.SEQUENCE) == F.col("render")
+    same = F.lag("render").over(ops.in_sequence()) == F.col("render")
     return frames(spark, sf_dir).select("sequence_id", "frame_index", F.when(same, "transparent").otherwise(F.col("render")).alias("masked"))

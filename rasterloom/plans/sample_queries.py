@@ -237,7 +237,7 @@ def chroma_downsample_h2v2(spark, sf_dir):
 @query(f"""WITH {SQL_L8}, n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM l8 WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
 SELECT image_id, y, CAST(2 * x + k AS INTEGER) AS x, CAST(CASE WHEN k = 0 THEN CASE WHEN l IS NULL THEN v ELSE (3 * v + l + 1) >> 2 END ELSE CASE WHEN r IS NULL THEN v ELSE (3 * v + r + 2) >> 2 END END AS INTEGER) AS c FROM n, range(0, 2) t(k)""")
 def chroma_upsample_h2v1(spark, sf_dir):
-    v, left, right = F.col("v"), F.lag("v").over(samples.ROW), F.lead("v").over(samples.ROW)
+    v, left, right = F.col("v"), F.lag("v").over(samples.in_row()), F.lead("v").over(samples.in_row())
     pair = F.array(F.coalesce(F.shiftright(3 * v + left + 1, 2), v), F.coalesce(F.shiftright(3 * v + right + 2, 2), v))
     rows = raster_l8(spark, sf_dir).select("image_id", "y", "x", pair.alias("p"))
     return rows.select("image_id", "y", "x", F.posexplode("p").alias("k", "c")).select("image_id", "y", (2 * F.col("x") + F.col("k")).alias("x"), "c")
