@@ -107,4 +107,6 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT
 def _verdict(rows: DataFrame, left_share: float, key: bool) -> DataFrame:
     left = F.col("n_words") - F.col("gone")
     kept = ~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("words_left"), kept.alias("kept"), *(["k"] if key else []))
+    # Written out, a few numbers a row: a caller's filter on kept would else be pushed down into the array
+    # functions, whose steps it would inline and compute many times over.
+    return materialize(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("words_left"), kept.alias("kept"), *(["k"] if key else [])))
