@@ -549,8 +549,127 @@ def optimal_table(counts: dict[int, int]) -> tuple[tuple[int, ...], tuple[int, .
 SAMPLING = {"4:4:4": (1, 1), "4:2:2": (2, 1), "4:2:0": (2, 2)}
 
 
-def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimize: bool = False, restart_rows: int = 0) -> bytes:
+# Scans of a progressive file as (components, first and last coefficient, bit before, bit), in colour and gray.
+COLOR_SCANS = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 2), ((2,), 1, 63, 0, 1), ((1,), 1, 63, 0, 1), ((0,), 6, 63, 0, 2), ((0,), 1, 63, 2, 1), ((0, 1, 2), 0, 0, 1, 0), ((2,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((0,), 1, 63, 1, 0))
+GRAY_SCANS = (((0,), 0, 0, 0, 1), ((0,), 1, 5, 0, 2), ((0,), 6, 63, 0, 2), ((0,), 1, 63, 2, 1), ((0,), 0, 0, 1, 0), ((0,), 1, 63, 1, 0))
+
+
+class _Band:
+    """Events of one AC scan: (symbol or None, bits, their number), with runs of blocks that end early put together."""
+
+    def __init__(self):
+        self.events: list[tuple] = []
+        self.run, self.late = 0, []
+
+    def end_run(self) -> None:
+        if self.run:
+            k = self.run.bit_length() - 1
+            self.events.append((k << 4, self.run - (1 << k), k))
+            self.run = 0
+        self.events += [(None, b, 1) for b in self.late]
+        self.late = []
+
+    def first(self, v: list[int], low: int) -> None:
+        zeros = 0
+        for x in v:
+            size = abs(x) >> low
+            if not size:
+                zeros += 1
+                continue
+            self.end_run()
+            while zeros > 15:
+                self.events.append((0xF0, 0, 0))
+                zeros -= 16
+            k = size.bit_length()
+            self.events.append((zeros << 4 | k, size if x > 0 else size ^ ((1 << k) - 1), k))
+            zeros = 0
+        self._rest(zeros, [])
+
+    def refine(self, v: list[int], low: int) -> None:
+        size = [abs(x) >> low for x in v]
+        last_new = max((i for i, x in enumerate(size) if x == 1), default=-1)
+        zeros, bits = 0, []
+        for i, x in enumerate(size):
+            if not x:
+                zeros += 1
+                continue
+            while zeros > 15 and i <= last_new:
+                self.end_run()
+                self.events.append((0xF0, 0, 0))
+                self.events += [(None, b, 1) for b in bits]
+                zeros, bits = zeros - 16, []
+            if x > 1:
+                bits.append(x & 1)
+                continue
+            self.end_run()
+            self.events.append((zeros << 4 | 1, int(v[i] > 0), 1))
+            self.events += [(None, b, 1) for b in bits]
+            zeros, bits = 0, []
+        self._rest(zeros, bits)
+
+    def _rest(self, zeros: int, bits: list[int]) -> None:
+        if zeros or bits:
+            self.run += 1
+            self.late += bits
+            if self.run == 0x7FFF or len(self.late) > 900:
+                self.end_run()
+
+
+def _progressive_scans(parts: list, sizes: list[tuple[int, int]], mx: int, my: int) -> list[bytes]:
+    """DHT and SOS segments with their data: each scan has tables of its own."""
+    out = []
+    for comps, ss, se, high, low in COLOR_SCANS if len(parts) == 3 else GRAY_SCANS:
+        events: list[tuple] = []  # (table, symbol, bits, number of bits)
+        if ss == 0:
+            last = [0] * len(parts)
+            units = [(0, y * parts[0][3] + x) for y in range(sizes[0][1]) for x in range(sizes[0][0])] if len(comps) == 1 else [(i, (n // mx * parts[i][2] + v) * parts[i][3] + n % mx * parts[i][1] + u) for n in range(mx * my) for i in comps for v in range(parts[i][2]) for u in range(parts[i][1])]
+            for i, b in units:
+                v = parts[i][0][b][0]
+                if high:
+                    events.append((0, None, v >> low & 1, 1))
+                    continue
+                d = (v >> low) - last[i]
+                last[i] = v >> low
+                k = abs(d).bit_length()
+                events.append((parts[i][4], k, (d if d > 0 else d - 1) & ((1 << k) - 1), k))
+        else:
+            i = comps[0]
+            band = _Band()
+            for y in range(sizes[i][1]):
+                for x in range(sizes[i][0]):
+                    v = parts[i][0][y * parts[i][3] + x][ss : se + 1]
+                    band.refine(v, low) if high else band.first(v, low)
+            band.end_run()
+            events = [(parts[i][4], *e) for e in band.events]
+        counts: dict[int, dict] = {}
+        for t, s, _, _ in events:
+            if s is not None:
+                d = counts.setdefault(t, {})
+                d[s] = d.get(s, 0) + 1
+        tables = {t: optimal_table(d) for t, d in counts.items()}
+        codes = {t: canonical(*x) for t, x in tables.items()}
+        w = _Writer()
+        for t, s, bits, k in events:
+            if s is not None:
+                w.put(*codes[t][s])
+            if k:
+                w.put(bits, k)
+        w.flush()
+        for t, (n, symbols) in sorted(tables.items()):
+            out.append(_segment(0xC4, bytes([(0x10 if ss else 0) | t]) + bytes(n) + bytes(symbols)))
+        named = b"".join(bytes([i + 1, parts[i][4] << 4 | parts[i][4]]) for i in comps)
+        out.append(_segment(0xDA, bytes([len(comps)]) + named + bytes([ss, se, high << 4 | low])) + bytes(w.out))
+    return out
+
+
+def _segment(m: int, body: bytes) -> bytes:
+    return bytes([255, m]) + struct.pack(">H", len(body) + 2) + body
+
+
+def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimize: bool = False, restart_rows: int = 0, progressive: bool = False, exif: bytes | None = None) -> bytes:
     image.validate()
+    if progressive and image.mode == "Cmyk8":
+        raise unsupported("progressive CMYK")
     if image.mode not in ("L1", "L8", "Rgb8", "Cmyk8"):
         raise unsupported(f"JPEG doesn't take {image.mode}")
     if image.width > 65535 or image.height > 65535:
@@ -575,6 +694,18 @@ def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimiz
         c = forward_dct(blocks.astype(np.float64)) / q
         levels = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64).reshape(-1, 64)[:, ZIGZAG]
         parts.append((levels.tolist(), sx, sy, mx * sx, int(color and i > 0)))
+    kinds = (0, 1) if color else (0,)
+    names = (1, 2, 3, 4)
+    head = [b"\xff\xd8", _segment(0xEE, b"Adobe\0\x64\0\0\0\0\0") if len(parts) == 4 else _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")]
+    if exif:
+        if len(exif) > 65533:
+            raise CodecError("Parameter", "EXIF data are too long for a segment")
+        head.append(_segment(0xE1, exif))
+    head += [_segment(0xDB, bytes([t]) + bytes(q.reshape(-1)[ZIGZAG].astype(np.uint8))) for t, q in ((0, luma), (1, chroma)) if t in kinds]
+    frame = struct.pack(">BHHB", 8, h, w, len(parts)) + b"".join(bytes([names[i], sx << 4 | sy, t]) for i, (_, sx, sy, _, t) in enumerate(parts))
+    if progressive:
+        sizes = [(-(-(-(-w * sx // fx)) // 8), -(-(-(-h * sy // fy)) // 8)) for _, sx, sy, _, _ in parts]
+        return b"".join([*head, _segment(0xC2, frame), *_progressive_scans(parts, sizes, mx, my), b"\xff\xd9"])
     coded, restart = [], restart_rows * mx
     last = [0] * len(parts)
     for n in range(mx * my):
@@ -587,7 +718,6 @@ def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimiz
                     block = levels[(n // mx * sy + v) * bw + n % mx * sx + u]
                     coded.append((t, _symbols(block, last[i])))
                     last[i] = block[0]
-    kinds = (0, 1) if color else (0,)
     if optimize:
         seen: dict = {(c, t): {} for c in (0, 1) for t in kinds}
         for x in coded:
@@ -613,15 +743,9 @@ def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimiz
                 out.put(bits, k)
     out.flush()
 
-    def segment(m: int, body: bytes) -> bytes:
-        return bytes([255, m]) + struct.pack(">H", len(body) + 2) + body
-
-    names = (1, 2, 3, 4)
-    head = [b"\xff\xd8", segment(0xEE, b"Adobe\0\x64\0\0\0\0\0") if len(parts) == 4 else segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")]
-    head += [segment(0xDB, bytes([t]) + bytes(q.reshape(-1)[ZIGZAG].astype(np.uint8))) for t, q in ((0, luma), (1, chroma)) if t in kinds]
-    head.append(segment(0xC0, struct.pack(">BHHB", 8, h, w, len(parts)) + b"".join(bytes([names[i], sx << 4 | sy, t]) for i, (_, sx, sy, _, t) in enumerate(parts))))
-    head += [segment(0xC4, bytes([c << 4 | t]) + bytes(tables[(c, t)][0]) + bytes(tables[(c, t)][1])) for t in kinds for c in (0, 1)]
+    head.append(_segment(0xC0, frame))
+    head += [_segment(0xC4, bytes([c << 4 | t]) + bytes(tables[(c, t)][0]) + bytes(tables[(c, t)][1])) for t in kinds for c in (0, 1)]
     if restart:
-        head.append(segment(0xDD, struct.pack(">H", restart)))
-    head.append(segment(0xDA, bytes([len(parts)]) + b"".join(bytes([names[i], t << 4 | t]) for i, (*_, t) in enumerate(parts)) + b"\0\x3f\0"))
+        head.append(_segment(0xDD, struct.pack(">H", restart)))
+    head.append(_segment(0xDA, bytes([len(parts)]) + b"".join(bytes([names[i], t << 4 | t]) for i, (*_, t) in enumerate(parts)) + b"\0\x3f\0"))
     return b"".join(head) + bytes(out.out) + b"\xff\xd9"

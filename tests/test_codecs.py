@@ -168,3 +168,28 @@ def test_damaged_data_fails_with_a_typed_error(fmt, at, noise, cut):
             f(data)
         except CodecError:
             pass
+
+
+@settings(max_examples=15, deadline=None)
+@given(sizes, st.sampled_from(["L8", "Rgb8"]), st.sampled_from(["4:4:4", "4:2:2", "4:2:0"]), st.sampled_from([5, 60, 95]))
+def test_progressive_jpeg_holds_the_baseline_coefficients(size, mode, sub, quality):
+    i = raster(mode, *size)
+    a, b = (jpeg.decode(jpeg.encode(i, quality, sub, progressive=p)).value for p in (False, True))
+    assert a.pixels == b.pixels
+
+
+def test_option_pairs():
+    from rasterloom.functions.options import from_pairs
+
+    assert from_pairs("JPEG", [("quality", "90"), ("subsampling", "420"), ("progressive", "Yes")]) == {"quality": 90, "subsampling": "4:2:0", "progressive": True}
+    assert from_pairs("PNG", [("compression", "max"), ("gamma", "off")]) == {"compression": 9}
+    for fmt, pairs, text in (
+        ("PNG", [("zzz", "1"), ("optimize", "1"), ("optimize", "1")], "duplicate"),
+        ("BMP", [("quality", "1")], "unknown"),
+        ("JPEG", [("quality", "x")], "numeric"),
+        ("PNG", [("optimize", "maybe")], "boolean"),
+        ("JPEG", [("exif_hex", "abc")], "hex"),
+        ("ICO", [("sizes", "16x16,32x32")], "pair"),
+    ):
+        with pytest.raises(CodecError, match=text):
+            from_pairs(fmt, pairs)

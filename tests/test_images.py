@@ -95,3 +95,23 @@ def test_reassembly(spark, tmp_path):
 def test_columns_named_like_the_envelope_stay_usable(spark):
     df = spark.createDataFrame([(1, b"BM")], "id int, content binary").withColumn("path", F.lit("p"))
     assert images.inspect_images(df).columns[:2] == ["id", "path"]
+
+
+def test_cancelled_jobs_end(spark):
+    import threading
+    import time
+
+    from rasterloom.functions.control import controlled
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    with controlled(spark) as c:
+        threading.Timer(3, c.cancel).start()
+        began = time.time()
+        with pytest.raises(Exception):  # noqa: B017
+            spark.range(4).mapInArrow(slow, "id bigint").count()
+        assert c.cancelled and time.time() - began < 50
+    assert spark.range(3).count() == 3
