@@ -20,6 +20,8 @@ from rasterloom.llm.common import column, materialize
 #: without low-dimensional structure recall comes from the share of an ordering that a query meets, here
 #: 7 of 16 ranges; the README has measured recall.
 CURVES, DIMS, BITS, RANGES, NEIGHBOURS, SEED = 6, 4, 10, 16, 3, 29
+#: Orderings of all lengths of vectors together; their cuts are literals of the plan.
+MAX_ORDERINGS = 600
 #: A range of more rows than this is cut into blocks that are searched one by one.
 BLOCK_ROWS = 20_000
 
@@ -99,7 +101,8 @@ def _keys(curves: int, dims: int, bits: int):
                     # Coordinates of unit vectors along an axis have about the deviation n ** -0.5.
                     at = np.clip((x @ axes) * np.sqrt(n) / 8 + 0.5 + shift - 0.125, 0, 1 - 1e-9)
                     key = hilbert_keys((at * (1 << bits)).astype(np.int64), bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), c, np.int32)), pa.array(key)], schema=schema)
+                    # Vectors of another length have orderings of their own.
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), n * curves + c, np.int32)), pa.array(key)], schema=schema)
 
     return run
 
@@ -142,15 +145,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     entries = vectors.select("vec_id", "embedding").mapInArrow(_distinct(k), "v binary, ids array<bigint>")
     entries = materialize(entries.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
     keys = materialize(entries.select("v").mapInArrow(_keys(curves, dims, bits), "v binary, curve int, key bigint"))
-    # Ranges are cut at quantiles of each ordering; a hash of the vector tells equal keys apart.
-    cuts = {r["curve"]: r["cuts"] for r in keys.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 2000).alias("cuts")).collect()}
-    table = F.create_map(*(x for c, v in sorted(cuts.items()) for x in (F.lit(c), F.array(*(F.lit(y).cast("bigint") for y in v))))) if cuts else F.lit(None).cast("map<int,array<bigint>>")
-    placed = keys.withColumn("r", F.size(F.filter(table[F.col("curve")], lambda c: c < F.col("key"))))
+    # Ranges are cut at quantiles of each ordering, so many that each has over k entries: a few rows are one range.
+    found = keys.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 2000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()
+    if len(found) > MAX_ORDERINGS:
+        raise ValueError(f"more than {MAX_ORDERINGS // curves} lengths of vectors")
+    cuts = {}
+    for r in found:
+        own = max(1, min(ranges, r["n"] // (2 * (k + 1))))
+        cuts[r["curve"]] = [r["cuts"][round(i * ranges / own) - 1] for i in range(1, own)]
+    table = F.create_map(*(x for c, v in sorted(cuts.items()) for x in (F.lit(c), F.array(*(F.lit(y).cast("bigint") for y in v)).cast("array<bigint>")))) if cuts else F.lit(None).cast("map<int,array<bigint>>")
+    placed = keys.withColumn("cuts", table[F.col("curve")])
+    placed = placed.select("v", "curve", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("r"), F.size("cuts").alias("last"))
     blocks = max(1, -(-entries.count() // (ranges * BLOCK_ROWS)))
     data = placed.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).join(entries, "v").select("curve", "r", "b", "v", "ids", F.lit(None).cast("bigint").alias("query"))
     queries = vectors.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(_as_binary, "query bigint, v binary")
-    first = F.greatest(F.least(F.col("r") - neighbours, F.lit(ranges - 1 - 2 * neighbours)), F.lit(0))  # at an end, more on the other side
-    reach = F.sequence(first, F.least(first + 2 * neighbours, F.lit(ranges - 1)))
+    first = F.greatest(F.least(F.col("r") - neighbours, F.col("last") - 2 * neighbours), F.lit(0))  # at an end, more on the other side
+    reach = F.sequence(first, F.least(first + 2 * neighbours, F.col("last")))
     asked = queries.join(placed, "v").withColumn("r", F.explode(reach)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.select("curve", "r", "b", "v", F.lit(None).cast("array<bigint>").alias("ids"), "query")
     hits = data.unionByName(asked).groupBy("curve", "r", "b").applyInPandas(_search(k), "query_id bigint, ids array<bigint>, scores array<double>")

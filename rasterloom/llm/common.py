@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the ASCII white space \x20 and \x09-\x0D.
 #: ``bytes.split()`` splits on exactly that set.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 U64 = np.uint64
 
 
@@ -80,7 +80,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=U64)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 6_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 3_000_000):
     """Parts of a batch with about `limit` bytes of text each (a longer single text stays whole)."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import WORD_BREAK, materialize
 
-#: A normalised line is boilerplate in a host where more than LINE_LIMIT distinct documents have it.
-LINE_LIMIT = 50
+#: A normalised line is boilerplate in a host where more than LINE_LIMIT distinct documents, and more than
+#: LINE_SHARE of all of the host's, have it: a page footer is in most pages, a much-copied article is not.
+LINE_LIMIT, LINE_SHARE = 50, 0.25
 #: A document is depleted if, without such lines, fewer than this share of its words is left.
 LEFT_SHARE = 0.2
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -73,14 +74,20 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return rows.select("k", F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull(), F.col("l.s")).alias("h"), F.col("l.n").cast("bigint").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """(h): hashes of (host, line) found in more than `limit` distinct documents of the host."""
+def _host_hash() -> Column:
+    return F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull())
+
+
+def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
+    """(h): hashes of (host, line) found in more than `limit` documents, and more than `share` of those of the host."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull(), normalised(x))))
-    return docs.select(F.explode(hashes).alias("h")).groupBy("h").count().where(F.col("count") > limit).select("h")
+    counted = docs.select(_host_hash().alias("owner"), F.explode(hashes).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("owner")).where(F.col("n") > limit)
+    hosts = docs.groupBy(_host_hash().alias("owner")).agg(F.count(F.lit(1)).alias("of"))
+    return counted.join(hosts, "owner").where(F.col("n") > F.lit(share) * F.col("of")).select("h")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, left_share: float = LEFT_SHARE, key: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, key: bool = False) -> DataFrame:
     """Base rules and cross-document line frequency.
 
     In: docs(doc_id, text, host column, any more). Out: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -88,10 +95,10 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT
     xxhash64 of doc_id, text and host. One row per input row; a
     null text counts as empty and fails the base rules; a null host is a host of its own. A line, lower-cased
     and with digits and white space evened out, is frequent in a host where more than `limit` documents
-    have it; each row is a document, a line counts once in each. Frequent lines are taken out, and a
+    and more than `share` of the host's have it; each row is a document, a line counts once in each. Frequent lines are taken out, and a
     document of which less than `left_share` of the words is left is depleted and not kept."""
     docs = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").withColumn("k", F.xxhash64("doc_id", "text", "host"))
-    frequent = materialize(frequent_lines(docs, limit))
+    frequent = materialize(frequent_lines(docs, limit, share))
     n = frequent.count()
     base = base_columns(docs)
     if n == 0:

@@ -47,7 +47,8 @@ rep AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([i, i
 ln AS (SELECT doc_id, source, unnest(l) AS x FROM d),
 nl AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '{_SPACE}+', ' ', 'g'), '[0-9]+', '0', 'g')) AS s,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM ln),
-fr AS (SELECT source, s FROM nl GROUP BY source, s HAVING count(DISTINCT doc_id) > {quality.LINE_LIMIT}),
+hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+fr AS (SELECT nl.source, nl.s FROM nl JOIN hosts USING (source) GROUP BY nl.source, nl.s, hosts.n HAVING count(DISTINCT doc_id) > greatest({quality.LINE_LIMIT}, {quality.LINE_SHARE} * hosts.n)),
 gone AS (SELECT doc_id, sum(n) AS n FROM nl SEMI JOIN fr ON nl.source = fr.source AND nl.s = fr.s GROUP BY doc_id),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
