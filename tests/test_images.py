@@ -115,3 +115,14 @@ def test_cancelled_jobs_end(spark):
             spark.range(4).mapInArrow(slow, "id bigint").count()
         assert c.cancelled and time.time() - began < 50
     assert spark.range(3).count() == 3
+
+
+def test_sql_functions(spark):
+    from rasterloom.functions import udf
+
+    udf.register(spark)
+    good = codecs.encode(Raster(3, 2, "L8", bytes(range(6))), "PNG")
+    spark.createDataFrame([(good,), (b"x",), (None,)], "content binary").createOrReplaceTempView("files")
+    rows = spark.sql("SELECT image_inspect(content) AS i, image_pixels(content) AS p, image_metadata_bytes(content) AS m FROM files").collect()
+    assert (rows[0].i.format, rows[0].i.width, bytes(rows[0].p)) == ("PNG", 3, bytes(range(6))) and rows[0].m == codecs.metadata_bytes(good)
+    assert [r.i.error for r in rows[1:]] == ["UnknownFormat", "UnknownFormat"] and rows[1].p is None and rows[2].m is None
