@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import materialize
+
 SEED = 17
 #: Copies of one document at most; a mean above MAX_MEAN is refused, so the cut tail has a chance below 1e-30.
 MAX_COPIES, MAX_MEAN = 200, 64.0
@@ -46,9 +48,12 @@ def source_means(docs: DataFrame, weights: dict[str, float] | None = None, total
     else:
         rows = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         counts = counts.join(F.broadcast(rows), counts["source"].eqNullSafe(rows["source"]), "left").select(counts["source"], "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    sums = counts.agg(F.sum("w").alias("sw"), F.sum("n").alias("sn"))
-    goal = F.col("sn").cast("double") if total is None else F.lit(float(total))
-    return counts.join(F.broadcast(sums)).select("source", F.when(F.col("sw") > 0, F.col("w") / F.col("sw") * goal / F.col("n")).otherwise(0.0).alias("mean"))
+    counts = materialize(counts)  # a row for each source
+    sums = counts.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    goal = float(sums["n"] if total is None else total)
+    if not sums["w"] > 0:
+        return counts.select("source", F.lit(0.0).alias("mean"))
+    return counts.select("source", (F.col("w") / F.lit(float(sums["w"])) * F.lit(goal) / F.col("n")).alias("mean"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = SEED, shuffle: bool = True) -> DataFrame:
