@@ -31,7 +31,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
     The shared folder's owner clears it, as with checkpoints."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
