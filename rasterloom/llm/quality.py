@@ -10,6 +10,10 @@ from rasterloom.llm.common import WORD_BREAK, materialize
 #: A normalised line is boilerplate in a host where more than LINE_LIMIT distinct documents, and more than
 #: LINE_SHARE of all of the host's, have it: a page footer is in most pages, a much-copied article is not.
 LINE_LIMIT, LINE_SHARE = 50, 0.25
+#: However large the host, a line in more than this many documents is boilerplate, where a group of copies counts once.
+LINE_MOST = 200
+#: Documents with one of their SKETCH least hashes of 5-word windows in common are of one group.
+SKETCH = 8
 #: A document is depleted if, without such lines, fewer than this share of its words is left.
 LEFT_SHARE = 0.2
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -78,16 +82,48 @@ def _host_hash() -> Column:
     return F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull())
 
 
-def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
-    """(h): hashes of (host, line) found in more than `limit` documents, and more than `share` of those of the host."""
+def _sketch(w: Column) -> Column:
+    """The least hashes of an array of words' 5-word windows; fewer words are one window."""
+    pairs = lambda a, far: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - far, F.lit(0))), F.slice(a, far + 1, F.greatest(F.size(a) - far, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    return F.when(F.size(w) < 5, F.array(F.xxhash64(w))).otherwise(F.slice(F.array_sort(F.array_distinct(pairs(pairs(pairs(w, 1), 1), 2))), 1, SKETCH))
+
+
+def _in_groups(docs: DataFrame, common: DataFrame, broadcast: bool) -> DataFrame:
+    """(h, groups): the documents with a line of common(h, open) that is open, a group of copies counted once.
+
+    Documents are alike by what is left of them without common lines. Of those that share a part of the
+    sketch and the line, each counts as its part of the largest such group; one with nothing left, a copy
+    whole, doesn't count."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = docs.select("k", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no"), F.explode(lines).alias("l"))
+    rows = rows.select("k", "host", "no", normalised(F.col("l")).alias("s"))
+    rows = rows.select("k", F.xxhash64("host", "no", "s").alias("h"), _sketch(F.split("s", " ")).alias("parts"))
+    rows = rows.join(F.broadcast(common) if broadcast else common, "h", "left")
+    rows = rows.groupBy("k").agg(F.collect_set(F.when(F.col("open"), F.col("h"))).alias("hs"), F.flatten(F.collect_list(F.when(F.col("open").isNull(), F.col("parts")))).alias("parts"))
+    rows = rows.where("size(hs) > 0 and size(parts) > 0").select("k", "hs", F.slice(F.array_sort(F.array_distinct("parts")), 1, SKETCH).alias("parts"))
+    rows = materialize(rows).select("k", F.explode("hs").alias("h"), "parts").select("k", "h", F.explode("parts").alias("part"))
+    shared = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    each = rows.join(shared, ["h", "part"], "left").groupBy("h", "k").agg(F.max(F.coalesce("c", F.lit(1))).alias("c"))
+    return each.groupBy("h").agg(F.sum(F.lit(1.0) / F.col("c")).alias("groups"))
+
+
+def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE, most: int = LINE_MOST) -> DataFrame:
+    """(h): hashes of (host, line) found in more than `limit` documents and in more than `share` of those of the host or `most` groups of copies."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull(), normalised(x))))
     counted = docs.select(_host_hash().alias("owner"), F.explode(hashes).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("owner")).where(F.col("n") > limit)
     hosts = docs.groupBy(_host_hash().alias("owner")).agg(F.count(F.lit(1)).alias("of"))
-    return counted.join(hosts, "owner").where(F.col("n") > F.lit(share) * F.col("of")).select("h")
+    # Lines that the share leaves open are counted by groups; that is at most the number of documents.
+    common = materialize(counted.join(hosts, "owner").select("h", (F.col("n") > F.lit(share) * F.col("of")).alias("sure"), (F.col("n") > most).alias("many")))
+    found = common.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr("many and not sure"), 1)).alias("open")).first()
+    sure = common.where("sure").select("h")
+    if not found["open"]:
+        return sure
+    groups = _in_groups(docs, common.select("h", F.expr("many and not sure").alias("open")), found["n"] <= BROADCAST_LINES)
+    return sure.unionByName(groups.where(F.col("groups") > most).select("h"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, key: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, key: bool = False, most: int = LINE_MOST) -> DataFrame:
     """Base rules and cross-document line frequency.
 
     In: docs(doc_id, text, host column, any more). Out: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -95,10 +131,11 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT
     xxhash64 of doc_id, text and host. One row per input row; a
     null text counts as empty and fails the base rules; a null host is a host of its own. A line, lower-cased
     and with digits and white space evened out, is frequent in a host where more than `limit` documents
-    and more than `share` of the host's have it; each row is a document, a line counts once in each. Frequent lines are taken out, and a
+    and more than `share` of the host's have it, or more than `most` however large the host is, where near
+    copies count once; each row is a document, a line counts once in each. Frequent lines are taken out, and a
     document of which less than `left_share` of the words is left is depleted and not kept."""
     docs = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").withColumn("k", F.xxhash64("doc_id", "text", "host"))
-    frequent = materialize(frequent_lines(docs, limit, share))
+    frequent = materialize(frequent_lines(docs, limit, share, most))
     n = frequent.count()
     base = base_columns(docs)
     if n == 0:
