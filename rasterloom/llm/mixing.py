@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import materialize
 
 SEED = 17
-#: Copies of one document at most; a mean above MAX_MEAN is refused, so the cut tail has a chance below 1e-30.
+#: Copies that one draw gives at most; a draw has a mean of at most MAX_MEAN, so the cut tail has a chance below
+#: 1e-30. A larger mean is the sum of several draws.
 MAX_COPIES, MAX_MEAN = 200, 64.0
+#: Copies of a document that is drawn several times are dealt out in blocks of this many.
+BLOCK_COPIES = 1000
 #: Source statistics are broadcast up to this many sources (by their counted number), else joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -62,19 +65,37 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     In: docs(doc_id, source, any more). Out: all columns of docs as they are, and __mix_copy (int, from 1),
     __mix_copies (int), __mix_order (double in [0, 1), the order of the shuffle). The count is a function of
     seed and doc_id: rows that repeat a doc_id get equal counts. A null source is a source of its own, a null
-    doc_id hashes as `null`. Columns of docs with these names are replaced. An empty table gives none."""
+    doc_id hashes as `null`. Columns of docs with these names are replaced. An empty table gives none.
+
+    Means that follow from the sizes of sources may be of any size: independent draws with means of at most
+    MAX_MEAN are added up. A given `total` that asks for a mean above MAX_MEAN is refused."""
     keep = [c for c in docs.columns if c not in ("__mix_copy", "__mix_copies", "__mix_order")]
     docs = docs.select(*(F.col(f"`{c}`") for c in keep))
     means = source_means(docs.select(F.col("source").cast("string").alias("source")), weights, total)
     found = means.agg(F.count(F.lit(1)).alias("n"), F.max("mean").alias("most")).first()
-    if (found["most"] or 0) > MAX_MEAN:
+    large = (found["most"] or 0) > MAX_MEAN
+    if large and total is not None:
         raise ValueError(f"a source would be repeated {found['most']:.0f} times; {MAX_MEAN:.0f} is the most")
-    means = means.select(F.col("source").alias("__mix_source"), poisson_below(F.col("mean")).alias("__mix_below"))
-    means = F.broadcast(means) if found["n"] <= BROADCAST_SOURCES else means
-    rows = docs.join(means, F.col("source").cast("string").eqNullSafe(F.col("__mix_source")))
-    n = poisson_count(unit(F.lit(seed), F.col("doc_id")), F.col("__mix_below"))
-    rows = rows.select(*(F.col(f"`{c}`") for c in keep), n.alias("__mix_copies")).where("__mix_copies > 0")
+    means = means.select(F.col("source").alias("__mix_source"), F.greatest(F.ceil(F.col("mean") / MAX_MEAN), F.lit(1)).cast("int").alias("__mix_draws"), "mean")
+    means = means.select("__mix_source", "__mix_draws", poisson_below(F.col("mean") / F.col("__mix_draws")).alias("__mix_below"))
+
+    def counted(means: DataFrame, n: Column) -> DataFrame:
+        means = F.broadcast(means) if found["n"] <= BROADCAST_SOURCES else means
+        rows = docs.join(means, F.col("source").cast("string").eqNullSafe(F.col("__mix_source")))
+        return rows.select(*(F.col(f"`{c}`") for c in keep), n.cast("int").alias("__mix_copies")).where("__mix_copies > 0")
+
+    below = F.col("__mix_below")
+    rows = counted(means.where("__mix_draws = 1"), poisson_count(unit(F.lit(seed), F.col("doc_id")), below))
     rows = rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    if large:
+        draws = F.sequence(F.lit(1), F.col("__mix_draws"))
+        n = F.aggregate(draws, F.lit(0).cast("bigint"), lambda s, i: s + poisson_count(unit(F.lit(seed), F.col("doc_id"), F.lit("draw"), i), below))
+        blocks = counted(means.where("__mix_draws > 1"), n)
+        blocks = blocks.withColumn("__mix_block", F.explode(F.sequence(F.lit(0), F.expr(f"cast((__mix_copies - 1) div {BLOCK_COPIES} as int)"))))
+        blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "__mix_block")
+        first = F.col("__mix_block") * BLOCK_COPIES
+        copies = blocks.withColumn("__mix_copy", F.explode(F.sequence(first + 1, F.least(first + BLOCK_COPIES, F.col("__mix_copies")))))
+        rows = rows.unionByName(copies.drop("__mix_block"))
     rows = rows.withColumn("__mix_order", unit(F.lit(seed), F.col("doc_id"), F.col("__mix_copy"), F.lit("order")))
     if not shuffle:
         return rows

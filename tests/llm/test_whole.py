@@ -1,6 +1,8 @@
 """Operators on inputs that limits by size, share or length used to cut."""
 
-from rasterloom.llm import quality
+from pyspark.sql import functions as F
+
+from rasterloom.llm import mixing, quality
 
 
 def _letters(n):
@@ -20,3 +22,16 @@ def test_quality_lines_of_a_large_host_go_and_copies_stay(spark):
     assert len(out) == len(rows) and all(out[i].words_left == 60 and out[i].n_words == 69 for i in range(230))
     assert all(r.kept for r in out.values())
     assert all(out[i].words_left == out[i].n_words for i in out if i >= 1000)
+
+
+def test_mixing_gives_rare_and_null_sources_their_weight(spark):
+    d = spark.range(10000).selectExpr("id as doc_id", "case when id < 5 then 'rare' when id < 7 then null else concat('s', id % 19) end as source", "'t' as text")
+    out = mixing.poisson_mix(d).cache()
+    n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    want = 10000 / 21
+    assert len(n) == 21 and all(abs(x - want) < 6 * want**0.5 for x in n.values())
+    numbers = out.where("doc_id < 7").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("__mix_copies").alias("m"), F.countDistinct("__mix_copy").alias("d"), F.max("__mix_copy").alias("last")).collect()
+    assert len(numbers) == 7 and all(r.n == r.m == r.d == r["last"] for r in numbers)
+    most = spark.range(30000).selectExpr("id as doc_id", "if(id = 0, 'rare', 'common') as source")
+    n = mixing.poisson_mix(most).where("source = 'rare'").count()  # in blocks: 15,000 copies of one row
+    assert abs(n - 15000) < 6 * 15000**0.5
