@@ -62,7 +62,7 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def _distinct(k: int):
-    """Distinct vectors of a batch with the k + 1 smallest ids of each, so that ties by id stay exact."""
+    """Distinct vectors of a batch with the k + 1 smallest distinct ids of each, so that ties by id stay exact."""
     schema = pa.schema([("v", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def _distinct(k: int):
                 a = np.asarray(v, np.float64) + 0.0  # -0.0 becomes 0.0
                 if np.isfinite(a).all() and a.any():
                     ids.setdefault(a.tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(x)[: k + 1] for x in ids.values()], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(set(x))[: k + 1] for x in ids.values()], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -125,9 +125,18 @@ def _search(k: int):
                 near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if scores.shape[1] > k + 1 else np.tile(np.arange(scores.shape[1]), (len(part), 1))
                 floor = np.take_along_axis(scores, near, 1).min(axis=1)
                 for q, s, lo in zip(part["query"].tolist(), scores, floor, strict=True):
-                    hit = np.flatnonzero(s >= lo - 1e-12)
-                    found = sorted((-float(s[j]), v) for j in hit for v in ids[j] if v != q)[: k + 1]
-                    out.append((int(q), [v for _, v in found], [-s for s, _ in found]))
+                    width = k + 1
+                    while True:
+                        # An id counts once, with its best score; where ids repeat, more vectors are looked at.
+                        best = {}
+                        for d, v in sorted((-float(s[j]), v) for j in np.flatnonzero(s >= lo - 1e-12) for v in ids[j] if v != q):
+                            best.setdefault(v, d)
+                        if len(best) >= k or width >= len(s):
+                            break
+                        width = min(2 * width, len(s))
+                        lo = -np.partition(-s, width - 1)[width - 1]
+                    found = list(best.items())[: k + 1]
+                    out.append((int(q), [v for v, _ in found], [-d for _, d in found]))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     return run
@@ -140,10 +149,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     divisible by `every`, candidates all rows but the query's own. Out: query_id, rank (from 1), vec_id,
     score (double). Nearest first, ties to the smaller vec_id; fewer rows where fewer candidates of the same
     length exist. Rows with a null id, a null, empty or zero vector, or null or non-finite components take
-    no part. Equal vectors are one entry of the index with their k + 1 smallest ids, which is exact. A vec_id
-    that occurs with several vectors is each of them."""
+    no part. Equal vectors are one entry of the index with their k + 1 smallest distinct ids, which is exact. A
+    vec_id that occurs with several vectors is each of them and comes once, with its best score."""
     entries = vectors.select("vec_id", "embedding").mapInArrow(_distinct(k), "v binary, ids array<bigint>")
-    entries = materialize(entries.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
+    entries = materialize(entries.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
     keys = materialize(entries.select("v").mapInArrow(_keys(curves, dims, bits), "v binary, curve int, key bigint"))
     # Ranges are cut at quantiles of each ordering, so many that each has over k entries: a few rows are one range.
     found = keys.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 2000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()

@@ -1,8 +1,9 @@
 """Operators on inputs that limits by size, share or length used to cut."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, quality
+from rasterloom.llm import ann, mixing, quality
 
 
 def _letters(n):
@@ -35,3 +36,16 @@ def test_mixing_gives_rare_and_null_sources_their_weight(spark):
     most = spark.range(30000).selectExpr("id as doc_id", "if(id = 0, 'rare', 'common') as source")
     n = mixing.poisson_mix(most).where("source = 'rare'").count()  # in blocks: 15,000 copies of one row
     assert abs(n - 15000) < 6 * 15000**0.5
+
+
+def test_ann_repeated_rows_use_up_no_places(spark):
+    rng = np.random.default_rng(1)
+    far = [(100 + i, rng.normal(size=2).tolist()) for i in range(30)]
+    rows = [(0, [1.0, 0.0])] + [(5, [3.0, 0.0])] * 30 + [(8, [3.0, 0.0]), (9, [3.0, 0.0])] + [(7, [9.0 + i, 0.0]) for i in range(30)] + far * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.nearest(df, every=1000).orderBy("rank").collect()]
+    best = {}
+    for i, v in rows:
+        if i:
+            best[i] = max(best.get(i, -np.inf), v[0])
+    assert got == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
