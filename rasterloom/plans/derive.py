@@ -39,9 +39,9 @@ rgb AS (
   FROM l8 WHERE x < 63 GROUP BY image_id, y, x // 3)"""
 
 
-def text_bytes(spark: SparkSession, sf_dir: str, chars: int = 256) -> DataFrame:
-    """(blob_id, pos, b): UTF-8 bytes of the first characters of each text."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode(F.substring("text", 1, chars), "UTF-8").alias("t"))
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(blob_id, pos, b): UTF-8 bytes of each whole text."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("t"))
     at = F.sequence(F.lit(1), F.length("t"))
     cells = rows.where(F.length("t") > 0).select("blob_id", "t", F.explode(at).alias("i"))
     return cells.select("blob_id", (F.col("i") - 1).alias("pos"), F.expr("cast(conv(hex(substring(t, i, 1)), 16, 10) as int)").alias("b"))
