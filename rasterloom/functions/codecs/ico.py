@@ -109,12 +109,14 @@ def metadata_bytes(data: bytes) -> int:
     return 6 + 16 * len(_directory(data)[1])
 
 
-def encode(image: Raster, entry_type: str = "png") -> bytes:
-    """One entry of the raster's size, at most 256 a side."""
+def encode(image: Raster, entry_type: str = "png", sizes: tuple[int, int] | None = None) -> bytes:
+    """One entry of the raster's size, at most 256 a side; given sizes must be the raster's."""
     image.validate()
     w, h = image.width, image.height
     if w > 256 or h > 256:
         raise CodecError("Parameter", "an icon has at most 256 pixels a side")
+    if sizes is not None and tuple(sizes) != (w, h):
+        raise CodecError("Parameter", "sizes must be the dimensions of the image")
     if entry_type == "png":
         body = png.encode(image)
     elif entry_type == "bmp":

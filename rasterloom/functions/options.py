@@ -69,7 +69,7 @@ PARSERS: dict[str, dict[str, tuple[Parser, str | None]]] = {
     "BMP": {},
     "TIFF": {"compression": (one_of(none="none", raw="none", lzw="lzw", tiff_lzw="lzw", deflate="deflate", tiff_adobe_deflate="deflate", packbits="packbits"), "compression"), "predictor": (one_of(**{"none": False, "1": False, "horizontal": True, "2": True}), "predictor")},
     "WEBP": {"lossless": (flag, None), **{k: (number, None) for k in ("quality", "method", "kmax", "kmin")}, **{k: (data, None) for k in ("icc_hex", "exif_hex", "xmp_hex")}, **{k: (flag, None) for k in ("minimize_size", "allow_mixed")}},
-    "ICO": {"entry_type": (one_of(png="png", bmp="bmp"), "entry_type"), "sizes": (_sizes, None)},
+    "ICO": {"entry_type": (one_of(png="png", bmp="bmp"), "entry_type"), "sizes": (_sizes, "sizes")},
     "AVIF": {"quality": (number, None), "codec": (one_of(auto=0, aom=1), None), "subsampling": (one_of(**{"4:4:4": 0, "4:2:2": 1, "4:2:0": 2, "4:0:0": 3}), None), "range": (one_of(full=0, limited=1), None), **{k: (number, None) for k in ("speed", "max_threads", "tile_rows", "tile_cols", "exif_orientation", "sequence_time")}, **{k: (flag, None) for k in ("alpha_premultiplied", "autotiling")}, **{k: (data, None) for k in ("icc_hex", "exif_hex", "xmp_hex")}},
 }
 IGNORED = {f: tuple(k for k, (_, target) in keys.items() if target is None) for f, keys in PARSERS.items()}
