@@ -40,7 +40,7 @@ def detect_signature(spark, sf_dir):
 
 @query(f"WITH h AS (SELECT page_id, upper(hex(encode(substr(html, 1, 64)))) AS h FROM pages) SELECT page_id, {_DETECT} AS format FROM h")
 def detect_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", detect.detect_format(F.encode(F.substring("html", 1, 64), "UTF-8")).alias("format"))
+    return table(spark, sf_dir, "pages").select("page_id", detect.detect_format(F.encode("html", "UTF-8")).alias("format"))
 
 
 def _begun(n: int, *signatures: str) -> str:
