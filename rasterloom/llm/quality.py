@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WORD_BREAK, materialize
-
-#: A normalised line is boilerplate in a host where more than LINE_LIMIT distinct documents, and more than
-#: LINE_SHARE of all of the host's, have it: a page footer is in most pages, a much-copied article is not.
-LINE_LIMIT, LINE_SHARE = 50, 0.25
-#: However large the host, a line in more than this many documents is boilerplate, where a group of copies counts once.
-LINE_MOST = 200
-#: Documents with one of their SKETCH least hashes of 5-word windows in common are of one group.
-SKETCH = 8
+from rasterloom.llm.common import materialize
+
+#: A normalised line is boilerplate in a host where it is in more than LINE_FLOOR distinct documents and in more
+#: than LINE_SHARE of the host's. However large the host, more than LINE_MOST distinct documents suffice.
+LINE_FLOOR, LINE_SHARE, LINE_MOST = 5, 0.02, 200
+#: Copies count as one distinct document: a document is known by the least md5 of its 3-word windows that begin
+#: with a word of SKETCH_LETTERS code points or more, which near copies share as often as they share windows.
+SKETCH_LETTERS = 7
 #: A document is depleted if, without such lines, fewer than this share of its words is left.
 LEFT_SHARE = 0.2
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -21,136 +20,125 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 BROADCAST_LINES = 500_000
 
 
+SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
+
+
+def _without(text: Column, chars: str, mark: str = "") -> Column:
+    """text with each of a few characters replaced; a pass over bytes for each, which finds most of them nowhere."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(mark))
+    return text
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAK, -1), lambda w: w != "")
+    """Runs of characters other than ASCII white space. A split at one plain character needs no regular expression."""
+    return F.array_remove(F.split(_without(text, SPACES[:-1], " "), " ", -1), "")
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, white space runs as one space, none at the ends, digits as 0."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), WORD_BREAK, " "), "[0-9]+", "0"))
+def normalised(w: Column) -> Column:
+    """A line from its words: lower case, white space runs as one space, none at the ends, digits as 0."""
+    return F.regexp_replace(F.lower(F.array_join(w, " ")), "[0-9]+", "0")
 
 
 def _next(a: Column) -> Column:
     return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 
 
+def _window(w: Column, i: Column) -> tuple[Column, Column]:
+    """The two words after place i."""
+    return F.get(w, i + 1), F.get(w, i + 2)
+
+
 def repeat_words(rows: DataFrame, w: str, out: str) -> DataFrame:
     """rows with `out`: words that lie in a 3-word window found twice or more in the array of words `w`.
 
-    Windows' hashes are sorted with their places; equal neighbours mark places, which are sorted again, and
-    each marked window adds the words up to the next one, three at most. All steps are array functions on
-    whole arrays, n log n for a text of n words; each step is a column of its own, so it is computed once."""
+    A text whose windows' hashes are all distinct has none. In others the hashes are sorted with their places;
+    equal neighbours mark places, which are sorted again, and each marked window adds the words up to the next
+    one, three at most. All steps are array functions on whole arrays, n log n for a text of n words; each step
+    is a column of its own, so it is computed once."""
     own = [f"`{c}`" for c in rows.columns]
-    rows = rows.select(*own, F.transform(w, lambda x: F.xxhash64(x)).alias("__h"))
-    pairs = F.zip_with("__h", _next(F.col("__h")), lambda a, b: F.xxhash64(a, b))
-    grams = F.slice(F.zip_with(pairs, _next(_next(F.col("__h"))), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("__h") - 2, F.lit(0)))
-    rows = rows.select(*own, F.sort_array(F.transform(grams, lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("__s"))
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, *_window(F.col(w), i)))
+    rows = rows.select(*own, F.slice(hashes, 1, F.greatest(F.size(w) - 2, F.lit(0))).alias("__g"))
+    some = F.size(F.array_distinct("__g")) < F.size("__g")
+    rows = rows.select(*own, F.when(some, F.col("__g")).otherwise(F.array().cast("array<bigint>")).alias("__g"))
+    rows = rows.select(*own, F.sort_array(F.transform("__g", lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("__s"))
     # Of each sorted window: its place if the next one is equal, and the next one's.
-    marks = F.zip_with("__s", _next(F.col("__s")), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    rows = rows.select(*own, F.array_sort(F.array_distinct(F.flatten(marks))).alias("__p"))
+    marks = F.zip_with("__s", _next(F.col("__s")), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
+    rows = rows.select(*own, F.array_sort(F.array_distinct(F.flatten(F.filter(marks, lambda m: m.isNotNull())))).alias("__p"))
     steps = F.zip_with("__p", _next(F.col("__p")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     return rows.select(*own, F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, x: s + x).alias(out))
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """docs(k, doc_id, text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def sketch(w: Column, text: Column) -> Column:
+    """What a document and its copies are known by: see SKETCH_LETTERS. Without a word of that length all windows
+    count; a text of fewer than three words is known by its own md5."""
+
+    def least(which) -> Column:
+        return F.array_min(F.transform(w, lambda x, i: F.when(which(x) & (i < F.size(w) - 2), F.md5(F.concat_ws(" ", x, *_window(w, i)).cast("binary")))))
+
+    return F.coalesce(least(lambda x: F.length(x) >= SKETCH_LETTERS), least(lambda x: F.lit(True)), F.md5(text.cast("binary")))
+
+
+def examined(docs: DataFrame) -> DataFrame:
+    """One pass over docs(k, doc_id, host, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, owner (hash of the host), known (sketch), and lines: hash with the host in, and number of words of each."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select("k", "doc_id", t.alias("t"), words(t).alias("w"), lines.alias("l"))
+    owner = F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull())
+    out = docs.select("k", "doc_id", t.alias("t"), owner.alias("owner"))
+    # A line break is white space, so a text's words are its lines' words.
+    lines = F.transform(F.split("t", "\n", -1), lambda x: F.struct(x.alias("x"), words(x).alias("w")))
+    out = out.select("k", "doc_id", "owner", "t", F.filter(lines, lambda x: F.size(x["w"]) > 0).alias("l"))
+    out = out.select("k", "doc_id", "owner", "t", "l", F.flatten("l.w").alias("w"))
     out = out.select(
         "k",
         "doc_id",
+        "owner",
         "w",
         F.size("w").cast("bigint").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
+        F.length(_without(F.col("t"), SPACES)).cast("bigint").alias("word_chars"),
+        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("bigint").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l.x"))).cast("bigint").alias("n_dup_lines"),
+        sketch(F.col("w"), F.col("t")).alias("known"),
+        F.transform("l", lambda x: F.struct(F.xxhash64("owner", normalised(x["w"])).alias("h"), F.size(x["w"]).alias("n"))).alias("lines"),
     )
     out = repeat_words(out, "w", "n_repeat_words").drop("w")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_lines(docs: DataFrame) -> DataFrame:
-    """(k, h, n): each document's distinct normalised lines as hashes with the host in, and the words in them."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    each = F.transform(lines, lambda x: F.struct(normalised(x).alias("s"), F.size(words(x)).alias("n")))
-    rows = docs.select("k", "host", F.explode(each).alias("l"))
-    return rows.select("k", F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull(), F.col("l.s")).alias("h"), F.col("l.n").cast("bigint").alias("n"))
-
-
-def _host_hash() -> Column:
-    return F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull())
-
-
-def _sketch(w: Column) -> Column:
-    """The least hashes of an array of words' 5-word windows; fewer words are one window."""
-    pairs = lambda a, far: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - far, F.lit(0))), F.slice(a, far + 1, F.greatest(F.size(a) - far, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    return F.when(F.size(w) < 5, F.array(F.xxhash64(w))).otherwise(F.slice(F.array_sort(F.array_distinct(pairs(pairs(pairs(w, 1), 1), 2))), 1, SKETCH))
-
-
-def _in_groups(docs: DataFrame, common: DataFrame, broadcast: bool) -> DataFrame:
-    """(h, groups): the documents with a line of common(h, open) that is open, a group of copies counted once.
-
-    Documents are alike by what is left of them without common lines. Of those that share a part of the
-    sketch and the line, each counts as its part of the largest such group; one with nothing left, a copy
-    whole, doesn't count."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("k", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no"), F.explode(lines).alias("l"))
-    rows = rows.select("k", "host", "no", normalised(F.col("l")).alias("s"))
-    rows = rows.select("k", F.xxhash64("host", "no", "s").alias("h"), _sketch(F.split("s", " ")).alias("parts"))
-    rows = rows.join(F.broadcast(common) if broadcast else common, "h", "left")
-    rows = rows.groupBy("k").agg(F.collect_set(F.when(F.col("open"), F.col("h"))).alias("hs"), F.flatten(F.collect_list(F.when(F.col("open").isNull(), F.col("parts")))).alias("parts"))
-    rows = rows.where("size(hs) > 0 and size(parts) > 0").select("k", "hs", F.slice(F.array_sort(F.array_distinct("parts")), 1, SKETCH).alias("parts"))
-    rows = materialize(rows).select("k", F.explode("hs").alias("h"), "parts").select("k", "h", F.explode("parts").alias("part"))
-    shared = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    each = rows.join(shared, ["h", "part"], "left").groupBy("h", "k").agg(F.max(F.coalesce("c", F.lit(1))).alias("c"))
-    return each.groupBy("h").agg(F.sum(F.lit(1.0) / F.col("c")).alias("groups"))
-
-
-def frequent_lines(docs: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE, most: int = LINE_MOST) -> DataFrame:
-    """(h): hashes of (host, line) found in more than `limit` documents and in more than `share` of those of the host or `most` groups of copies."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashes = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.coalesce("host", F.lit("")), F.col("host").isNull(), normalised(x))))
-    counted = docs.select(_host_hash().alias("owner"), F.explode(hashes).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("owner")).where(F.col("n") > limit)
-    hosts = docs.groupBy(_host_hash().alias("owner")).agg(F.count(F.lit(1)).alias("of"))
-    # Lines that the share leaves open are counted by groups; that is at most the number of documents.
-    common = materialize(counted.join(hosts, "owner").select("h", (F.col("n") > F.lit(share) * F.col("of")).alias("sure"), (F.col("n") > most).alias("many")))
-    found = common.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr("many and not sure"), 1)).alias("open")).first()
-    sure = common.where("sure").select("h")
-    if not found["open"]:
-        return sure
-    groups = _in_groups(docs, common.select("h", F.expr("many and not sure").alias("open")), found["n"] <= BROADCAST_LINES)
-    return sure.unionByName(groups.where(F.col("groups") > most).select("h"))
-
-
-def quality_rules(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, share: float = LINE_SHARE, left_share: float = LEFT_SHARE, key: bool = False, most: int = LINE_MOST) -> DataFrame:
+def frequent_lines(seen: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, most: int = LINE_MOST) -> DataFrame:
+    """(h): the lines of examined documents above the limits of their hosts, in distinct documents.
+
+    The first aggregate, by line and sketch, is combined before its shuffle, so a line of a third of all
+    documents is no hot key; the second adds up one partial count for each task and line."""
+    lines = seen.select("owner", "known", F.explode("lines.h").alias("h")).distinct()
+    counts = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("owner").alias("owner")).where(F.col("n") > floor)
+    hosts = seen.groupBy("owner").agg(F.count(F.lit(1)).alias("of"))
+    return counts.join(hosts, "owner").where((F.col("n") > F.lit(share) * F.col("of")) | (F.col("n") > most)).select("h")
+
+
+def quality_rules(docs: DataFrame, host: str = "source", floor: int = LINE_FLOOR, share: float = LINE_SHARE, most: int = LINE_MOST, left_share: float = LEFT_SHARE, key: bool = False) -> DataFrame:
     """Base rules and cross-document line frequency.
 
     In: docs(doc_id, text, host column, any more). Out: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, words_left (words outside frequent lines), kept, and with `key` the row key k,
-    xxhash64 of doc_id, text and host. One row per input row; a
-    null text counts as empty and fails the base rules; a null host is a host of its own. A line, lower-cased
-    and with digits and white space evened out, is frequent in a host where more than `limit` documents
-    and more than `share` of the host's have it, or more than `most` however large the host is, where near
-    copies count once; each row is a document, a line counts once in each. Frequent lines are taken out, and a
-    document of which less than `left_share` of the words is left is depleted and not kept."""
+    xxhash64 of doc_id, text and host. One row per input row; a null text counts as empty and fails the base
+    rules; a null host is a host of its own. A line, lower-cased and with digits and white space evened out, is
+    frequent in a host where more than `floor` distinct documents and more than `share` of the host's have it, or
+    more than `most` however large the host is. Copies, exact or near, are one distinct document (sketch); a line
+    counts once in each. Frequent lines are taken out, and a document of which less than `left_share` of the
+    words is left is depleted and not kept.
+
+    Texts are read once; what is kept of them, a few numbers a line, is written to the shared folder."""
     docs = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text").withColumn("k", F.xxhash64("doc_id", "text", "host"))
-    frequent = materialize(frequent_lines(docs, limit, share, most))
+    seen = materialize(examined(docs))
+    frequent = materialize(frequent_lines(seen, floor, share, most))
     n = frequent.count()
-    base = base_columns(docs)
-    if n == 0:
-        return _verdict(base.withColumn("gone", F.lit(0).cast("bigint")), left_share, key)
     frequent = F.broadcast(frequent) if n <= BROADCAST_LINES else frequent
-    # Rows repeated whole have one key; their lines are counted once by taking a single copy of each.
-    gone = host_lines(docs).join(frequent, "h").groupBy("k").agg(F.sum("n").alias("gone_all"))
-    copies = docs.groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    gone = gone.join(copies, "k", "left").select("k", F.expr("gone_all div coalesce(copies, 1)").alias("gone"))
-    return _verdict(base.join(gone, "k", "left").withColumn("gone", F.coalesce("gone", F.lit(0))), left_share, key)
-
-
-def _verdict(rows: DataFrame, left_share: float, key: bool) -> DataFrame:
+    # Rows repeated whole have one key; each of them brings the same lines, so the sum is divided by their number.
+    gone = seen.select("k", F.explode("lines").alias("l")).select("k", "l.*").join(frequent, "h").groupBy("k").agg(F.sum("n").alias("gone"))
+    copies = seen.groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    gone = gone.join(copies, "k", "left").select("k", F.expr("gone div coalesce(copies, 1)").alias("gone"))
+    rows = seen.join(gone, "k", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     left = F.col("n_words") - F.col("gone")
     kept = ~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words"))
-    # Written out, a few numbers a row: a caller's filter on kept would else be pushed down into the array
-    # functions, whose steps it would inline and compute many times over.
-    return materialize(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("words_left"), kept.alias("kept"), *(["k"] if key else [])))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("words_left"), kept.alias("kept"), *(["k"] if key else []))

@@ -188,12 +188,15 @@ def test_quality_lines_and_depletion(spark):
     letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))  # noqa: E731  digits are evened out in lines
     own = lambda i: " ".join(f"u{letters(i)}x{letters(j)}" for j in range(60))
     footer = "Share   THIS page 7 now please " + " ".join(f"f{j}" for j in range(300))
-    rows = [(i, f"{own(i)}\n{footer}", "h") for i in range(8)] + [(100, f"{own(100)}\n{footer.lower()}", None), (101, own(101), "h")]
-    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), limit=5).collect()}
-    assert all(out[i].words_left == 60 and not out[i].kept for i in range(8))
+    rows = [(i, f"{own(i)}\n{footer}", "h") for i in range(100)] + [(100, f"{own(100)}\n{footer.lower()}", None), (101, own(101), "h")]
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert all(out[i].words_left == 60 and not out[i].kept for i in range(100))
     assert out[100].kept and out[101].kept
-    more = spark.createDataFrame(rows + [(200 + i, own(200 + i), "h") for i in range(40)], "doc_id bigint, text string, source string")
-    assert all(r.kept for r in quality.quality_rules(more, limit=5).collect())  # 8 of 49 are under a quarter
+    more = spark.createDataFrame(rows + [(200 + i, own(200 + i), "h") for i in range(2000)], "doc_id bigint, text string, source string")
+    assert all(r.kept for r in quality.quality_rules(more).collect())  # about 17 distinct ones of 2,101 are under the share
+    assert sum(not r.kept for r in quality.quality_rules(more, most=7).collect()) == 100  # but above a limit of 7
+    copies = spark.createDataFrame([(i, f"{own(1)}\n{own(2)} {i}\n{own(3)}", "h") for i in range(60)], "doc_id bigint, text string, source string")
+    assert all(r.kept and r.words_left == r.n_words for r in quality.quality_rules(copies).collect())
 
 
 def test_poisson_counts_follow_the_distribution(spark):
