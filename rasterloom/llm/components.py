@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialize
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v), u > v. Large star: each node links its larger neighbours to its least neighbour (or itself).
@@ -28,12 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links(u, v) with u <> v: root is the least node that it reaches."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
     edges, mark = materialize(edges), None
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends: each round lowers some node's root or changes nothing, and usually takes a few rounds
         edges = materialize(_star(_star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
             break
-        mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

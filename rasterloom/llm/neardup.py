@@ -3,10 +3,15 @@
 A text's class is its set of word shingles; texts with equal sets are one class. A class's signature has
 COORDS coordinates, each posted under (coordinate, value). Two sets of similarity s agree in a coordinate
 with probability s, so a linked pair agrees in at least MATCHES of them but for a chance below 1e-6 (at the
-limit of 0.8 itself; far less above). Any pair that agrees in MATCHES coordinates shares one of the
-COORDS - MATCHES + 1 rarest postings of both (prefix filter, with coordinates ordered by how many classes
-have them), so only these are joined; the remaining coordinates are counted by lookup in the signatures
-(skip merging). Pairs above the threshold are confirmed on full sets."""
+limit of 0.8 itself; far less above). Any pair that agrees in MATCHES coordinates shares two of the
+PREFIX rarest postings of both (prefix filter, with coordinates ordered by how many classes have them), so
+only these are joined; the remaining coordinates are counted by lookup in the signatures (skip merging).
+Pairs above the threshold are confirmed on full sets.
+
+Long lists, as groups of near copies make, take two steps. First each member is compared with the list's most
+central class alone, which is linear and joins most groups of copies. Then only lists whose members still lie
+in several components are searched for links across these, in blocks bounded by bytes; a list of several
+blocks is first divided by the second posting that a linked pair shares."""
 
 from __future__ import annotations
 
@@ -22,11 +27,15 @@ from rasterloom.llm.common import U64, column, materialize, mix64, row_key, text
 from rasterloom.llm.components import components
 
 COORDS, MATCHES, SEED = 48, 24, 7
-PREFIX = COORDS - MATCHES + 1
+PREFIX = COORDS - MATCHES + 2
 #: The broadcast table of frequent postings has at most this many 16-byte entries, by its threshold.
 FREQUENT_POSTINGS = 200_000
-#: Posting lists up to SHORT classes give pairs; longer ones groups, cut into blocks of about BLOCK members.
-SHORT, BLOCK = 8, 1_000
+#: Posting lists up to SHORT classes give pairs; longer ones are compared with a centre, in parts of STAR members.
+SHORT, STAR = 8, 1_000
+#: What one side of a comparison across components holds: bytes of text, and members.
+BLOCK_BYTES, BLOCK = 4_000_000, 1_000
+#: Rows of a posting's list that one task joins; longer lists are salted.
+SALTED = 4_096
 
 _B = [U64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)]
 _SALTS = mix64(np.arange(1, COORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(SEED))
@@ -56,7 +65,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _classes(size: int):
-    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    schema = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("bytes", pa.int64()), ("c", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,14 +76,16 @@ def _classes(size: int):
                     n.append(len(s))
                     c.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                     sig.append(signature(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([column(rows, "k"), column(rows, "doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([column(rows, "k"), column(rows, "doc_id"), pa.array(n, pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _prefixes(shared):
-    """The PREFIX rarest postings of each class, and how central the class is: its postings' frequencies."""
-    schema = pa.schema([("t", pa.int64()), ("c", pa.int64()), ("central", pa.int64())])
+    """The PREFIX rarest postings of each class, and how central the class is: its postings' frequencies.
+
+    A posting's rows are dealt to `salts` parts, by its frequency, so that a very long list is no hot key."""
+    schema = pa.schema([("t", pa.int64()), ("salts", pa.int32()), ("salt", pa.int32()), ("c", pa.int64()), ("central", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
@@ -89,11 +100,19 @@ def _prefixes(shared):
             c = column(batch, "c").to_numpy(zero_copy_only=False)
             # Ties in centrality fall to the class number, in the low bits.
             central = ((np.log2(n + 1.0).sum(axis=1) * 16).astype(np.int64) << 40) | (c.view(U64) >> U64(24)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(t, order, 1).ravel()), pa.array(np.repeat(c, PREFIX)), pa.array(np.repeat(central, PREFIX))], schema=schema)
+            salts = (np.take_along_axis(n, order, 1).ravel() // SALTED + 1).astype(np.int32)
+            rows = np.repeat(c, PREFIX)
+            salt = (mix64(rows.view(U64)) % salts.astype(U64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.take_along_axis(t, order, 1).ravel(), salts, salt, rows, np.repeat(central, PREFIX))], schema=schema)
 
     return run
 
 
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _counts(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted sets, as a product of their 0/1 matrices over common members."""
     values, place = np.unique(np.concatenate(own + other), return_inverse=True)
@@ -116,28 +135,24 @@ def _counts(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(centre: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], same: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning links among the centre (-1) and members, numbered through left and right; same: right is left.
-
-    Members linked to the centre need no link among themselves. By the triangle inequality of the Jaccard
-    distance, members whose distances to the centre differ by more than the limit aren't linked."""
-    sets = left if same else left + right
+def _links(sets: list[np.ndarray], sigs: np.ndarray, names: list[int], cut: int, labels: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join different labels among sets, of which the first `cut` are compared with the others (with
+    each other where cut is their number). What a link has joined is one label from then on."""
     size = np.array([len(x) for x in sets])
-    both = np.array([len(np.intersect1d(centre, x, assume_unique=True)) for x in sets])
-    union = size + len(centre) - both
-    label = np.arange(len(sets))
-    near = 100 * both >= percent * union
-    for i in np.flatnonzero(near):
-        yield -1, int(i)
-    label[near] = len(sets)
-    far = 1 - both / union
-    cols = np.arange(len(left)) if same else np.arange(len(left), len(sets))
-    for lo in range(0, len(left), 256):
-        rows = np.arange(lo, min(lo + 256, len(left)))
-        ask = (~near[rows][:, None] | ~near[cols][None, :]) & (np.abs(far[rows][:, None] - far[cols][None, :]) <= 1 - percent / 100 + 1e-9) & (rows[:, None] != cols[None, :])
-        rows, ask = rows[ask.any(axis=1)], ask[ask.any(axis=1)]
-        if not len(rows):
+    label = np.unique(np.array(labels), return_inverse=True)[1]
+    same = cut == len(sets)
+    cols = np.arange(len(sets)) if same else np.arange(cut, len(sets))
+    for lo in range(0, cut, 256):
+        rows = np.arange(lo, min(lo + 256, cut))
+        ask = label[rows][:, None] != label[cols][None, :]
+        if ask.any():
+            equal = np.zeros(ask.shape, np.int16)
+            for x, y in zip(sigs[rows].T, sigs[cols].T, strict=True):
+                equal += x[:, None] == y[None, :]
+            ask &= equal >= MATCHES
+        if not ask.any():
             continue
+        rows, ask = rows[ask.any(axis=1)], ask[ask.any(axis=1)]
         use = ask.any(axis=0)
         n = _counts([sets[i] for i in rows], [sets[j] for j in cols[use]])
         hit = np.zeros(ask.shape, bool)
@@ -147,90 +162,138 @@ def _links(centre: np.ndarray, left: list[np.ndarray], right: list[np.ndarray],
             for j in cols[line].tolist():
                 if label[i] != label[j]:
                     label[label == label[j]] = label[i]
-                    yield i, j
+                    yield names[i], names[j]
 
 
-def _confirm(size: int, percent: int):
-    """Sorted by (p, i, j): one pair of blocks of a group, the centre's text first, then members; links that span it."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINK)
+
+
+def _stars(size: int, percent: int):
+    """Sorted by (p, parts, part), the centre's text first: members linked to the centre, one text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre, names, sets, sides = None, None, [], [], []
+        at, centre = None, None
+        for batch in batches:
+            found = []
+            for p, c, text in zip(*(column(batch, x).to_pylist() for x in ("p", "c", "text")), strict=True):
+                if c is None:
+                    if p != at:
+                        at, centre = p, shingles(text, size)
+                elif p == at and _near(centre, shingles(text, size), percent):
+                    found.append((p, c))
+            yield _batch(found)
+
+    return run
+
+
+def _across(size: int, percent: int):
+    """Sorted by (t, t2, i, j): one pair of blocks of a list at a time; links across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, []
 
         def done() -> list[tuple[int, int]]:
-            if centre is None or not names:
+            if at is None or len({x[2] for x in members}) < 2:
                 return []
-            order = sorted(range(len(names)), key=lambda x: sides[x])
-            cut = sum(not x for x in sides)
-            c, s = [names[x] for x in order], [sets[x] for x in order]
-            same = at[1] == at[2]
-            found = _links(centre, s if same else s[:cut], [] if same else s[cut:], same, percent)
-            return [(at[0] if x < 0 else c[x], c[y]) for x, y in found]
+            members.sort(key=lambda x: x[0])
+            cut = len(members) if at[2] == at[3] else sum(not x[0] for x in members)
+            sets = [shingles(x[3], size) for x in members]
+            return list(_links(sets, np.stack([signature(x) for x in sets]), [x[1] for x in members], cut, [x[2] for x in members], percent))
 
         for batch in batches:
-            out = []
-            for p, i, j, c, side, t in zip(*(column(batch, x).to_pylist() for x in ("p", "i", "j", "c", "side", "text")), strict=True):
-                if (p, i, j) != at:
-                    out += done()
-                    at, centre, names, sets, sides = (p, i, j), None, [], [], []
-                own = shingles(t, size)
-                if c is None:
-                    centre = own
-                else:
-                    names.append(c)
-                    sets.append(own)
-                    sides.append(side)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
+            found = []
+            for row in zip(*(column(batch, x).to_pylist() for x in ("t", "t2", "i", "j", "side", "c", "root", "text")), strict=True):
+                if row[:4] != at:
+                    found += done()
+                    at, members = row[:4], []
+                members.append(row[4:])
+            yield _batch(found)
+        yield _batch(done())
 
     return run
 
 
+def _texts(rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(c, text) of the classes that rows(c) name, by one of each class's documents."""
+    need = rows.select("c").distinct().join(reps.select("c", "k"), "c")
+    return docs.join(need, "k").select("c", F.col("text").cast("binary").alias("text")).dropDuplicates(["c"])
+
+
 def _matching(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """pairs(p, c) that agree in MATCHES coordinates, counted by lookup in the signatures."""
-    both = pairs.join(sigs.select(F.col("c"), F.col("sig").alias("s1")), "c").join(sigs.select(F.col("c").alias("p"), F.col("sig").alias("s2")), "p")
-    return both.where(F.size(F.array_intersect("s1", "s2")) >= MATCHES).select("p", "c")
+    """The rows of pairs(p, c, parts) that agree in MATCHES coordinates, counted by lookup in the signatures.
+
+    A centre's signature is looked up for each part of its members, so that it is no hot key."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
+    heads = pairs.select("p", "parts").distinct().join(sigs.select(F.col("c").alias("p"), F.col("sig").alias("s2")), "p")
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
+    both = pairs.join(sigs.select("c", F.col("sig").alias("s1")), "c").join(heads, ["p", "parts", "part"])
+    return both.where(F.size(F.array_intersect("s1", "s2")) >= MATCHES).select("p", "c", "parts", "part")
+
 
+def _star_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): which of pairs(p, c, parts, part) are linked. A part of a centre's members comes with the centre's text."""
+    texts = _texts(pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))), docs, reps)
+    heads = pairs.select("p", "parts", "part").distinct().join(texts.withColumnRenamed("c", "p"), "p").select("p", "parts", "part", F.lit(None).cast("bigint").alias("c"), "text")
+    rows = heads.unionByName(pairs.join(texts, "c").select("p", "parts", "part", "c", "text"))
+    rows = rows.repartition("p", "parts", "part").sortWithinPartitions("p", "parts", "part", F.col("c").asc_nulls_first())
+    return rows.mapInArrow(_stars(size, percent), "u bigint, v bigint")
 
-def _confirmed(groups: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): spanning links of the groups(p, c), each a centre and members that are all to be compared.
 
-    A group is cut into blocks of about BLOCK members; each pair of blocks is a part that one task reads, with the
-    centre's text, so that a large group spreads over many tasks and none holds more than two blocks."""
-    need = groups.select("c").unionByName(groups.select(F.col("p").alias("c"))).distinct().join(reps.select("c", "k"), "c")
-    texts = docs.join(need, "k").select("c", F.col("text").cast("binary").alias("text")).dropDuplicates(["c"])
-    blocks = groups.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    pair = "explode(flatten(transform(sequence(0, n - 1), i -> transform(sequence(i, n - 1), j -> struct(i, j)))))"
-    centres = blocks.join(texts.withColumnRenamed("c", "p"), "p").select("p", F.expr(pair).alias("x"), "text")
-    centres = centres.select("p", "x.i", "x.j", F.lit(None).cast("bigint").alias("c"), F.lit(0).alias("side"), "text")
-    members = groups.join(blocks, "p").join(texts, "c").withColumn("b", F.pmod(F.hash("c"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    members = members.select("p", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("side"), "text")
-    rows = centres.unionByName(members).repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", F.col("c").asc_nulls_first())
-    return rows.mapInArrow(_confirm(size, percent), "u bigint, v bigint")
+def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, c, root, bytes) of lists with several components, with the number of blocks that they need."""
+    lists = rows.groupBy(*keys).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("bytes").alias("sum"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    blocks = F.ceil(F.greatest(F.col("sum") / BLOCK_BYTES, F.col("n") / BLOCK)).cast("int")
+    return rows.join(lists.select(*keys, blocks.alias("blocks")), keys)
+
+
+def _cross_links(lists: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(u, v): links across the components that links make, within lists(t, c). None if no list has several."""
+    roots = components(links)
+    rows = lists.join(reps.select("c", "bytes"), "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    rows = materialize(_blocks(rows.withColumn("root", F.coalesce("root", "c")), ["t"]))
+    if rows.isEmpty():
+        return None
+    # Linked classes share two of their postings: a list of several blocks is divided by the second one.
+    one = rows.where("blocks = 1").withColumn("t2", F.lit(None).cast("bigint"))
+    more = rows.where("blocks > 1").drop("blocks")
+    second = rows.select("c", F.col("t").alias("t2"))
+    more = _blocks(more.join(second, "c").where("t2 <> t"), ["t", "t2"])
+    rows = one.unionByName(more.select(*one.columns)).withColumn("b", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    # Each member goes to the pairs of its own block with every other one.
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("t", "t2", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("side"), "c", "root")
+    rows = rows.join(_texts(rows, docs, reps), "c").repartition("t", "t2", "i", "j").sortWithinPartitions("t", "t2", "i", "j")
+    return rows.mapInArrow(_across(size, percent), "u bigint, v bigint")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): links that connect exactly those classes which chains of linked pairs connect.
 
     Any two linked classes meet in a posting list. The pairs of a short list (SHORT members, so a bounded number
-    for each posting) are counted by signature and those above the threshold confirmed. A long list, as groups
-    of near copies make, becomes a group around its most central class, which most members are linked to."""
+    for each posting), and those of a long list's members with its most central one, are counted by signature
+    and confirmed if above the threshold. Then long lists are searched across the components found."""
     spark = docs.sparkSession
-    reps = materialize(classes.groupBy("c").agg(F.min("k").alias("k")).join(classes.select("c", "k", "sig").dropDuplicates(["c", "k"]), ["c", "k"]))
+    reps = materialize(classes.groupBy("c").agg(F.min("k").alias("k")).join(classes.select("c", "k", "sig", "bytes").dropDuplicates(["c", "k"]), ["c", "k"]))
     total = reps.count()
     limit = max(32, -(-COORDS * total // FREQUENT_POSTINGS))  # at most COORDS * total / limit postings reach it
     often = reps.select(F.explode("sig").alias("t")).groupBy("t").count().where(F.col("count") >= limit).orderBy("t").toPandas()
     shared = spark.sparkContext.broadcast((often["t"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
     sigs = reps.select("c", "sig")
-    lists = sigs.mapInArrow(_prefixes(shared), "t bigint, c bigint, central bigint")
-    heads = lists.groupBy("t").agg(F.max_by("c", "central").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = materialize(lists.select("t", "c").join(heads, "t"))
+    lists = sigs.mapInArrow(_prefixes(shared), "t bigint, salts int, salt int, c bigint, central bigint")
+    heads = lists.groupBy("t").agg(F.max_by("c", "central").alias("p"), F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts")).where("n > 1")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    lists = materialize(lists.select("t", "salt", "c").join(heads, ["t", "salt"]).select("t", "c", "p", "n"))
     short = lists.where(f"n <= {SHORT}").select("t", "c")
-    pairs = short.join(short.select("t", F.col("c").alias("p")), "t").where("p < c").select("p", "c").distinct()
-    long = lists.where(f"n > {SHORT} AND c <> p").select("p", "c").distinct()
-    groups = materialize(_matching(pairs, sigs).unionByName(long).distinct())
-    return _confirmed(groups, docs, reps, size, percent)
+    pairs = short.join(short.select("t", F.col("c").alias("p")), "t").where("p < c").select("p", "c", F.lit(1).alias("n"))
+    long = lists.where(f"n > {SHORT}")
+    pairs = pairs.unionByName(long.where("c <> p").select("p", "c", "n")).groupBy("p", "c").agg(F.ceil(F.max("n") / STAR).cast("int").alias("parts"))
+    links = materialize(_star_links(materialize(_matching(pairs, sigs)), docs, reps, size, percent))
+    more = _cross_links(long.select("t", "c"), links, docs, reps, size, percent)
+    return links if more is None else links.unionByName(more)
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, key: bool = False) -> DataFrame:
@@ -243,8 +306,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, key: bool = Fa
     shingle and are linked with nothing. A null doc_id gets the least id of its class; where all of a class are
     null, so is the component, and they are kept. With `key` the row key k, xxhash64 of doc_id and text, comes too."""
     docs = docs.select("doc_id", "text").withColumn("k", row_key())
-    classes = materialize(docs.select("k", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_classes(size), "k bigint, doc_id bigint, n_shingles bigint, c bigint, sig array<bigint>"))
-    links = materialize(link_classes(docs.select("k", "text"), classes.where("c IS NOT NULL").select("k", "c", "sig"), size, percent))
+    classes = materialize(docs.select("k", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_classes(size), "k bigint, doc_id bigint, n_shingles bigint, bytes bigint, c bigint, sig array<bigint>"))
+    links = materialize(link_classes(docs.select("k", "text"), classes.where("c IS NOT NULL").select("k", "c", "sig", "bytes"), size, percent))
     roots = components(links)
     least = classes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))

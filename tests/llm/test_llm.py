@@ -282,17 +282,35 @@ def test_near_dedup_brute_force(spark):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
-def test_near_dedup_blocks(monkeypatch):
-    """Pairs of blocks find what whole groups find."""
+@pytest.mark.parametrize("block", [1000, 6])
+def test_near_dedup_links_across_components(spark, monkeypatch, block):
+    """Chains of drifting copies, whose ends and many members are not linked to their most central one."""
+    monkeypatch.setattr(neardup, "BLOCK", block)  # so that lists are divided and compared block by block
+    monkeypatch.setattr(neardup, "STAR", 7)
+    rng = np.random.default_rng(5)
+    rows, words_ = [], [[f"g{g}w{i}" for i in range(150)] for g in range(2)]
+    for i in range(70):
+        w = words_[i % 2]
+        at = int(rng.integers(0, 140))
+        w[at : at + int(rng.integers(1, 4))] = [f"n{i}"]
+        if i % 3 == 0:
+            w = w[:75] + [f"tail{i}x{j}" for j in range(int(rng.integers(0, 60)))]
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[j : j + 4]) for w in [t.split()] for j in range(len(w) - 3)} for i, t in rows}
+    want = _components(sets)
+    assert 2 < len(set(want.values())) < 70
+    got = {r.doc_id: r.component_id for r in neardup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4).collect()}
+    assert got == want
+
+
+def test_near_dedup_block_links():
+    """Pairs of blocks find what the whole finds, and nothing is asked within a label."""
     rng = np.random.default_rng(5)
     base = np.sort(rng.choice(10**6, 100, replace=False).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, 100 - n, replace=False), rng.choice(10**6, n).astype(np.uint64)])) for n in rng.integers(0, 25, 40)]
-    want = _components({i: set(s.tolist()) for i, s in enumerate([base, *sets], -1)})
-    for parts in ([(sets, [], True)], [(sets[:20], [], True), (sets[20:], [], True), (sets[:20], sets[20:], False)]):
-        links = []
-        for n, (a, b, same) in enumerate(parts):
-            shift = 20 if n == 1 else 0
-            links += [(x + shift if x >= 0 else x, y + shift) for x, y in neardup._links(base, a, b, same, 80)]
+    sigs = np.stack([neardup.signature(x) for x in sets])
+    want = _components({i: set(s.tolist()) for i, s in enumerate(sets)})
+    for parts in ([(range(40), 40)], [(range(20), 20), (range(20, 40), 20), (range(40), 20)]):
         root = {i: i for i in want}
 
         def find(x, root=root):
@@ -300,10 +318,13 @@ def test_near_dedup_blocks(monkeypatch):
                 x = root[x]
             return x
 
-        for x, y in links:
-            x, y = sorted((find(x), find(y)))
-            root[y] = x
+        for rows, cut in parts:
+            rows = list(rows)
+            for x, y in neardup._links([sets[i] for i in rows], sigs[rows], rows, cut, rows, 80):
+                x, y = sorted((find(x), find(y)))
+                root[y] = x
         assert {i: find(i) for i in want} == want
+    assert not list(neardup._links(sets, sigs, list(range(40)), 40, [0] * 40, 80))
 
 
 def test_near_dedup_odd_rows(spark):
