@@ -10,9 +10,8 @@ from rasterloom.llm.common import materialize
 #: A normalised line is boilerplate in a host where it is in more than LINE_FLOOR distinct documents and in more
 #: than LINE_SHARE of the host's. However large the host, more than LINE_MOST distinct documents suffice.
 LINE_FLOOR, LINE_SHARE, LINE_MOST = 5, 0.02, 200
-#: Copies count as one distinct document: a document is known by the least md5 of its 3-word windows that begin
-#: with a word of SKETCH_LETTERS code points or more, which near copies share as often as they share windows.
-SKETCH_LETTERS = 7
+#: Copies count as one distinct document: a document is known by the least md5 of its 3-word windows, which near
+#: copies share as often as they share windows.
 #: A document is depleted if, without such lines, fewer than this share of its words is left.
 LEFT_SHARE = 0.2
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -70,13 +69,9 @@ def repeat_words(rows: DataFrame, w: str, out: str) -> DataFrame:
 
 
 def sketch(w: Column, text: Column) -> Column:
-    """What a document and its copies are known by: see SKETCH_LETTERS. Without a word of that length all windows
-    count; a text of fewer than three words is known by its own md5."""
-
-    def least(which) -> Column:
-        return F.array_min(F.transform(w, lambda x, i: F.when(which(x) & (i < F.size(w) - 2), F.md5(F.concat_ws(" ", x, *_window(w, i)).cast("binary")))))
-
-    return F.coalesce(least(lambda x: F.length(x) >= SKETCH_LETTERS), least(lambda x: F.lit(True)), F.md5(text.cast("binary")))
+    """What a document and its copies are known by: the least md5 of a 3-word window, or of a shorter text."""
+    windows = F.transform(w, lambda x, i: F.when(i < F.size(w) - 2, F.md5(F.concat_ws(" ", x, *_window(w, i)).cast("binary"))))
+    return F.coalesce(F.array_min(windows), F.md5(text.cast("binary")))
 
 
 def examined(docs: DataFrame) -> DataFrame:
