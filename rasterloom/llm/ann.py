@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, several times over. Each projection, shifted, gives an ordering
-along a Hilbert curve; the ordering is cut into ranges, which Spark deals out. A query meets the vectors
-of its own range and of its neighbours in each ordering; the exact scores of all of them are merged."""
+along a Hilbert curve, which is cut into ranges. A query meets the vectors whose range lies in its window of
+ranges in at least one ordering. Every vector is stored once, in the cell that its ranges in all orderings
+name; a query is sent to the cells that its windows reach, so a pair that meets in several orderings is still
+scored once. The best of all cells are merged and ranked by exact scores."""
 
 from __future__ import annotations
 
@@ -11,19 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import column, materialize
 
-#: Curves, dimensions and bits of each, ranges of an ordering and neighbours on either side. On vectors
-#: without low-dimensional structure recall comes from the share of an ordering that a query meets, here
-#: 7 of 16 ranges; the README has measured recall.
-CURVES, DIMS, BITS, RANGES, NEIGHBOURS, SEED = 6, 4, 10, 16, 3, 29
-#: Orderings of all lengths of vectors together; their cuts are literals of the plan.
-MAX_ORDERINGS = 600
-#: A range of more rows than this is cut into blocks that are searched one by one.
-BLOCK_ROWS = 20_000
+#: Curves, dimensions and bits of each, ranges of an ordering and those of a query's window. On vectors without
+#: low-dimensional structure recall comes from the share of pairs that meet, here 1 - (1 - WINDOW / RANGES) ** CURVES
+#: = 0.875 of all, at any size; the README has measured recall.
+CURVES, DIMS, BITS, RANGES, WINDOW, SEED = 3, 2, 16, 4, 2, 29
+#: Cuts are taken at 24ths of an ordering, which halves of 1, 2, 3 or 4 ranges fall on.
+STEPS = 24
+#: Vectors and queries that one task holds at a time, and distinct vectors that a task of the first pass remembers.
+BLOCK_ROWS, BLOCK_QUERIES, REMEMBERED = 20_000, 5_000, 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,64 +64,66 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def _distinct(k: int):
-    """Distinct vectors of a batch with the k + 1 smallest distinct ids of each, so that ties by id stay exact."""
+    """Distinct vectors with the k + 1 smallest distinct ids of each, so that ties by id stay exact. A task
+    remembers up to REMEMBERED vectors, so a very common one comes out a few times for each task."""
     schema = pa.schema([("v", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
+    def out(ids: dict[bytes, set[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(x)[: k + 1] for x in ids.values()], pa.list_(pa.int64()))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[bytes, set[int]] = {}
         for batch in batches:
-            ids: dict[bytes, list[int]] = {}
             for i, v in zip(column(batch, "vec_id").to_pylist(), column(batch, "embedding").to_pylist(), strict=True):
                 if i is None or v is None or not v or any(x is None for x in v):
                     continue
                 a = np.asarray(v, np.float64) + 0.0  # -0.0 becomes 0.0
                 if np.isfinite(a).all() and a.any():
-                    ids.setdefault(a.tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array([sorted(set(x))[: k + 1] for x in ids.values()], pa.list_(pa.int64()))], schema=schema)
+                    own = ids.setdefault(a.tobytes(), set())
+                    own.add(i)
+                    if len(own) > 2 * k + 2:
+                        own.difference_update(sorted(own)[k + 1 :])
+                if len(ids) > REMEMBERED:
+                    yield out(ids)
+                    ids = {}
+        yield out(ids)
 
     return run
 
 
-def _keys(curves: int, dims: int, bits: int):
-    schema = pa.schema([("v", pa.binary()), ("curve", pa.int32()), ("key", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = column(batch, "v").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, r in enumerate(raw):
-                by_size.setdefault(len(r), []).append(i)
-            for size, rows in by_size.items():
-                own = [raw[i] for i in rows]
-                x = _matrix(own)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                n = size // 8
-                rng = np.random.default_rng([SEED, n])
-                for c in range(curves):
-                    axes = np.linalg.qr(rng.normal(size=(n, min(n, dims))))[0]
-                    shift = rng.uniform(0, 0.25, axes.shape[1])
-                    # Coordinates of unit vectors along an axis have about the deviation n ** -0.5.
-                    at = np.clip((x @ axes) * np.sqrt(n) / 8 + 0.5 + shift - 0.125, 0, 1 - 1e-9)
-                    key = hilbert_keys((at * (1 << bits)).astype(np.int64), bits)
-                    # Vectors of another length have orderings of their own.
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), n * curves + c, np.int32)), pa.array(key)], schema=schema)
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector with its number of components and its place along every curve; lengths have curves of their own."""
+    schema = pa.schema([("v", pa.binary()), ("ids", pa.list_(pa.int64())), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    for batch in batches:
+        raw = column(batch, "v").to_pylist()
+        keys = np.zeros((len(raw), CURVES), np.int64)
+        sizes = np.array([len(r) // 8 for r in raw], np.int32)
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            x = _matrix([raw[i] for i in rows])
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            rng = np.random.default_rng([SEED, n])
+            for c in range(CURVES):
+                axes = np.linalg.qr(rng.normal(size=(n, min(n, DIMS))))[0]
+                shift = rng.uniform(-0.125, 0.125, axes.shape[1])
+                # Coordinates of unit vectors along an axis have about the deviation n ** -0.5.
+                at = np.clip((x @ axes) * np.sqrt(n) / 8 + 0.5 + shift, 0, 1 - 1e-9)
+                keys[rows, c] = hilbert_keys((at * (1 << BITS)).astype(np.int64), BITS)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, CURVES * len(raw) + 1, CURVES, dtype=np.int32)), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), column(batch, "ids"), pa.array(sizes), flat], schema=schema)
 
 
 def _search(k: int):
-    """One block of an ordering: its vectors, and the queries that look there."""
+    """A block of a cell's vectors and one of the queries that look there."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        rows = rows.assign(size=rows["v"].map(len))
-        for _, same in rows.groupby("size"):
-            data, asked = same[same["query"].isna()], same[same["query"].notna()]
-            if not len(data) or not len(asked):
-                continue
+        data, asked = rows[rows["query"].isna()], rows[rows["query"].notna()]
+        if len(data) and len(asked):
             x, ids = _matrix(data["v"].tolist()), data["ids"].tolist()
-            for i in range(0, len(asked), 512):
-                part = asked.iloc[i : i + 512]
+            for i in range(0, len(asked), 128):
+                part = asked.iloc[i : i + 128]
                 scores = _matrix(part["v"].tolist()) @ x.T
                 # One more than k, as the query's own vector may be the first.
                 near = np.argpartition(-scores, k, axis=1)[:, : k + 1] if scores.shape[1] > k + 1 else np.tile(np.arange(scores.shape[1]), (len(part), 1))
@@ -142,7 +146,37 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, ranges: int = RANGES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _placed(entries: DataFrame, k: int) -> DataFrame:
+    """entries with `own`, the number of ranges, `half`, for each curve the half range that the vector is in, and its cell.
+
+    Cuts are quantiles of each ordering. Ranges are as many as leave each over k entries: a few rows are one range."""
+    quantiles = [i / STEPS for i in range(1, STEPS)]
+    cuts = entries.groupBy("n").agg(F.count(F.lit(1)).alias("entries"), *(F.percentile_approx(F.col("keys")[c], quantiles, 2000).alias(f"cuts{c}") for c in range(CURVES)))
+    own = F.greatest(F.least(F.lit(RANGES), F.expr(f"entries div {2 * (k + 1)}")), F.lit(1)).cast("int")
+    rows = entries.join(cuts.withColumn("own", own), "n")
+    half = F.array(*(F.expr(f"cast(size(filter(cuts{c}, x -> x < keys[{c}])) * own div {STEPS // 2} as int)") for c in range(CURVES)))
+    rows = rows.select("v", "ids", "n", "own", half.alias("half"))
+    cell = sum((F.col("half")[c].bitwiseAND(F.lit(-2)) / 2 * RANGES**c for c in range(CURVES)), F.lit(0))
+    return rows.withColumn("cell", cell.cast("int"))
+
+
+def _reached() -> Column:
+    """The cells that a query's windows reach: its range and the one on its nearer side, inside the ordering, in any curve."""
+    cells = F.sequence(F.lit(0), F.lit(RANGES**CURVES - 1))
+
+    def met(cell: Column) -> Column:
+        here, there = F.lit(True), F.lit(False)
+        for c in range(CURVES):
+            r = F.floor(cell / RANGES**c) % RANGES
+            first = F.least(F.floor((F.col("half")[c] - 1) / 2), F.col("own") - WINDOW)
+            first = F.greatest(first, F.lit(0))
+            here, there = here & (r < F.col("own")), there | ((r >= first) & (r < first + WINDOW))
+        return here & there
+
+    return F.filter(cells, met)
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """The k nearest by inner product of each query, approximately.
 
     In: vectors(vec_id, embedding array of float or double, any more). Queries are the rows whose vec_id is
@@ -150,34 +184,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     score (double). Nearest first, ties to the smaller vec_id; fewer rows where fewer candidates of the same
     length exist. Rows with a null id, a null, empty or zero vector, or null or non-finite components take
     no part. Equal vectors are one entry of the index with their k + 1 smallest distinct ids, which is exact. A
-    vec_id that occurs with several vectors is each of them and comes once, with its best score."""
+    vec_id that occurs with several vectors is each of them and comes once, with its best score.
+
+    Of n entries and q queries, at most 0.875 * n * q pairs are scored, each once, in tasks of BLOCK_ROWS by
+    BLOCK_QUERIES at most; a query is copied to 56 of 64 cells for each block of theirs."""
     entries = vectors.select("vec_id", "embedding").mapInArrow(_distinct(k), "v binary, ids array<bigint>")
-    entries = materialize(entries.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
-    keys = materialize(entries.select("v").mapInArrow(_keys(curves, dims, bits), "v binary, curve int, key bigint"))
-    # Ranges are cut at quantiles of each ordering, so many that each has over k entries: a few rows are one range.
-    found = keys.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 2000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()
-    if len(found) > MAX_ORDERINGS:
-        raise ValueError(f"more than {MAX_ORDERINGS // curves} lengths of vectors")
-    cuts = {}
-    for r in found:
-        own = max(1, min(ranges, r["n"] // (2 * (k + 1))))
-        cuts[r["curve"]] = [r["cuts"][round(i * ranges / own) - 1] for i in range(1, own)]
-    table = F.create_map(*(x for c, v in sorted(cuts.items()) for x in (F.lit(c), F.array(*(F.lit(y).cast("bigint") for y in v)).cast("array<bigint>")))) if cuts else F.lit(None).cast("map<int,array<bigint>>")
-    placed = keys.withColumn("cuts", table[F.col("curve")])
-    placed = placed.select("v", "curve", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("r"), F.size("cuts").alias("last"))
-    blocks = max(1, -(-entries.count() // (ranges * BLOCK_ROWS)))
-    data = placed.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).join(entries, "v").select("curve", "r", "b", "v", "ids", F.lit(None).cast("bigint").alias("query"))
+    entries = entries.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    entries = materialize(entries.mapInArrow(_keys, "v binary, ids array<bigint>, n int, keys array<bigint>"))
+    placed = materialize(_placed(entries, k))
     queries = vectors.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(_as_binary, "query bigint, v binary")
-    first = F.greatest(F.least(F.col("r") - neighbours, F.col("last") - 2 * neighbours), F.lit(0))  # at an end, more on the other side
-    reach = F.sequence(first, F.least(first + 2 * neighbours, F.col("last")))
-    asked = queries.join(placed, "v").withColumn("r", F.explode(reach)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.select("curve", "r", "b", "v", F.lit(None).cast("array<bigint>").alias("ids"), "query")
-    hits = data.unionByName(asked).groupBy("curve", "r", "b").applyInPandas(_search(k), "query_id bigint, ids array<bigint>, scores array<double>")
+    asked = queries.join(placed.select("v", "n", "own", "half"), "v").select("query", "v", "n", F.explode(_reached()).alias("cell"))
+    # How many blocks a cell's vectors and its queries need: at most 64 rows for each length of vectors.
+    size = placed.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    asking = asked.groupBy("n", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("askers"))
+    size = materialize(size.join(asking, ["n", "cell"]))
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = placed.join(size, ["n", "cell"]).withColumn("b", F.pmod(F.xxhash64("v"), "blocks").cast("int")).withColumn("a", every_("askers"))
+    data = data.select("n", "cell", "b", "a", "v", "ids", F.lit(None).cast("bigint").alias("query"))
+    asked = asked.join(size, ["n", "cell"]).withColumn("a", F.pmod(F.xxhash64("query"), "askers").cast("int")).withColumn("b", every_("blocks"))
+    asked = asked.select("n", "cell", "b", "a", "v", F.lit(None).cast("array<bigint>").alias("ids"), "query")
+    hits = data.unionByName(asked).groupBy("n", "cell", "b", "a").applyInPandas(_search(k), "query_id bigint, ids array<bigint>, scores array<double>")
     pairs = hits.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     merged = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("i", "x"))
-    return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return merged.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def _as_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -10,10 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than the ASCII white space \x20 and \x09-\x0D.
-#: ``bytes.split()`` splits on exactly that set.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-WORD_CACHE = 200_000
+#: A word is a run of characters other than the ASCII white space \x20 and \x09-\x0D; ``bytes.split()`` splits on
+#: exactly that set. A worker remembers the hashes of so many words (about 10 MB).
+WORD_CACHE = 60_000
 U64 = np.uint64
 
 
@@ -22,8 +23,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; /tmp/checkpoints only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh folder under spark.checkpoint.dir. Where that is unset, a temporary folder if the driver and the
+    executors are one process (as in tests); on a cluster that is an error, as its machines share none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/spark-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

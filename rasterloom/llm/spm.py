@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import column, text_slices
 
 MARK = "▁"
-TABLE_WORDS = 250_000
-TABLE_BYTES = 48_000_000
+#: Bounds of a worker's table. Beyond them it keeps the words of the texts at hand.
+TABLE_WORDS, TABLE_BYTES = 120_000, 48_000_000
 _SCHEMA = "doc_id bigint, ids array<int>, decoded string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -57,6 +57,20 @@ class Chunks:
         self.bytes = 0
         self.flat = None
 
+    def shrink(self, words: set[str]) -> None:
+        """Forget all words but these: those in the texts at hand, which the most frequent ones are among."""
+        kept = [(w, self.ids[i], self.text[i]) for w in sorted(words) for i in (self.index[w],)]
+        self.clear()
+        for w, x, t in kept:
+            self.put(w, x, t)
+
+    def put(self, word: str, ids: list[int], text: str) -> None:
+        self.index[word] = len(self.ids)
+        self.ids.append(ids)
+        self.text.append(text)
+        # Two strings, a list and its integers with their headers, and their places in the table.
+        self.bytes += 330 + 4 * len(word) + 12 * len(ids)
+
     def split(self, text: str) -> list[str]:
         """Marked words: a run of markers with what follows up to the next marker, cut before newlines too,
         which no piece holds. The marker that the library puts before a text is written out."""
@@ -78,10 +92,7 @@ class Chunks:
         for i, t in zip(at, self.sp.decode([self.letter + ids[i] for i in at], num_threads=1), strict=True):
             texts[i] = t[1:]
         for w, x, t in zip(words, ids, texts, strict=True):
-            self.index[w] = len(self.ids)
-            self.ids.append(x)
-            self.text.append(t)
-            self.bytes += 2 * len(w) + 36 * len(x)
+            self.put(w, x, t)
         self.flat = None
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +106,7 @@ class Chunks:
         split = [self.split(t) for t in texts]
         fresh = set(chain.from_iterable(split)) - self.index.keys()
         if len(self.index) + len(fresh) > TABLE_WORDS or self.bytes > TABLE_BYTES:
-            self.clear()
-            fresh = set(chain.from_iterable(split))
+            self.shrink(set(chain.from_iterable(split)) - fresh)
         if fresh:
             self.add(sorted(fresh))
         flat, begin, sizes = self.tables()
