@@ -22,8 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least doc_id."""
-    kept = neardup.near_dedup(docs, key=True).where("kept").select("k").distinct()
+    """One document of each class of near duplicates stays: the one with the least doc_id, of rows that share it the one with the least key."""
+    found = neardup.near_dedup(docs, key=True)
+    alone = found.where("kept AND component_id IS NULL").select("k").distinct()  # without an id: no class to choose in
+    least = found.where("kept AND component_id IS NOT NULL").groupBy("component_id", F.expr("n_shingles > 0 AS linked"), F.expr("if(n_shingles > 0, 0, k) AS own")).agg(F.min("k").alias("k"))
+    kept = least.select("k").unionByName(alone).distinct()
     rows = docs.select(*COLUMNS, row_key().alias("k")).join(kept, "k", "left_semi")
     one = F.row_number().over(Window.partitionBy("k").orderBy("k"))  # rows repeated whole
     return rows.withColumn("n", one).where("n = 1").select(*COLUMNS)
