@@ -4,7 +4,8 @@ Conversations that share initial turns share the tree nodes of these turns. A no
 parent's key and its turn, so a key stands for a whole prefix. Sorted by their sequences of keys, leaves
 are in depth-first order, and each leaf emits the nodes that no leaf before it has: one segment of the
 stream. A segment's tokens attend to those before them in the segment and to the intervals of the stream
-that hold its ancestors; position ids go on from the ancestors' tokens. A token is a code point here."""
+that hold its ancestors; position ids go on from the ancestors' tokens. A token is a code point, or, with a
+tokenizer, one of the ids that it gives for a formatted turn."""
 
 from __future__ import annotations
 
@@ -59,29 +60,50 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by conversation and turn: the formatted turn and its node; with the last one, the path."""
-    schema = pa.schema([("conv", pa.int64()), ("depth", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("role", pa.string()), ("formatted", pa.string()), ("chars", pa.int64()), ("before", pa.int64()), ("path", pa.binary())])
-    conv, key, depth, before, path = object(), b"", 0, 0, []
-    for batch in batches:
-        out: list[list] = [[] for _ in schema]
-        for c, role, text, last in zip(*(column(batch, x).to_pylist() for x in ("conv_id", "role", "text", "last")), strict=True):
-            if c != conv:
-                conv, key, depth, before, path = c, b"", 0, 0, []
-            role, text = role or "", text or ""
-            s = format_turn(role, text)
-            parent, key = key, hashlib.blake2b(key + s.encode(), digest_size=16).digest()
-            path.append(key)
-            for o, x in zip(out, (c, depth, key, parent, role, s, len(s), before, b"".join(path) if last else None), strict=True):
-                o.append(x)
-            depth, before = depth + 1, before + len(s)
-        yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+def _encoder(tokenizer: str | None):
+    """A function from a formatted turn to its ids; None without a tokenizer."""
+    if tokenizer is None:
+        return None
+    if tokenizer.endswith(".json"):
+        from tokenizers import Tokenizer
 
+        tok = Tokenizer.from_file(tokenizer)
+        return lambda s: tok.encode(s, add_special_tokens=False).ids
+    import sentencepiece
 
-_TURNS = "conv bigint, depth int, node binary, parent binary, role string, formatted string, chars bigint, before bigint, path binary"
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer).encode
 
 
-def conversation_turns(conversations: DataFrame) -> DataFrame:
+def _turns(tokenizer: str | None):
+    """Rows sorted by conversation and turn: the formatted turn and its node; with the last one, the path."""
+    schema = pa.schema([("conv", pa.int64()), ("depth", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("role", pa.string()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("size", pa.int64()), ("before", pa.int64()), ("path", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer)
+        conv, key, depth, before, path = object(), b"", 0, 0, []
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for c, role, text, last in zip(*(column(batch, x).to_pylist() for x in ("conv_id", "role", "text", "last")), strict=True):
+                if c != conv:
+                    conv, key, depth, before, path = c, b"", 0, 0, []
+                role, text = role or "", text or ""
+                s = format_turn(role, text)
+                ids = encode(s) if encode else None
+                size = len(s if ids is None else ids)
+                parent, key = key, hashlib.blake2b(key + s.encode(), digest_size=16).digest()
+                path.append(key)
+                for o, x in zip(out, (c, depth, key, parent, role, s, ids, size, before, b"".join(path) if last else None), strict=True):
+                    o.append(x)
+                depth, before = depth + 1, before + size
+            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+_TURNS = "conv bigint, depth int, node binary, parent binary, role string, formatted string, ids array<int>, size bigint, before bigint, path binary"
+
+
+def conversation_turns(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Formatted turns with node, parent, depth and tokens before; `path` (all nodes) in a conversation's last row.
 
     A conversation streams through one task in the order of (turn, role, text), nulls first, and only its 16-byte
@@ -89,7 +111,7 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     last = F.lead(F.lit(1)).over(Window.partitionBy("conv_id").orderBy(*order[1:])).isNull()
-    return rows.withColumn("last", last).select("conv_id", "role", "text", "last").mapInArrow(_turns, _TURNS)
+    return rows.withColumn("last", last).select("conv_id", "role", "text", "last").mapInArrow(_turns(tokenizer), _TURNS)
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,21 +124,23 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The depth-first stream of shared turns.
 
-    In: conversations(conv_id, turn, role, text, any more); null roles and texts are empty, a null conv_id is
+    In: conversations(conv_id, turn, role, text, any more), and the path of a .json or .model tokenizer if
+    places are to count its ids instead of code points; null roles and texts are empty, a null conv_id is
     one conversation, and rows that repeat (conv_id, turn) are turns of their own in the order of role, text.
 
     Out, as tables in the shared folder:
     segments: leaf (long, in depth-first order), start, end (places in the stream), position (of the first
-      token; they go on by one), tokens (string), attention (array<struct<leaf, start, end>>: the ancestors' intervals, and whose
+      token; they go on by one, see position_ids), tokens (string), ids (array<int>, null without a
+      tokenizer; each turn is encoded by itself), attention (array<struct<leaf, start, end>>: the ancestors' intervals, and whose
       segment each lies in);
     nodes: node, parent, depth, role, formatted, leaf (whose segment has it), start, end, position;
     leaves: leaf, node (last of its path), path;
     members: conv_id, node (last of its path), n_turns."""
     parts = parallelism(conversations.sparkSession)
-    turns = materialize(conversation_turns(conversations))
+    turns = materialize(conversation_turns(conversations, tokenizer))
     ends = turns.where("path IS NOT NULL")
     members = ends.select(F.col("conv").alias("conv_id"), "node", (F.col("depth") + 1).cast("bigint").alias("n_turns"))
     # Equal conversations are one leaf. Ranges of paths split trees, so a common first turn is no hot group.
@@ -126,25 +150,31 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     steps = F.expr("transform(sequence(1, cast(length(path) as int), 16), (p, i) -> struct(i as depth, substring(path, p, 16) as node))")
     on_path = leaves.select("leaf", F.explode(steps).alias("x")).select("leaf", "x.depth", "x.node")
     owner = on_path.groupBy("node").agg(F.min("leaf").alias("leaf"))
-    one = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("formatted").alias("formatted"), F.first("chars").alias("chars"), F.first("before").alias("position"))
+    one = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("formatted").alias("formatted"), F.first("ids").alias("ids"), F.first("size").alias("size"), F.first("before").alias("position"))
     owned = materialize(one.join(owner, "node"))
     # Places in the stream: running sums in each range of leaves, after the sums of the ranges before it.
     part = F.shiftrightunsigned("leaf", 40)
-    sums = owned.groupBy(part.alias("part")).agg(F.sum("chars").alias("chars"))
-    base = sums.select("part", (F.sum("chars").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")).alias("base"))
+    sums = owned.groupBy(part.alias("part")).agg(F.sum("size").alias("size"))
+    base = sums.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("base"))
     order = Window.partitionBy("part").orderBy("leaf", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nodes = owned.withColumn("part", part).withColumn("sum", F.sum("chars").over(order)).join(F.broadcast(base), "part")
+    nodes = owned.withColumn("part", part).withColumn("sum", F.sum("size").over(order)).join(F.broadcast(base), "part")
     end = F.col("base") + F.col("sum")
-    nodes = materialize(nodes.select("node", "parent", "depth", "role", "formatted", "leaf", (end - F.col("chars")).alias("start"), end.alias("end"), "position"))
-    segments = nodes.groupBy("leaf").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("position").alias("position"), F.sort_array(F.collect_list(F.struct("depth", "formatted"))).alias("parts"))
+    nodes = materialize(nodes.select("node", "parent", "depth", "role", "formatted", "ids", "leaf", (end - F.col("size")).alias("start"), end.alias("end"), "position"))
+    segments = nodes.groupBy("leaf").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("position").alias("position"), F.sort_array(F.collect_list(F.struct("depth", "formatted", "ids"))).alias("parts"))
     ancestors = on_path.join(nodes.select("node", F.col("leaf").alias("owner"), "start", "end"), "node").where("owner <> leaf")
     spans = ancestors.groupBy("leaf", "owner").agg(F.min("start").alias("start"), F.max("end").alias("end"))  # a path meets a segment in one stretch
     attention = spans.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(F.col("owner").alias("leaf"), "start", "end"))).alias("attention"))
     none = F.array().cast("array<struct<leaf:bigint,start:bigint,end:bigint>>")
-    segments = segments.join(attention, "leaf", "left").select("leaf", "start", "end", "position", F.array_join("parts.formatted", "").alias("tokens"), F.coalesce("attention", none).alias("attention"))
+    segments = segments.join(attention, "leaf", "left").select("leaf", "start", "end", "position", F.array_join("parts.formatted", "").alias("tokens"), F.flatten("parts.ids").alias("ids"), F.coalesce("attention", none).alias("attention"))
     return materialize(segments), nodes, leaves, members
 
 
+def position_ids(segments: DataFrame) -> DataFrame:
+    """segments with `position_ids` (array<bigint>): the position of each token."""
+    last = F.col("position") + F.col("end") - F.col("start") - 1
+    return segments.withColumn("position_ids", F.sequence("position", last))
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of a leaf's tokens in order, parsed turn by turn and digested; only an unfinished turn is held."""
     schema = pa.schema([("leaf", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -179,7 +209,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_conversations(segments: DataFrame, leaves: DataFrame, members: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the stream.
 
-    A leaf's tokens are what its attention intervals and its own segment hold, in order of place."""
+    The tree must have been made without a tokenizer. A leaf's tokens are what its attention intervals and its own segment hold, in order of place."""
     own = F.array(F.struct("leaf", "start", "end"))
     wanted = segments.select(F.col("leaf").alias("reader"), F.explode(F.concat("attention", own)).alias("x")).select("reader", "x.leaf", "x.start", "x.end")
     held = segments.select("leaf", F.col("start").alias("origin"), "tokens")

@@ -19,7 +19,7 @@ from rasterloom.llm.common import column, text_slices
 DIMENSIONS, ORDER, SEED = 1024, 3, 20_111
 #: The prototypes are broadcast: 8 KB each, so 16 MB for this many languages; more are refused.
 MAX_LANGUAGES = 2_000
-GRAM_CACHE = 16_000
+GRAM_CACHE, GRAM_BLOCK = 16_000, 4_096
 
 _letters: dict[int, np.ndarray] = {}
 _grams: dict[tuple, np.ndarray] = {}
@@ -53,8 +53,9 @@ def _is_letter() -> np.ndarray:
     return _alpha
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, list[tuple], np.ndarray]:
-    """Counts (text x distinct n-gram), the n-grams' code points, and whether each text has a letter.
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple], np.ndarray]:
+    """Sparse counts of n-grams, by n-gram: (rank of the n-gram, text, count), the n-grams' code points, and
+    whether each text has a letter.
 
     Text is lower-cased; a run of other characters than letters is one space, at both ends of a text too."""
     low = [" " + t.lower() + " " for t in texts]
@@ -69,7 +70,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, list[tuple], np.ndarray]:
     alphabet, x = np.unique(codes, return_inverse=True) if len(codes) < 1000 else _ranks(codes)
     n = len(codes) - ORDER + 1
     if n <= 0:
-        return np.zeros((len(low), 0), np.float32), [], has
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), [], has
     gram = np.zeros(n, np.int64)
     for place in range(ORDER):
         gram = gram * len(alphabet) + x[place : place + n]
@@ -83,9 +84,15 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, list[tuple], np.ndarray]:
         gram = rank[gram]
     else:
         present, gram = np.unique(gram, return_inverse=True)
-    counts = np.bincount(doc * len(present) + gram, minlength=len(low) * len(present)).reshape(len(low), -1).astype(np.float32)
+    cell = gram * len(low) + doc
+    if len(present) * len(low) <= 4_000_000:
+        many = np.bincount(cell, minlength=len(present) * len(low))
+        cell = np.flatnonzero(many)
+        many = many[cell]
+    else:
+        cell, many = np.unique(cell, return_counts=True)
     digits = [alphabet[present // len(alphabet) ** (ORDER - 1 - place) % len(alphabet)] for place in range(ORDER)]
-    return counts, list(zip(*(d.tolist() for d in digits), strict=True)), has
+    return cell // len(low), cell % len(low), many.astype(np.float32), list(zip(*(d.tolist() for d in digits), strict=True)), has
 
 
 def _ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +102,19 @@ def _ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundles(texts: list[str], weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of each text's n-gram vectors (or, with weight (k x text), of k weighted sums of texts)."""
-    counts, grams, has = gram_counts(texts)
-    if weight is not None:
-        counts = weight.astype(np.float32) @ counts
-    out = np.zeros((len(counts), DIMENSIONS), np.float32)
-    for i in range(0, len(grams), 4096):
-        part = grams[i : i + 4096]
-        out += counts[:, i : i + 4096] @ np.stack([gram_vector(g) for g in part]).astype(np.float32)
+    """Sum of each text's n-gram vectors (or, with weight (k x text), of k weighted sums of texts).
+
+    Counts are made dense for GRAM_BLOCK n-grams at a time, so that a large alphabet takes time, not memory."""
+    gram, doc, many, grams, has = gram_counts(texts)
+    out = np.zeros((len(texts) if weight is None else len(weight), DIMENSIONS), np.float32)
+    for i in range(0, len(grams), GRAM_BLOCK):
+        part = grams[i : i + GRAM_BLOCK]
+        lo, hi = np.searchsorted(gram, [i, i + GRAM_BLOCK])
+        counts = np.zeros((len(texts), len(part)), np.float32)
+        counts[doc[lo:hi], gram[lo:hi] - i] = many[lo:hi]
+        if weight is not None:
+            counts = weight.astype(np.float32) @ counts
+        out += counts @ np.stack([gram_vector(g) for g in part]).astype(np.float32)
     return out, has
 
 
@@ -112,7 +124,7 @@ def held_out() -> F.Column:
 
 
 def _parts(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of at most 256 texts: they bound the matrix of counts."""
+    """Slices of at most 256 texts: with GRAM_BLOCK they bound the matrix of counts at 4 MB."""
     for i in range(0, len(texts), 256):
         yield slice(i, i + 256)
 
@@ -137,10 +149,11 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("binary").alias("text"))
     sums = rows.mapInArrow(_learn, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang")
-    found = sums.limit(MAX_LANGUAGES + 1).collect()
+    found = sums.select("lang", F.transform("v", lambda v: v["x"]).alias("v")).limit(MAX_LANGUAGES + 1).toArrow()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    return {r["lang"]: v for r in found if (v := np.array([x["x"] for x in r["v"]])).any()}
+    rows = found["v"].combine_chunks().flatten().to_numpy().reshape(len(found), -1) if len(found) else []
+    return {lang: v for lang, v in zip(found["lang"].to_pylist(), rows, strict=True) if v.any()}
 
 
 def _predict(shared):

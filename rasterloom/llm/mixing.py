@@ -24,14 +24,17 @@ def unit(*parts: Column) -> Column:
 
 
 def poisson_below(mean: Column) -> Column:
-    """P(X <= n) for n = 0 to MAX_COPIES - 1 as an array, each probability from the one before."""
+    """P(X <= n) for n = 0 to MAX_COPIES - 1 as an array, each probability from the one before,
+    as far as a draw may reach."""
     start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("below"))
 
     def step(s: Column, k: Column) -> Column:
         p = s["p"] * mean / k
         return F.struct(p.alias("p"), F.concat(s["below"], F.array(F.element_at(s["below"], -1) + p)).alias("below"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES - 1)), start, step, lambda s: s["below"])
+    below = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES - 1)), start, step, lambda s: s["below"])
+    # A number drawn is at most 1 - 2**-48: greater probabilities are never met and only lengthen the search.
+    return F.filter(below, lambda p: p <= F.lit(1 - 2.0**-48))
 
 
 def poisson_count(u: Column, below: Column) -> Column:
@@ -67,15 +70,12 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     seed and doc_id: rows that repeat a doc_id get equal counts. A null source is a source of its own, a null
     doc_id hashes as `null`. Columns of docs with these names are replaced. An empty table gives none.
 
-    Means that follow from the sizes of sources may be of any size: independent draws with means of at most
-    MAX_MEAN are added up. A given `total` that asks for a mean above MAX_MEAN is refused."""
+    Means may be of any size: independent draws with means of at most MAX_MEAN are added up."""
     keep = [c for c in docs.columns if c not in ("__mix_copy", "__mix_copies", "__mix_order")]
     docs = docs.select(*(F.col(f"`{c}`") for c in keep))
     means = source_means(docs.select(F.col("source").cast("string").alias("source")), weights, total)
     found = means.agg(F.count(F.lit(1)).alias("n"), F.max("mean").alias("most")).first()
     large = (found["most"] or 0) > MAX_MEAN
-    if large and total is not None:
-        raise ValueError(f"a source would be repeated {found['most']:.0f} times; {MAX_MEAN:.0f} is the most")
     means = means.select(F.col("source").alias("__mix_source"), F.greatest(F.ceil(F.col("mean") / MAX_MEAN), F.lit(1)).cast("int").alias("__mix_draws"), "mean")
     means = means.select("__mix_source", "__mix_draws", poisson_below(F.col("mean") / F.col("__mix_draws")).alias("__mix_below"))
 

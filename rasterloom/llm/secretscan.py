@@ -41,6 +41,8 @@ SMALL_CLASS = 5
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """An OR of ANDs of lower-case trigrams that each match of the pattern satisfies; None if there is none.
 
+    The parse tree is that of Python's own parser, re._parser, which is private: Python 3.11 to 3.13 have it.
+
     The parse tree is walked with a list of alternatives, each a list of literal fragments. Literals, small
     classes and branches grow the last fragment; whatever can vary freely closes it."""
 
@@ -93,22 +95,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     """(k, rules): which rules' Boolean trigram queries each document satisfies; None if no rule has one.
 
     The queries are a small table (a row for each rule, alternative and trigram), joined to the postings; an
-    alternative whose count of distinct trigrams is complete makes the document a candidate."""
+    alternative whose count of distinct trigrams is complete makes the document a candidate. A document's set
+    of trigrams is at most those that the rules name; all steps after it stay in its partition."""
     clauses = [(i, j, t, len(s)) for i, q in queries_of(rules).items() if q for j, s in enumerate(q) for t in sorted(s)]
     if not clauses:
         return None
     table = docs.sparkSession.createDataFrame(clauses, "rule int, alternative int, trigram string, need int")
-    hits = postings(docs, sorted({c[2] for c in clauses})).join(F.broadcast(table), "trigram")
-    # Rows repeated whole have one k: distinct trigrams are told by a bit for each.
-    bits = {t: n for n, t in enumerate(sorted({c[2] for c in clauses}))}
-    if len(bits) > 62 * 4:
-        raise ValueError("the rules ask for more than 248 distinct trigrams")
-    which = F.create_map(*(x for t, n in bits.items() for x in (F.lit(t), F.lit(n))))
-    hits = hits.withColumn("bit", which[F.col("trigram")])
-    parts = [F.bit_or(F.when(F.expr(f"bit div 62 = {p}"), F.expr("shiftleft(1L, cast(bit % 62 as int))")).otherwise(F.lit(0).cast("bigint"))) for p in range(-(-len(bits) // 62))]
-    met = hits.groupBy("k", "rule", "alternative", "need").agg(*(x.alias(f"b{p}") for p, x in enumerate(parts)))
-    met = met.where(sum((F.bit_count(f"b{p}") for p in range(len(parts))), F.lit(0)) == F.col("need"))
-    return met.groupBy("k").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    # Rows repeated whole have one k, so trigrams are made distinct first.
+    held = postings(docs, sorted({c[2] for c in clauses})).groupBy("k").agg(F.collect_set("trigram").alias("trigrams"))
+    hits = held.select("k", F.explode("trigrams").alias("trigram")).join(F.broadcast(table), "trigram")
+    met = hits.groupBy("k", "rule", "alternative", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
+    return met.groupBy("k").agg(F.collect_set("rule").alias("rules"))
 
 
 def _pieces(text: Column, rule: Rule) -> Column:
@@ -132,7 +129,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool =
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")] if carry else []
     docs = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *rest)
     found = candidates(docs.select("k", "text"), rules)
-    rows = docs.withColumn("rules", F.lit(None).cast("bigint")) if found is None else docs.join(found, "k", "left")
+    rows = docs.withColumn("rules", F.lit(None).cast("array<int>")) if found is None else docs.join(found, "k", "left")
     same = Window.partitionBy("k").orderBy("k")
     rows = rows.withColumn("copy", F.row_number().over(same))
     queries = queries_of(rules)
@@ -141,7 +138,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool =
     for i, r in enumerate(rules):
         pieces = _pieces(F.col("text"), r)
         if queries[i]:
-            pieces = F.when(F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(1 << i) != 0, pieces).otherwise(none)
+            pieces = F.when(F.array_contains("rules", i), pieces).otherwise(none)
         each.append(pieces.alias(f"m{i}"))
     rows = rows.select("k", "copy", "doc_id", *(["__row"] if carry else []), *each)
     # Places are running sums over a text's matches: a window over them, within the task that has the text.

@@ -14,6 +14,8 @@ from rasterloom.llm.common import U64, column, mix64, parallelism, powers, row_k
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of text whose windows one range of hash values holds on average: about 11 million, sorted in 350 MB.
+RANGE_BYTES = 64_000_000
 KNOWN = 0xFFFFFFFF  # the place of a window that its own block already knows to be repeated
 
 _pow: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, U64)]
@@ -190,11 +192,13 @@ def _merged(width: int):
 def repeated_spans(docs: DataFrame, width: int = 35) -> DataFrame:
     """(k, spans): for each row key of docs(k, text), flat [from, to) pairs of words that repeated windows cover.
 
-    Hash values are cut into as many equal ranges as there are shuffle partitions. A slice of
+    Hash values are cut into as many equal ranges as there are shuffle partitions, or as RANGE_BYTES of text for
+    each ask for, so that what one task sorts is bounded. A slice of
     documents sends each of its distinct hashes once, as packed 8-byte values with 4-byte places, so a
     passage that a third of the corpus shares adds one value for each slice, not for each document. What is
     repeated goes back to the slices, a row for each slice and range, and is merged there."""
-    parts = parallelism(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(parallelism(docs.sparkSession), -(-total // RANGE_BYTES))
     packed = docs.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_blocks(width, parts), "part int, slice bigint, keys binary, sizes binary, hashes binary, places binary")
     found = packed.repartitionById(parts, F.col("part")).mapInArrow(_repeated, "slice bigint, keys binary, sizes binary, places binary")
     return found.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_merged(width), "k bigint, spans array<int>")

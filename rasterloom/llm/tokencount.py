@@ -17,6 +17,9 @@ from rasterloom.llm.common import column, text_slices
 FREQUENT, CACHE, KEY_BYTES = 50_000, 500_000, 64
 #: A task reports at most so many of its pre-tokens for the frequent table.
 REPORTED = 3_000
+#: Texts that a tokenizer must give the tokens of their words, or the method can't count with it: white space of
+#: all kinds, single and repeated, at the ends, around punctuation, digits, capitals and other scripts.
+PROBES = ("line one\nline two", " a", "a ", "a  b", "a \t\r\n\x0b\x0c b", "the cat.\n\nThe Dog, 12 345", "x = 1;\n    y = 2", "\n", " ", "日本 語\n日本", "é è\nÀ", "don't we'll\nI'm")
 
 
 class Counts:
@@ -35,6 +38,9 @@ class Counts:
             import sentencepiece
 
             self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        for t in PROBES:
+            if self.lengths([t.encode()])[0] != sum(self.lengths(t.encode().split())):
+                raise ValueError(f"this tokenizer does not split at white space: {t!r} has other tokens than its words")
 
     def lengths(self, words: list[bytes]) -> list[int]:
         if self.path.endswith(".json"):
@@ -135,7 +141,8 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     space. Out: doc_id, n_bytes, n_tokens (long). One row per input row; a null text counts as empty. Two
     passes over the texts and no shuffle of pre-tokens: the first gathers the frequent table, at most
     FREQUENT keys of KEY_BYTES bytes (3.2 MB), which is broadcast; the second looks pre-tokens up in it,
-    then in a cache of at most CACHE entries that the worker keeps, and encodes the rest."""
+    then in a cache of at most CACHE entries that the worker keeps, and encodes the rest. A tokenizer whose
+    tokens depend on the white space around a word is refused with a ValueError, by its counts on PROBES."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_pack(frequent_lengths(docs, tokenizer)))
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_count(tokenizer, shared), "doc_id bigint, n_bytes bigint, n_tokens bigint")
