@@ -89,15 +89,24 @@ def encode(image: Raster, fmt: str, **options) -> bytes:
         raise CodecError("Parameter", str(e)) from e
 
 
+def plain_still(seq: Sequence) -> bool:
+    """Whether a still encoder may take the sequence: one frame that has no animation facts."""
+    if len(seq.frames) != 1:
+        return False
+    f = seq.frames[0]
+    whole = f.rect == (0, 0, seq.width, seq.height)
+    timed = f.duration is not None and f.duration[0] != 0
+    return whole and not (timed or f.disposal or f.blend or f.interlaced or f.default_image or seq.loops is not None or seq.background is not None)
+
+
 def encode_sequence(seq: Sequence, fmt: str, **options) -> bytes:
-    """GIF, TIFF and WebP; another format takes a single frame that has no animation facts."""
+    """GIF, TIFF and WebP; another format takes a plain still."""
     codec = CODECS.get(fmt)
     if fmt != "AVIF" and hasattr(codec, "encode_sequence"):
         return codec.encode_sequence(seq, **options)
-    plain = len(seq.frames) == 1 and seq.frames[0].duration in (None, (0, 1)) and seq.frames[0].rect == (0, 0, seq.width, seq.height)
-    if not plain:
+    if not plain_still(seq):
         raise CodecError("Unsupported", f"{fmt} has no sequences", reason="NotImplemented")
     return encode(seq.frames[0].image, fmt, **options)
 
 
-__all__ = ["CODECS", "CodecError", "Frame", "Info", "NeedMore", "Raster", "Result", "Sequence", "decode", "decode_sequence", "detect", "encode", "encode_sequence", "format_of", "inspect", "metadata_bytes", "verify"]
+__all__ = ["CODECS", "CodecError", "Frame", "Info", "NeedMore", "Raster", "Result", "Sequence", "decode", "decode_sequence", "detect", "encode", "encode_sequence", "format_of", "inspect", "metadata_bytes", "plain_still", "verify"]

@@ -117,6 +117,7 @@ class Frame:
     disposal: int = 0
     blend: str | None = None
     interlaced: bool = False
+    default_image: bool = False
 
 
 @dataclass
@@ -127,6 +128,7 @@ class Sequence:
     kind: str
     layout: str
     loops: int | None = None
+    background: tuple[int, ...] | None = None
 
 
 @dataclass

@@ -34,12 +34,22 @@ def add_durations(n1: Column, d1: Column, n2: Column, d2: Column) -> tuple[Colum
     return n1 * left + n2 * right, d1 * left
 
 
+def lcm(a: Column, b: Column) -> Column:
+    return F.floor(a / gcd(a, b)).cast("bigint") * b
+
+
 def coalesce_renders(frames: DataFrame) -> DataFrame:
-    """Runs of frames with equal renders: first frame, frames, and the sum of durations in 60ths of a second."""
+    """Runs of frames with equal renders: first frame, frames, and the sum of durations as a rational.
+
+    Adding rationals one by one over their least common denominators ends at the least common multiple of all
+    denominators; numerators are summed for each distinct denominator first, so a long run is never collected."""
     same = F.lag("render").over(in_sequence()).eqNullSafe(F.col("render")) & (F.row_number().over(in_sequence()) > 1)
     marked = frames.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(so_far()))
-    ticks = F.floor(F.col("num") * 60 / F.col("den")).cast("bigint")
-    return marked.groupBy("sequence_id", "run").agg(F.min("frame_index").alias("first_frame"), F.count(F.lit(1)).alias("frames"), F.sum(ticks).alias("ticks"))
+    parts = marked.groupBy("sequence_id", "run", "den").agg(F.min("frame_index").alias("first_frame"), F.count(F.lit(1)).alias("frames"), F.sum("num").alias("num"))
+    runs = parts.groupBy("sequence_id", "run").agg(F.min("first_frame").alias("first_frame"), F.sum("frames").alias("frames"), F.collect_list(F.struct(F.col("den").cast("bigint").alias("den"), "num")).alias("parts"))
+    runs = runs.withColumn("den", F.aggregate("parts.den", F.lit(1).cast("bigint"), lcm))
+    num = F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + p["num"] * F.floor(F.col("den") / p["den"]).cast("bigint"))
+    return runs.select("sequence_id", "run", "first_frame", "frames", num.alias("num"), "den")
 
 
 def gif_delay(num: Column, den: Column) -> Column:
@@ -61,20 +71,29 @@ def budget_violation(frames: DataFrame, frame_max: int, total_max: int) -> DataF
     return first.select("sequence_id", "f.*")
 
 
-def validate_sequence(frames: DataFrame, canvas_w: int, canvas_h: int) -> DataFrame:
-    """(sequence_id, valid, first_bad, reason): rectangles inside the canvas, positive sizes and denominators."""
+def validate_sequence(frames: DataFrame, canvas_w: int, canvas_h: int, layout: str = "Canvas") -> DataFrame:
+    """(sequence_id, valid, first_bad, reason): origins of 0 or more, positive sizes, rectangles inside the canvas,
+    positive denominators, and, where frames are whole canvases, rasters of its size (image_width, image_height)."""
     reason = (
-        F.when((F.col("width") <= 0) | (F.col("height") <= 0), "empty frame")
+        F.when((F.col("left") < 0) | (F.col("top") < 0), "negative origin")
+        .when((F.col("width") <= 0) | (F.col("height") <= 0), "empty frame")
         .when((F.col("left") + F.col("width") > canvas_w) | (F.col("top") + F.col("height") > canvas_h), "rectangle outside canvas")
         .when(F.col("den") == 0, "zero denominator")
     )
+    if {"image_width", "image_height"} <= set(frames.columns):
+        wanted = (F.lit(canvas_w), F.lit(canvas_h)) if layout == "Canvas" else (F.col("width"), F.col("height"))
+        reason = reason.when((F.col("image_width") != wanted[0]) | (F.col("image_height") != wanted[1]), "raster of another size")
     rows = frames.withColumn("reason", reason)
     bad = F.min(F.when(F.col("reason").isNotNull(), F.struct("frame_index", "reason"))).alias("f")
     return rows.groupBy("sequence_id").agg(bad).select("sequence_id", F.col("f").isNull().alias("valid"), F.col("f.frame_index").alias("first_bad"), F.col("f.reason").alias("reason"))
 
 
 def plain_still(frames: DataFrame) -> DataFrame:
-    """Sequences that a still encoder may take: one frame, whole canvas, no duration, no disposal."""
+    """Sequences that a still encoder may take: one frame, the whole canvas, without duration, disposal, blend,
+    interlacing, default image, loop count or background. codecs.plain_still is the same rule on objects."""
+    facts = (
+        "left = 0 and top = 0 and width = canvas_width and height = canvas_height and coalesce(num, 0) = 0 and coalesce(disposal, 0) = 0 "
+        "and blend is null and not interlaced and not default_image and loop_count is null and background is null"
+    )
     one = F.count(F.lit(1)) == 1
-    plain = F.expr("bool_and(left = 0 and top = 0 and disposal = 0)")
-    return frames.groupBy("sequence_id").agg((one & plain).alias("plain_still"))
+    return frames.groupBy("sequence_id").agg((one & F.expr(f"bool_and({facts})")).alias("plain_still"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import frames as ops
-from rasterloom.plans.derive import SQL_FRAMES, SQL_L8, frames, raster_l8
+from rasterloom.plans.derive import SQL_FRAMES, SQL_L8, frames, raster_l8, table
 from rasterloom.plans.registry import query
 
 
@@ -21,11 +21,15 @@ def frame_duration_lcm_add(spark, sf_dir):
     return rows.select("sequence_id", "frame_index", n.alias("num"), d.alias("den"))
 
 
-@query(f"""WITH {SQL_FRAMES}, m AS (SELECT *, CASE WHEN lag(render) OVER (PARTITION BY sequence_id ORDER BY frame_index) = render THEN 0 ELSE 1 END AS new FROM frames),
-r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS BIGINT) AS run FROM m)
-SELECT sequence_id, run, min(frame_index) AS first_frame, count(*) AS frames, CAST(sum(num * 60 // den) AS BIGINT) AS ticks FROM r GROUP BY sequence_id, run""")
+@query(f"""WITH {SQL_FRAMES}, m AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 1000 ELSE 60 END AS d, CASE WHEN lag(render) OVER (PARTITION BY sequence_id ORDER BY frame_index) = render THEN 0 ELSE 1 END AS new FROM frames),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS BIGINT) AS run FROM m),
+l AS (SELECT sequence_id, run, list_reduce(list(CAST(d AS BIGINT)), lambda a, b: lcm(a, b)) AS den FROM r GROUP BY ALL)
+SELECT r.sequence_id, r.run, min(frame_index) AS first_frame, count(*) AS frames, CAST(sum(num * (den.den // d)) AS BIGINT) AS num, den.den AS den
+FROM r JOIN l den ON den.sequence_id = r.sequence_id AND den.run = r.run GROUP BY r.sequence_id, r.run, den.den""")
 def gif_frame_coalesce(spark, sf_dir):
-    return ops.coalesce_renders(frames(spark, sf_dir))
+    """Durations with denominators 7, 1000 and 60, whose sums no fixed tick holds."""
+    den = F.expr("case event_id % 3 when 0 then 7 when 1 then 1000 else 60 end")
+    return ops.coalesce_renders(frames(spark, sf_dir).withColumn("den", den))
 
 
 @query(f"""WITH {SQL_L8}, p AS (SELECT a.image_id, CAST(a.y // 16 AS INTEGER) AS frame_index, a.y % 16 AS y, a.x, a.v > 127 AS px FROM l8 a),
@@ -57,15 +61,27 @@ def sequence_budget_first_violation(spark, sf_dir):
     return ops.budget_violation(frames(spark, sf_dir), 1200, 4000)
 
 
-@query(f"""WITH {SQL_FRAMES}, r AS (SELECT *, CASE WHEN width <= 0 OR height <= 0 THEN 'empty frame' WHEN "left" + width > 24 OR top + height > 28 THEN 'rectangle outside canvas' WHEN den = 0 THEN 'zero denominator' END AS reason FROM frames)
+@query(f"""WITH {SQL_FRAMES}, g AS (SELECT *, "left" - 1 AS x, CASE WHEN event_id % 23 = 0 THEN 0 ELSE den END AS d, CASE WHEN event_id % 29 = 0 THEN 0 ELSE width END AS w, width + CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS iw FROM frames),
+r AS (SELECT *, CASE WHEN x < 0 OR top < 0 THEN 'negative origin' WHEN w <= 0 OR height <= 0 THEN 'empty frame' WHEN x + w > 24 OR top + height > 28 THEN 'rectangle outside canvas'
+  WHEN d = 0 THEN 'zero denominator' WHEN iw <> w THEN 'raster of another size' END AS reason FROM g)
 SELECT sequence_id, count(reason) = 0 AS valid, min(frame_index) FILTER (WHERE reason IS NOT NULL) AS first_bad, arg_min(reason, frame_index) FILTER (WHERE reason IS NOT NULL) AS reason FROM r GROUP BY sequence_id""")
 def sequence_validate(spark, sf_dir):
-    return ops.validate_sequence(frames(spark, sf_dir), 24, 28)
+    odd = frames(spark, sf_dir).withColumn("left", F.col("left") - 1).withColumn("den", F.expr("if(event_id % 23 = 0, 0, den)")).withColumn("image_width", F.expr("width + if(event_id % 31 = 0, 1, 0)")).withColumn("width", F.expr("if(event_id % 29 = 0, 0, width)"))
+    return ops.validate_sequence(odd.withColumn("image_height", F.col("height")), 24, 28, layout="Rectangle")
 
 
-@query(f"WITH {SQL_FRAMES} SELECT sequence_id, count(*) = 1 AND bool_and(\"left\" = 0 AND top = 0 AND disposal = 0) AS plain_still FROM frames GROUP BY sequence_id")
+@query("""SELECT event_id // (1 + event_id // 4 % 2) AS sequence_id, count(*) = 1 AND bool_and(event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 <> 0
+  AND event_id % 19 <> 0 AND event_id % 23 <> 0 AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 37 <> 0) AS plain_still FROM events GROUP BY 1""")
 def plain_still_semantics(spark, sf_dir):
-    return ops.plain_still(frames(spark, sf_dir))
+    """Sequences of one or two events, each fact of an animation present in every so many."""
+    often = lambda n, v: f"if(event_id % {n} = 0, {v})"
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id div (1 + event_id div 4 % 2) as sequence_id", "40 as canvas_width", "30 as canvas_height", "if(event_id % 11 = 0, 1, 0) as left", "if(event_id % 13 = 0, 2, 0) as top",
+        "if(event_id % 17 = 0, 39, 40) as width", "if(event_id % 7 = 0, 29, 30) as height", "if(event_id % 5 = 0, 3, 0) as num", "if(event_id % 3 = 0, 2, 0) as disposal",
+        often(19, "'Over'").replace(")", ", null)") + " as blend", "event_id % 23 = 0 as interlaced", "event_id % 29 = 0 as default_image",
+        often(31, "0").replace(")", ", null)") + " as loop_count", often(37, "5").replace(")", ", null)") + " as background",
+    )
+    return ops.plain_still(e)
 
 
 @query(f"WITH {SQL_FRAMES}, s AS (SELECT sequence_id, event_id, event_id - min(event_id) OVER (PARTITION BY sequence_id) AS seq, row_number() OVER (PARTITION BY sequence_id ORDER BY event_id) - 1 AS expected FROM frames) SELECT sequence_id, bool_and(seq = expected) AS in_order, min(event_id) FILTER (WHERE seq <> expected) AS first_wrong FROM s GROUP BY sequence_id")
