@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -11,33 +12,74 @@ from rasterloom.operators.jpegmath import CHROMINANCE, LUMINANCE, zigzag
 
 ZIGZAG = np.array(zigzag())
 # The standard's typical Huffman tables, code counts by length and then symbols.
+# fmt: off
 DC_LUMA = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12)))
 DC_CHROMA = ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), tuple(range(12)))
 AC_LUMA = (
     (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
-    bytes.fromhex(
-        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
-        "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    (
+        1, 2, 3, 0, 4, 17, 5, 18, 33, 49, 65, 6, 19, 81, 97, 7, 34, 113, 20, 50, 129, 145, 161, 8, 35, 66, 177,
+        193, 21, 82, 209, 240, 36, 51, 98, 114, 130, 9, 10, 22, 23, 24, 25, 26, 37, 38, 39, 40, 41, 42, 52, 53, 54, 55,
+        56, 57, 58, 67, 68, 69, 70, 71, 72, 73, 74, 83, 84, 85, 86, 87, 88, 89, 90, 99, 100, 101, 102, 103, 104, 105, 106,
+        115, 116, 117, 118, 119, 120, 121, 122, 131, 132, 133, 134, 135, 136, 137, 138, 146, 147, 148, 149, 150, 151, 152, 153, 154, 162, 163,
+        164, 165, 166, 167, 168, 169, 170, 178, 179, 180, 181, 182, 183, 184, 185, 186, 194, 195, 196, 197, 198, 199, 200, 201, 202, 210, 211,
+        212, 213, 214, 215, 216, 217, 218, 225, 226, 227, 228, 229, 230, 231, 232, 233, 234, 241, 242, 243, 244, 245, 246, 247, 248, 249, 250,
     ),
 )
 AC_CHROMA = (
     (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
-    bytes.fromhex(
-        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
-        "82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+    (
+        0, 1, 2, 3, 17, 4, 5, 33, 49, 6, 18, 65, 81, 7, 97, 113, 19, 34, 50, 129, 8, 20, 66, 145, 161, 177, 193,
+        9, 35, 51, 82, 240, 21, 98, 114, 209, 10, 22, 36, 52, 225, 37, 241, 23, 24, 25, 26, 38, 39, 40, 41, 42, 53, 54,
+        55, 56, 57, 58, 67, 68, 69, 70, 71, 72, 73, 74, 83, 84, 85, 86, 87, 88, 89, 90, 99, 100, 101, 102, 103, 104, 105,
+        106, 115, 116, 117, 118, 119, 120, 121, 122, 130, 131, 132, 133, 134, 135, 136, 137, 138, 146, 147, 148, 149, 150, 151, 152, 153, 154,
+        162, 163, 164, 165, 166, 167, 168, 169, 170, 178, 179, 180, 181, 182, 183, 184, 185, 186, 194, 195, 196, 197, 198, 199, 200, 201, 202,
+        210, 211, 212, 213, 214, 215, 216, 217, 218, 226, 227, 228, 229, 230, 231, 232, 233, 234, 242, 243, 244, 245, 246, 247, 248, 249, 250,
     ),
 )
 
-_COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+# fmt: on
+# The constants of the integer transform, in 13 bits.
+BITS13 = {c: round(c * 8192) for c in (0.298631336, 0.390180644, 0.541196100, 0.765366865, 0.899976223, 1.175875602, 1.501321110, 1.847759065, 1.961570560, 2.053119869, 2.562915447, 3.072711026)}
+
+
+def _transform() -> np.ndarray:
+    """The 8 x 8 integer matrix from coefficients to samples that the constants make, in units of 1 / 8192.
+
+    The transform's sums of products are exact, so it is one matrix; only the shifts after each pass round.
+    Samples 7 to 4 mirror 0 to 3: even coefficients alike, odd ones with the other sign."""
+    k = [BITS13[c] for c in sorted(BITS13)]
+    even = np.array([[8192, k[2] + k[3], 8192, k[2]], [8192, k[2], -8192, k[2] - k[7]], [8192, -k[2], -8192, k[7] - k[2]], [8192, -k[2] - k[3], 8192, -k[2]]])
+    odd = np.full((4, 4), k[5])  # coefficients 1, 3, 5, 7
+    for sample, own in enumerate((k[6], k[11], k[9], k[0])):
+        odd[sample, sample] += own
+        pair = (0, 3) if sample in (0, 3) else (1, 2)
+        far = (0, 2) if sample in (0, 2) else (1, 3)
+        odd[sample, list(pair)] -= k[4] if sample in (0, 3) else k[10]
+        odd[sample, list(far)] -= k[1] if sample in (0, 2) else k[8]
+    half = np.zeros((4, 8), np.int64)
+    half[:, 0::2], half[:, 1::2] = even, odd
+    return np.concatenate([half, half[::-1] * np.array([1, -1] * 4)])
+
+
+TRANSFORM = _transform()
+_EXACT = TRANSFORM.astype(np.float64)  # products stay below 2 ** 53, so doubles are exact and fast
+
+
+def _descale(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.floor((x + (1 << (bits - 1))) / (1 << bits))
 
 
 def inverse_dct(c: np.ndarray) -> np.ndarray:
-    """Blocks (n, 8, 8) of dequantised coefficients to samples around 128."""
-    return np.clip(np.rint(np.einsum("uy,nuv,vx->nyx", _COS, c, _COS, optimize=True)) + 128, 0, 255).astype(np.uint8)
+    """Blocks (n, 8, 8) of dequantised coefficients to samples: columns, then rows, in fixed point."""
+    columns = _descale(_EXACT @ c, 11)
+    return np.clip(_descale(columns @ _EXACT.T, 18) + 128, 0, 255).astype(np.uint8)
 
 
 def forward_dct(s: np.ndarray) -> np.ndarray:
-    return np.einsum("uy,nyx,vx->nuv", _COS, s - 128.0, _COS, optimize=True)
+    """Blocks of samples to 8 times their coefficients: rows, then columns, in fixed point."""
+    rows = _descale((s - 128.0) @ _EXACT, 11)
+    return _descale(_EXACT.T @ rows, 15)
 
 
 def canonical(counts: tuple, symbols) -> dict[int, tuple[int, int]]:
@@ -51,15 +93,14 @@ def canonical(counts: tuple, symbols) -> dict[int, tuple[int, int]]:
     return out
 
 
-class _Table:
-    """Looked up by the next 16 bits: length and symbol."""
-
-    def __init__(self, counts: tuple, symbols: bytes):
-        look = [None] * 65536
-        for s, (code, n) in canonical(counts, symbols).items():
-            lo = code << (16 - n)
-            look[lo : lo + (1 << (16 - n))] = [(n, s)] * (1 << (16 - n))
-        self.look = look
+@lru_cache(maxsize=64)
+def _look(counts: tuple, symbols: bytes) -> list[int]:
+    """By the next 16 bits: 32 * symbol + length of its code, or -1."""
+    look = np.full(65536, -1, np.int64)
+    for s, (code, n) in canonical(counts, symbols).items():
+        lo = code << (16 - n)
+        look[lo : lo + (1 << (16 - n))] = s << 5 | n
+    return look.tolist()
 
 
 class _Bits:
@@ -77,12 +118,12 @@ class _Bits:
             self.n += 8
         return self.acc >> (self.n - 16) & 0xFFFF
 
-    def symbol(self, t: _Table) -> int:
-        e = t.look[self.peek16()]
-        if e is None:
+    def symbol(self, look: list[int]) -> int:
+        e = look[self.peek16()]
+        if e < 0:
             raise malformed("a code has no symbol", None, "jpeg_segment")
-        self.n -= e[0]
-        return e[1]
+        self.n -= e & 31
+        return e >> 5
 
     def bits(self, k: int) -> int:
         if not k:
@@ -238,7 +279,7 @@ class _Decoder:
                 total += c << (16 - i)
             if total > 65536:
                 raise malformed("too many codes", here, "jpeg_dht")
-            (self.ac if kind else self.dc)[t] = _Table(counts, b[at + 17 : at + 17 + n])
+            (self.ac if kind else self.dc)[t] = _look(counts, b[at + 17 : at + 17 + n])
             at += 17 + n
 
     def _scan(self, b: bytes, here: int, at: int) -> int:
@@ -258,12 +299,7 @@ class _Decoder:
         segments, end = _segments(self.data, at)
         self.entropy += end - at
         self.scans += 1
-        if n == 1:
-            c = parts[0]
-            bw, bh = -(-c.width // 8), -(-c.height // 8)
-            units = [[(c, y * c.bw + x)] for y in range(bh) for x in range(bw)]
-        else:
-            units = [[(c, (my * c.v + v) * c.bw + mx * c.h + h) for c in parts for v in range(c.v) for h in range(c.h)] for my in range(self.my) for mx in range(self.mx)]
+        units = self._units(parts)
         step = self.restart or len(units)
         try:
             for i, seg in enumerate(segments):
@@ -272,26 +308,47 @@ class _Decoder:
                     break
                 for c in parts:
                     c.pred = 0
-                self._decode_units(_Bits(seg), part, ss, se, a >> 4, a & 15)
+                if self.progressive:
+                    self._decode_units(_Bits(seg), part, ss, se, a >> 4, a & 15)
+                else:
+                    self._decode_baseline(seg, part)
         except KeyError as e:
             raise malformed("a scan uses a table that isn't there", here, "jpeg_sos") from e
         return end
 
-    def _decode_units(self, bits: _Bits, units: list, ss: int, se: int, high: int, low: int) -> None:
-        zz = ZIGZAG.tolist()
-        run = 0
+    def _units(self, parts: list[_Component]) -> list[list[tuple[_Component, int]]]:
+        """The blocks of each unit of a scan: one block, or with several components those of an MCU."""
+        if len(parts) == 1:
+            c = parts[0]
+            bw, bh = -(-c.width // 8), -(-c.height // 8)
+            return [[(c, y * c.bw + x)] for y in range(bh) for x in range(bw)]
+        return [[(c, (my * c.v + v) * c.bw + mx * c.h + h) for c in parts for v in range(c.v) for h in range(c.h)] for my in range(self.my) for mx in range(self.mx)]
+
+    def _decode_baseline(self, seg: bytes, units: list) -> None:
+        """All coefficients of a segment's blocks. The state is held in local names, as this loop runs for each code."""
+        data = seg.replace(b"\xff\x00", b"\xff")
+        end, zz = len(data) + 64, ZIGZAG.tolist()
+        acc = n = at = 0
+        places: dict[int, tuple[list, list]] = {id(c): ([], []) for c, _ in units[0]}
         for unit in units:
-            if bits.at > len(bits.data) + 64:  # zeros alone from here on
-                return
+            if at > end:  # zeros alone from here on
+                break
             for c, k in unit:
-                row = c.coef[k]
-                if not self.progressive:
-                    c.pred += bits.signed(bits.symbol(self.dc[c.td]))
-                    row[0] = c.pred
-                    t, i = self.ac[c.ta], 1
-                    while i < 64:
-                        rs = bits.symbol(t)
-                        r, s = rs >> 4, rs & 15
+                where, what = places[id(c)]
+                base, i, look = 64 * k, 0, self.dc[c.td]
+                while i < 64:
+                    if n < 32:
+                        word = data[at : at + 4]
+                        acc = (acc & (1 << n) - 1) << 32 | int.from_bytes(word, "big") << 8 * (4 - len(word))
+                        n += 32
+                        at += 4
+                    e = look[acc >> n - 16 & 65535]
+                    if e < 0:
+                        raise malformed("a code has no symbol", None, "jpeg_segment")
+                    n -= e & 31
+                    s = e >> 5
+                    if i:
+                        r, s = s >> 4, s & 15
                         if not s:
                             if r < 15:
                                 break
@@ -300,9 +357,33 @@ class _Decoder:
                         i += r
                         if i > 63:
                             break
-                        row[zz[i]] = bits.signed(s)
-                        i += 1
-                elif ss == 0:
+                    elif s > 16:
+                        raise malformed(f"a value of {s} bits", None, "jpeg_segment")
+                    n -= s
+                    v = acc >> n & (1 << s) - 1
+                    if s and not v >> s - 1:
+                        v -= (1 << s) - 1
+                    if i:
+                        where.append(base + zz[i])
+                        what.append(v)
+                    else:
+                        c.pred += v
+                        where.append(base)
+                        what.append(c.pred)
+                        look = self.ac[c.ta]
+                    i += 1
+        for c, _ in units[0]:
+            c.coef.ravel()[places[id(c)][0]] = places[id(c)][1]
+
+    def _decode_units(self, bits: _Bits, units: list, ss: int, se: int, high: int, low: int) -> None:
+        zz = ZIGZAG.tolist()
+        run = 0
+        for unit in units:
+            if bits.at > len(bits.data) + 64:  # zeros alone from here on
+                return
+            for c, k in unit:
+                row = c.coef[k]
+                if ss == 0:
                     if high:
                         row[0] |= bits.bits(1) << low
                     else:
@@ -331,7 +412,7 @@ class _Decoder:
                     run = self._refine(bits, row, zz, self.ac[c.ta], ss, se, 1 << low, run)
 
     @staticmethod
-    def _refine(bits: _Bits, row: np.ndarray, zz: list, t: _Table, ss: int, se: int, one: int, run: int) -> int:
+    def _refine(bits: _Bits, row: np.ndarray, zz: list, t: list[int], ss: int, se: int, one: int, run: int) -> int:
         """A later bit of each coefficient that is there, and new ones of size one in between."""
         i = ss
 
@@ -493,27 +574,66 @@ class _Writer:
             self.put((1 << (8 - self.n)) - 1, 8 - self.n)
 
 
-def _symbols(block: list[int], before: int) -> list[tuple[int, int, int]]:
-    """(symbol, extra bits, their number) of one block in zig-zag order; the first is the DC difference's."""
-    def value(v: int) -> tuple[int, int]:
-        k = abs(v).bit_length()
-        return k, (v if v > 0 else v - 1) & ((1 << k) - 1)
-
-    k, bits = value(block[0] - before)
-    out, run = [(k, bits, k)], 0
-    for v in block[1:]:
-        if not v:
-            run += 1
-            continue
-        while run > 15:
-            out.append((0xF0, 0, 0))
-            run -= 16
-        k, bits = value(v)
-        out.append((run << 4 | k, bits, k))
-        run = 0
-    if run:
-        out.append((0, 0, 0))
-    return out
+def _in_order(parts: list, mcus: int, mx: int, restart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks in the order of the scan, with DC differences, each with its table and its restart segment."""
+    n = np.arange(mcus)
+    segment = n // restart if restart else np.zeros(mcus, np.int64)
+    rows, tables = [], []
+    for levels, sx, sy, bw, t in parts:
+        v, u = np.divmod(np.arange(sx * sy), sx)
+        own = levels[(n[:, None] // mx * sy + v) * bw + n[:, None] % mx * sx + u].reshape(-1, 64).copy()
+        of = np.repeat(segment, sx * sy)
+        before = np.where(np.r_[True, of[1:] != of[:-1]], 0, np.r_[0, own[:-1, 0]])
+        own[:, 0] -= before
+        rows.append(own.reshape(mcus, sx * sy, 64))
+        tables.append(np.full((mcus, sx * sy), t))
+    blocks, tables_of = np.concatenate(rows, axis=1), np.concatenate(tables, axis=1)
+    return blocks.reshape(-1, 64), tables_of.ravel(), np.repeat(segment, blocks.shape[1])
+
+
+def _bit_length(v: np.ndarray) -> np.ndarray:
+    return np.frexp(np.abs(v).astype(np.float64))[1]
+
+
+def _events(blocks: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(block, table, symbol, extra bits, their number) of all codes in order; tables 2 and 3 are the AC ones.
+
+    A block has its DC difference, then for each other coefficient that isn't zero the codes of 16 zeros before
+    it and its own, then the end of block where zeros are left."""
+    at, k = np.nonzero(blocks[:, 1:])
+    k += 1
+    first = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+    run = k - 1 - np.where(first, 0, np.r_[0, k[:-1]]) if len(at) else k
+    value = blocks[at, k]
+    size = _bit_length(value)
+    zeros = np.repeat(np.arange(len(at)), run >> 4)
+    last = np.zeros(len(blocks), np.int64)
+    last[at] = k  # the last of each block remains
+    ended = np.flatnonzero(last < 63)
+    dc = blocks[:, 0]
+    extra = lambda v, n: np.where(v > 0, v, v - 1) & ((1 << n) - 1)
+    every = np.arange(len(blocks))
+    block = np.concatenate([every, at[zeros], at, ended])
+    place = np.concatenate([np.zeros(len(every), np.int64), 2 * k[zeros], 2 * k + 1, np.full(len(ended), 200)])
+    symbol = np.concatenate([_bit_length(dc), np.full(len(zeros), 0xF0), (run & 15) << 4 | size, np.zeros(len(ended), np.int64)])
+    bits = np.concatenate([extra(dc, _bit_length(dc)), np.zeros(len(zeros), np.int64), extra(value, size), np.zeros(len(ended), np.int64)])
+    sizes = np.concatenate([_bit_length(dc), np.zeros(len(zeros), np.int64), size, np.zeros(len(ended), np.int64)])
+    table = np.concatenate([tables, 2 + tables[at[zeros]], 2 + tables[at], 2 + tables[ended]])
+    order = np.argsort(block * 256 + place, kind="stable")
+    return block[order], table[order], symbol[order], bits[order], sizes[order]
+
+
+def _counted(symbols: np.ndarray) -> dict[int, int]:
+    n = np.bincount(symbols, minlength=256)
+    return {s: int(n[s]) for s in np.flatnonzero(n).tolist()}
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Values of some bits each end to end, filled up with ones, a zero byte after each byte of ones."""
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(item))
+    bits = (values[item] >> left & 1).astype(np.uint8)
+    return np.packbits(np.r_[bits, np.ones(-len(bits) % 8, np.uint8)]).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def optimal_table(counts: dict[int, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
@@ -691,9 +811,9 @@ def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimiz
         p = _pad(p, my * sy * 8, mx * sx * 8)
         blocks = p.reshape(my * sy, 8, mx * sx, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
         q = (chroma if color and i else luma).reshape(8, 8)
-        c = forward_dct(blocks.astype(np.float64)) / q
-        levels = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64).reshape(-1, 64)[:, ZIGZAG]
-        parts.append((levels.tolist(), sx, sy, mx * sx, int(color and i > 0)))
+        c, step = forward_dct(blocks.astype(np.float64)), 8 * q
+        levels = (np.sign(c) * ((np.abs(c) + step // 2) // step)).astype(np.int64).reshape(-1, 64)[:, ZIGZAG]
+        parts.append((levels, sx, sy, mx * sx, int(color and i > 0)))
     kinds = (0, 1) if color else (0,)
     names = (1, 2, 3, 4)
     head = [b"\xff\xd8", _segment(0xEE, b"Adobe\0\x64\0\0\0\0\0") if len(parts) == 4 else _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")]
@@ -705,47 +825,26 @@ def encode(image: Raster, quality: int = 75, subsampling: str = "4:2:0", optimiz
     frame = struct.pack(">BHHB", 8, h, w, len(parts)) + b"".join(bytes([names[i], sx << 4 | sy, t]) for i, (_, sx, sy, _, t) in enumerate(parts))
     if progressive:
         sizes = [(-(-(-(-w * sx // fx)) // 8), -(-(-(-h * sy // fy)) // 8)) for _, sx, sy, _, _ in parts]
-        return b"".join([*head, _segment(0xC2, frame), *_progressive_scans(parts, sizes, mx, my), b"\xff\xd9"])
-    coded, restart = [], restart_rows * mx
-    last = [0] * len(parts)
-    for n in range(mx * my):
-        if restart and n and n % restart == 0:
-            last = [0] * len(parts)
-            coded.append(None)
-        for i, (levels, sx, sy, bw, t) in enumerate(parts):
-            for v in range(sy):
-                for u in range(sx):
-                    block = levels[(n // mx * sy + v) * bw + n % mx * sx + u]
-                    coded.append((t, _symbols(block, last[i])))
-                    last[i] = block[0]
+        return b"".join([*head, _segment(0xC2, frame), *_progressive_scans([(x.tolist(), *rest) for x, *rest in parts], sizes, mx, my), b"\xff\xd9"])
+    restart = restart_rows * mx
+    blocks, tables_of, segment = _in_order(parts, mx * my, mx, restart)
+    block, table, symbol, bits, size = _events(blocks, tables_of)
     if optimize:
-        seen: dict = {(c, t): {} for c in (0, 1) for t in kinds}
-        for x in coded:
-            if x:
-                for j, (s, _, _) in enumerate(x[1]):
-                    d = seen[(1 if j else 0, x[0])]
-                    d[s] = d.get(s, 0) + 1
-        tables = {k: optimal_table(v or {0: 1}) for k, v in seen.items()}
+        tables = {(c, t): optimal_table(_counted(symbol[table == 2 * c + t]) or {0: 1}) for c in (0, 1) for t in kinds}
     else:
         tables = {(0, 0): DC_LUMA, (1, 0): AC_LUMA, (0, 1): DC_CHROMA, (1, 1): AC_CHROMA}
-    codes = {k: canonical(*v) for k, v in tables.items() if k[1] in kinds}
-    out = _Writer()
-    number = 0
-    for x in coded:
-        if x is None:
-            out.flush()
-            out.out += bytes([255, 0xD0 + number % 8])
-            number += 1
-            continue
-        for j, (s, bits, k) in enumerate(x[1]):
-            out.put(*codes[(1 if j else 0, x[0])][s])
-            if k:
-                out.put(bits, k)
-    out.flush()
+    codes = np.zeros((4, 256, 2), np.int64)
+    for (c, t), x in tables.items():
+        for s, code in canonical(*x).items():
+            codes[2 * c + t, s] = code
+    code = codes[table, symbol]
+    values, sizes = np.stack([code[:, 0], bits], 1).ravel(), np.stack([code[:, 1], size], 1).ravel()
+    cuts = 2 * np.searchsorted(segment[block], np.arange(segment[-1] + 2))
+    out = b"".join((bytes([255, 0xD0 + (i - 1) % 8]) if i else b"") + _packed(values[lo:hi], sizes[lo:hi]) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)))
 
     head.append(_segment(0xC0, frame))
     head += [_segment(0xC4, bytes([c << 4 | t]) + bytes(tables[(c, t)][0]) + bytes(tables[(c, t)][1])) for t in kinds for c in (0, 1)]
     if restart:
         head.append(_segment(0xDD, struct.pack(">H", restart)))
     head.append(_segment(0xDA, bytes([len(parts)]) + b"".join(bytes([names[i], t << 4 | t]) for i, (*_, t) in enumerate(parts)) + b"\0\x3f\0"))
-    return b"".join(head) + bytes(out.out) + b"\xff\xd9"
+    return b"".join(head) + out + b"\xff\xd9"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,36 @@ def canonical_codes(lengths: DataFrame, keys: tuple[str, ...], symbol: str, leng
     w = Window.partitionBy(*keys).orderBy(length, symbol).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.pow(F.lit(2), maximum - F.col(length)).cast("bigint")).over(w), F.lit(0))
     return lengths.withColumn("code", F.floor(before / F.pow(F.lit(2), maximum - F.col(length))).cast("bigint"))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed a single time: as the variable of a lambda, not copied into its body."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pass(matrix: list[int], values: Column, bits: int, rows: bool, transposed: bool) -> Column:
+    """One pass of an 8 x 8 integer transform over an array of 64, rounded by a shift."""
+    m = F.array(*(F.lit(int(x)).cast("bigint") for x in matrix))
+
+    def cell(values: Column, i: Column) -> Column:
+        y, x = F.floor(i / 8).cast("int"), i % 8
+        place = lambda out, k: (k * 8 + out) if transposed else (out * 8 + k)
+        term = lambda s, k: s + F.get(m, place(x if rows else y, k)) * F.get(values, y * 8 + k if rows else k * 8 + x)
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(1 << (bits - 1)).cast("bigint"), term)
+        return F.shiftright(total, bits)
+
+    return once(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: cell(v, i)))
+
+
+def inverse_dct(block: Column, matrix: list[int]) -> Column:
+    """Samples of a block of 64 dequantised coefficients: columns, then rows, in fixed point. The matrix is the
+    codec's TRANSFORM, row by row."""
+    columns = _pass(matrix, F.transform(block, lambda x: x.cast("bigint")), 11, rows=False, transposed=False)
+    samples = _pass(matrix, columns, 18, rows=True, transposed=False)
+    return F.transform(samples, lambda x: F.least(F.greatest(x + 128, F.lit(0)), F.lit(255)).cast("int"))
+
+
+def forward_dct(block: Column, matrix: list[int]) -> Column:
+    """8 times the coefficients of a block of 64 samples: rows, then columns, in fixed point."""
+    rows = _pass(matrix, F.transform(block, lambda x: x.cast("bigint") - 128), 11, rows=True, transposed=True)
+    return F.transform(_pass(matrix, rows, 15, rows=False, transposed=True), lambda x: x.cast("int"))
