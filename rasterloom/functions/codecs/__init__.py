@@ -43,9 +43,11 @@ def format_of(data: bytes, wanted: str | None = None) -> str:
     return found
 
 
-def inspect(data: bytes, wanted: str | None = None) -> tuple[str, Info]:
+def inspect(data: bytes, wanted: str | None = None, count_frames: bool = True) -> tuple[str, Info]:
+    """Without count_frames, formats whose frames take a walk through the whole blob report none (0)."""
     fmt = format_of(data, wanted)
-    return fmt, CODECS[fmt].inspect(data)
+    basic = getattr(CODECS[fmt], "inspect_basic", None)
+    return fmt, basic(data) if basic and not count_frames else CODECS[fmt].inspect(data)
 
 
 def _trailing(r: Result, data: bytes, stage: str) -> Result:
@@ -69,6 +71,20 @@ def decode_sequence(data: bytes, wanted: str | None = None) -> tuple[str, Result
     return fmt, _trailing(Result(Sequence(w, h, [Frame(r.value, (0, 0, w, h))], "SingleFrame", "Canvas"), r.consumed, r.diagnostics), data, "SequenceDecode")
 
 
+def decode_frame(data: bytes, index: int, wanted: str | None = None) -> tuple[str, Result]:
+    """The sequence with one of its frames alone, at its place; a TIFF page is read without the others."""
+    fmt = format_of(data, wanted)
+    if fmt == "TIFF":
+        image, count = tiff.decode_page(data, index)
+        r = Result(Sequence(image.width, image.height, [Frame(image, (0, 0, image.width, image.height))], "UntimedPages" if count > 1 else "SingleFrame", "Page"), len(data))
+        return fmt, r
+    fmt, r = decode_sequence(data, wanted)
+    if not 0 <= index < len(r.value.frames):
+        raise CodecError("Parameter", f"there is no frame {index}")
+    r.value.frames = [r.value.frames[index]]
+    return fmt, r
+
+
 def verify(data: bytes) -> str:
     """Structure for PNG, JPEG and WebP, the header for the others; returns the format."""
     fmt = format_of(data)
@@ -109,4 +125,4 @@ def encode_sequence(seq: Sequence, fmt: str, **options) -> bytes:
     return encode(seq.frames[0].image, fmt, **options)
 
 
-__all__ = ["CODECS", "CodecError", "Frame", "Info", "NeedMore", "Raster", "Result", "Sequence", "decode", "decode_sequence", "detect", "encode", "encode_sequence", "format_of", "inspect", "metadata_bytes", "plain_still", "verify"]
+__all__ = ["CODECS", "CodecError", "Frame", "Info", "NeedMore", "Raster", "Result", "Sequence", "decode", "decode_frame", "decode_sequence", "detect", "encode", "encode_sequence", "format_of", "inspect", "metadata_bytes", "plain_still", "verify"]

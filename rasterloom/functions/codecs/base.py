@@ -47,6 +47,7 @@ class Raster:
     byte_order: str | None = None
     blocks: list[tuple[bytes, bytes]] = field(default_factory=list)
     metadata: list[tuple[bytes, bytes]] = field(default_factory=list)
+    color: dict | None = None
 
     def validate(self) -> Raster:
         if self.width <= 0 or self.height <= 0:

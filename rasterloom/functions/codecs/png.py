@@ -165,9 +165,54 @@ def build(samples: np.ndarray, depth: int, color: int, palette: bytes | None, al
     return Raster(w, h, mode, pixels, own or None, alpha[: len(own) // 3] if own else b"", alpha="Straight" if straight else None)
 
 
+#: Compressed metadata are inflated up to here to see whether they can be.
+MAX_METADATA_OUTPUT = 1 << 20
+
+
+def _inflates(data: bytes) -> bool:
+    stream = zlib.decompressobj()
+    try:
+        out = stream.decompress(data, MAX_METADATA_OUTPUT)
+    except zlib.error:
+        return False
+    return stream.eof or len(out) >= MAX_METADATA_OUTPUT
+
+
+def lost_metadata(kind: bytes, payload: bytes, at: int) -> bool:
+    """Whether a well-shaped field of compressed metadata can't be inflated. An unknown method of zTXt or iCCP is an error."""
+    keyword, nul, rest = payload.partition(b"\0")
+    if kind not in (b"zTXt", b"iCCP", b"iTXt") or not nul or not keyword or len(rest) < 1 + (kind == b"iTXt"):
+        return False
+    if kind != b"iTXt":
+        if rest[0]:
+            raise malformed(f"PNG png_{kind.decode()} compression method is unsupported", at, "png_chunk")
+        return not _inflates(rest[1:])
+    parts = rest[2:].split(b"\0", 2)
+    return rest[0] == 1 and len(parts) == 3 and (rest[1] != 0 or not _inflates(parts[2]))
+
+
+def keep_color(kind: bytes, payload: bytes, color: dict) -> bool:
+    """Take the first well-formed chunk of each kind into `color`; others are left as raw metadata."""
+    if kind == b"sRGB" and len(payload) == 1 and payload[0] <= 3:
+        key, value = "srgb_intent", payload[0]
+    elif kind == b"gAMA" and len(payload) == 4:
+        key, value = "gamma", struct.unpack(">I", payload)[0]
+    elif kind == b"cHRM" and len(payload) == 32:
+        key, value = "chromaticities", list(struct.unpack(">8I", payload))
+    elif kind == b"iCCP" and 0 < payload.find(b"\0") < len(payload) - 1:
+        at = payload.index(b"\0")
+        key, value = "icc", {"keyword": payload[:at], "data": payload[at + 1 :]}
+    else:
+        return False
+    if key in color:
+        return False
+    color[key] = value
+    return True
+
+
 def _read(data: bytes, strict: bool = False):
     """Everything between the signature and IEND, with diagnostics."""
-    state = {"idat": [], "palette": None, "alpha": b"", "frames": [], "plays": None, "count": None, "meta": [], "blocks": [], "payload": 0}
+    state = {"idat": [], "palette": None, "alpha": b"", "frames": [], "plays": None, "count": None, "meta": [], "blocks": [], "payload": 0, "color": {}}
     said: list = []
     say = lambda at, name: said.append(("RecoverableMalformed", "StillDecode", at, name))
     head = None
@@ -234,7 +279,10 @@ def _read(data: bytes, strict: bool = False):
         elif kind == b"IEND":
             ended = at + 12
         elif kind in METADATA or kind in COLOR:
-            state["meta"].append((kind, payload))
+            if lost_metadata(kind, payload, at):
+                said.append(("InvalidMetadataIgnored", "StillDecode", at, f"png_{kind.decode()}"))
+            elif not keep_color(kind, payload, state["color"]):
+                state["meta"].append((kind, payload))
         elif kind[0] & 32:
             state["blocks"].append((kind, payload))
     if head is None:
@@ -255,7 +303,7 @@ def decode(data: bytes) -> Result:
     if more:
         said.append(("RecoverableMalformed", "StillDecode", None, "png_oversized_scanline"))
     image = build(samples, head[2], head[3], s["palette"], s["alpha"])
-    image.metadata, image.blocks = s["meta"], s["blocks"]
+    image.metadata, image.blocks, image.color = s["meta"], s["blocks"], s["color"] or None
     return Result(image, end, said)
 
 

@@ -346,11 +346,22 @@ def decode(data: bytes) -> Result:
     return Result(image, max(end, last))
 
 
-def decode_page(data: bytes, index: int) -> Raster:
+def inspect_basic(data: bytes) -> Info:
+    """The first directory alone; frames aren't counted (0)."""
+    order = order_of(data)
+    tags, _, _ = tags_at(data, order, struct.unpack_from(order + "I", data, 4)[0])
+    w, h = _one(tags, WIDTH), _one(tags, HEIGHT)
+    check_pixels(w, h)
+    mode, _, _, bits, _ = layout(tags)
+    return Info(w, h, mode, bits, 0, False, byte_order="LittleEndian" if order == "<" else "BigEndian")
+
+
+def decode_page(data: bytes, index: int) -> tuple[Raster, int]:
+    """One page and the number of pages."""
     pages = directories(data)
     if not 0 <= index < len(pages):
         raise CodecError("Parameter", f"there is no page {index}")
-    return page(data, pages[index][0])[0]
+    return page(data, pages[index][0])[0], len(pages)
 
 
 def decode_sequence(data: bytes) -> Result:

@@ -76,6 +76,15 @@ def inspect(data: bytes) -> Info:
     return Info(w, h, "Rgba8" if flags & 16 else "Rgb8", 8, max(frames, 1), bool(flags & 2))
 
 
+def inspect_basic(data: bytes) -> Info:
+    """From the first chunk alone; frames of an animation aren't counted (0)."""
+    if len(data) >= 30 and data[12:16] == b"VP8X" and data[20] & 2:
+        w, h = int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+        check_pixels(w, h)
+        return Info(w, h, "Rgba8" if data[20] & 16 else "Rgb8", 8, 0, True)
+    return inspect(data)
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.v, self.n, self.at, self.data = 0, 0, 0, data

@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.functions import codecs, schema
 from rasterloom.functions.codecs.base import CodecError, Frame, Raster, Sequence, raster_bytes
+from rasterloom.operators import catalog
 from rasterloom.operators.policy import DecodePolicy
 
 
@@ -34,7 +36,8 @@ def _final(e: CodecError, prefix: bool) -> CodecError:
 def image_value(fmt: str, r: Raster) -> dict:
     pairs = lambda xs: [{"kind": k, "data": d} for k, d in xs]
     hot = {"x": r.hotspot[0], "y": r.hotspot[1]} if r.hotspot else None
-    return {"format": fmt, "width": r.width, "height": r.height, "mode": r.mode, "pixels": r.pixels, "palette_rgb": r.palette, "palette_alpha": r.palette_alpha if r.palette else None, "cursor_hotspot": hot, "alpha": r.alpha, "byte_order": r.byte_order, "blocks": pairs(r.blocks), "metadata": pairs(r.metadata)}
+    color = {"srgb_intent": None, "gamma": None, "chromaticities": None, "icc": None, **r.color} if r.color else None
+    return {"format": fmt, "width": r.width, "height": r.height, "mode": r.mode, "pixels": r.pixels, "color": color, "palette_rgb": r.palette, "palette_alpha": r.palette_alpha if r.palette else None, "cursor_hotspot": hot, "alpha": r.alpha, "byte_order": r.byte_order, "blocks": pairs(r.blocks), "metadata": pairs(r.metadata)}
 
 
 def raster_of(v: dict) -> Raster:
@@ -61,11 +64,14 @@ def _check(policy: DecodePolicy | None, info, fmt: str, data: bytes, frames: int
             raise CodecError("LimitExceeded", f"{n} is over {most}", resource=name, maximum=most, observed=n)
 
 
-def _inspect(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
-    fmt, i = codecs.inspect(data, wanted)
-    _check(policy, i, fmt, data, i.frames)
-    hot = {"x": i.hotspot[0], "y": i.hotspot[1]} if i.hotspot else None
-    yield {"value": {"format": fmt, "width": i.width, "height": i.height, "mode": i.mode, "bit_depth": i.bit_depth, "frame_count": i.frames, "is_animated": i.animated, "cursor_hotspot": hot, "byte_order": i.byte_order, "decoded_bytes": raster_bytes(i.mode, i.width, i.height)}}
+def _inspect(count_frames: bool) -> Callable:
+    def run(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
+        fmt, i = codecs.inspect(data, wanted, count_frames)
+        _check(policy, i, fmt, data, i.frames or None)
+        hot = {"x": i.hotspot[0], "y": i.hotspot[1]} if i.hotspot else None
+        yield {"value": {"format": fmt, "width": i.width, "height": i.height, "mode": i.mode, "bit_depth": i.bit_depth, "frame_count": i.frames or None, "is_animated": i.animated, "cursor_hotspot": hot, "byte_order": i.byte_order, "decoded_bytes": raster_bytes(i.mode, i.width, i.height)}}
+
+    return run
 
 
 def _decode(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
@@ -76,25 +82,50 @@ def _decode(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Ite
     yield {"value": image_value(fmt, r.value), "consumed_bytes": r.consumed, "diagnostics": _said(r.diagnostics)}
 
 
-def _frames(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
-    if policy:
-        fmt, i = codecs.inspect(data, wanted)
-        _check(policy, i, fmt, data, i.frames)
-    fmt, r = codecs.decode_sequence(data, wanted)
-    s: Sequence = r.value
-    for n, f in enumerate(s.frames):
-        rect = dict(zip(("left", "top", "width", "height"), f.rect, strict=True))
-        d = {"num": f.duration[0], "den": f.duration[1]} if f.duration else None
-        value = {"frame_index": n, "frame_count": len(s.frames), "kind": s.kind, "layout": s.layout, "canvas_width": s.width, "canvas_height": s.height, "loop_count": s.loops, "rect": rect, "duration": d, "disposal": f.disposal, "blend": f.blend, "interlaced": f.interlaced, "image": image_value(fmt, f.image)}
-        yield {"value": value, "consumed_bytes": r.consumed, "diagnostics": _said(r.diagnostics) if not n else []}
+def charge(policy: DecodePolicy | None, sizes: list[int]) -> None:
+    """The sequence budget: the primary frame is charged to the sum first, a later one meets its own limit before it."""
+    total = 0
+    for n, size in enumerate(sizes):
+        total += size
+        for resource, most, spent in (("FrameDecodedBytes", policy.max_frame_bytes if n else None, size), ("SequenceDecodedBytes", policy.max_sequence_bytes, total)) if policy else ():
+            if most is not None and spent > most:
+                raise CodecError("LimitExceeded", f"{spent} is over {most}", resource=resource, maximum=most, observed=spent)
+
+
+def _frames(index: int | None) -> Callable:
+    def run(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
+        if policy:
+            fmt, i = codecs.inspect(data, wanted)
+            _check(policy, i, fmt, data, i.frames)
+            if i.frames == 1:
+                charge(policy, [raster_bytes(i.mode, i.width, i.height)])  # before any pixel
+        fmt, r = codecs.decode_sequence(data, wanted) if index is None else codecs.decode_frame(data, index, wanted)
+        s: Sequence = r.value
+        charge(policy, [len(f.image.pixels) for f in s.frames])
+        for n, f in enumerate(s.frames):
+            rect = dict(zip(("left", "top", "width", "height"), f.rect, strict=True))
+            d = {"num": f.duration[0], "den": f.duration[1]} if f.duration else None
+            value = {"frame_index": n if index is None else index, "frame_count": len(s.frames), "kind": s.kind, "layout": s.layout, "canvas_width": s.width, "canvas_height": s.height, "loop_count": s.loops, "rect": rect, "duration": d, "disposal": f.disposal, "blend": f.blend, "interlaced": f.interlaced, "image": image_value(fmt, f.image)}
+            yield {"value": value, "consumed_bytes": r.consumed, "diagnostics": _said(r.diagnostics) if not n else []}
+
+    return run
 
 
 def _verify(data: bytes, wanted: str | None, policy: DecodePolicy | None) -> Iterator[dict]:
     yield {"value": codecs.verify(data)}
 
 
-def _apply(df: DataFrame, content: str, value: str, stage: str, work: Callable, wanted: str | None, policy: DecodePolicy | None, prefix: bool) -> DataFrame:
-    """df with the envelope's columns instead of `content`; other columns stay."""
+PART_BYTES = 32_000_000
+
+
+def _weight(value) -> int:
+    image = value.get("image", value) if isinstance(value, dict) else {}
+    return len(image.get("pixels") or b"")
+
+
+def _apply(df: DataFrame, content: str, value: str, stage: str, work: Callable, wanted: str | None, policy: DecodePolicy | None, prefix: bool, features: tuple[str, ...] | None = None) -> DataFrame:
+    """df with the envelope's columns instead of `content`; other columns stay. `features` names the formats that
+    are switched on (None: all). Rows go on in parts of about PART_BYTES of results."""
     keep = [f for f in df.schema.fields if f.name != content]
     out = StructType(keep + StructType.fromDDL(schema.envelope(value)).fields)
     names = [f.name for f in keep]
@@ -106,34 +137,83 @@ def _apply(df: DataFrame, content: str, value: str, stage: str, work: Callable,
         for batch in batches:
             at = batch.schema.get_field_index(content)
             rest = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            rows, index = [], []
+
+            def part(rows: list, index: list, rest: dict = rest) -> pa.RecordBatch:
+                picked = [rest[n].take(pa.array(index, pa.int64())) for n in names]
+                own = [pa.array([r.get(f.name) for r in rows], f.type) for f in list(arrow)[len(names) :]]
+                return pa.RecordBatch.from_arrays(picked + own, schema=arrow)
+
+            rows, index, size = [], [], 0
             for n, data in enumerate(batch.column(at).to_pylist()):
                 try:
                     if data is None:
                         raise CodecError("UnknownFormat", "no data")
+                    if features is not None and codecs.format_of(data, wanted) not in features:
+                        raise CodecError("Unsupported", f"{codecs.detect(data)} is switched off", reason="FeatureDisabled")
                     found = [{"ok": True, "diagnostics": [], **x} for x in work(data, wanted, policy)]
                 except Exception as e:  # any failure is this row's error
                     found = [{"ok": False, "diagnostics": [], "error": error_row(_final(e, prefix) if isinstance(e, CodecError) else e, stage, codecs.detect(data) if data is not None else None)}]
                 rows += found
                 index += [n] * len(found)
-            picked = [rest[n].take(pa.array(index, pa.int64())) for n in names]
-            own = [pa.array([r.get(f.name) for r in rows], f.type) for f in list(arrow)[len(names) :]]
-            yield pa.RecordBatch.from_arrays(picked + own, schema=arrow)
+                size += sum(_weight(x.get("value")) for x in found)
+                if size > PART_BYTES:
+                    yield part(rows, index)
+                    rows, index, size = [], [], 0
+            if rows:
+                yield part(rows, index)
 
     return df.mapInArrow(run, out)
 
 
-def inspect_images(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None, prefix: bool = False) -> DataFrame:
-    return _apply(df, content, schema.INFO, "Inspection", _inspect, fmt, policy, prefix)
+def inspect_images(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None, prefix: bool = False, count_frames: bool = True, features: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of each blob. Without count_frames, frame_count is null where counting takes a walk through the blob."""
+    return _apply(df, content, schema.INFO, "Inspection", _inspect(count_frames), fmt, policy, prefix, features)
+
+
+def decode_images(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None, prefix: bool = False, features: tuple[str, ...] | None = None) -> DataFrame:
+    return _apply(df, content, schema.IMAGE, "StillDecode", _decode, fmt, policy, prefix, features)
+
+
+def decode_frames(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None, prefix: bool = False, frame_index: int | None = None, features: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each frame or page, or for the one of frame_index; a still image is one frame. In a prefix, missing
+    bytes are NeedMoreData. To cancel or watch the job, run it inside functions.control.controlled."""
+    return _apply(df, content, schema.FRAME, "SequenceDecode", _frames(frame_index), fmt, policy, prefix, features)
+
+
+def check_lengths(decoded: DataFrame) -> DataFrame:
+    """decode_images' rows with `length_ok`: whether the pixels have exactly the bytes that mode and size ask for."""
+    wanted = catalog.transfer_bytes(F.col("value.mode"), F.col("value.width"), F.col("value.height"))
+    return decoded.withColumn("length_ok", F.length("value.pixels") == wanted)
+
+
+class LazyImages:
+    """Blobs whose facts, pixels and frames are each computed once, when first asked for, and kept on the executors.
+
+    Nothing is kept under a policy, so that a refusal is never remembered. release() lets go of all."""
+
+    def __init__(self, df: DataFrame, content: str = "content"):
+        self.df, self.content, self._kept = df, content, {}
+
+    def _once(self, name: str, make: Callable, policy: DecodePolicy | None) -> DataFrame:
+        if policy is not None:
+            return make(self.df, self.content, policy=policy)
+        if name not in self._kept:
+            self._kept[name] = make(self.df, self.content).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[name]
 
+    def inspected(self, policy: DecodePolicy | None = None) -> DataFrame:
+        return self._once("inspect", inspect_images, policy)
 
-def decode_images(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None, prefix: bool = False) -> DataFrame:
-    return _apply(df, content, schema.IMAGE, "StillDecode", _decode, fmt, policy, prefix)
+    def decoded(self, policy: DecodePolicy | None = None) -> DataFrame:
+        return self._once("decode", decode_images, policy)
 
+    def frames(self, policy: DecodePolicy | None = None) -> DataFrame:
+        return self._once("frames", decode_frames, policy)
 
-def decode_frames(df: DataFrame, content: str = "content", fmt: str | None = None, policy: DecodePolicy | None = None) -> DataFrame:
-    """A row for each frame or page; a still image is one frame."""
-    return _apply(df, content, schema.FRAME, "SequenceDecode", _frames, fmt, policy, False)
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept = {}
 
 
 def verify_images(df: DataFrame, content: str = "content") -> DataFrame:

@@ -20,6 +20,8 @@ class DecodePolicy:
     max_pixels: int | None = None
     max_primary_bytes: int | None = None
     max_frames: int | None = None
+    max_frame_bytes: int | None = None
+    max_sequence_bytes: int | None = None
 
 
 FAILURE = "struct<kind:string,resource:string,maximum:bigint,observed:bigint>"
