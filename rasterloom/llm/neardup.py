@@ -3,15 +3,15 @@
 A text's class is its set of word shingles; texts with equal sets are one class. A class's signature has
 COORDS coordinates, each posted under (coordinate, value). Two sets of similarity s agree in a coordinate
 with probability s, so a linked pair agrees in at least MATCHES of them but for a chance below 1e-6 (at the
-limit of 0.8 itself; far less above). Any pair that agrees in MATCHES coordinates shares two of the
+limit of 0.8 itself; far less above). Any pair that agrees in MATCHES coordinates shares one of the
 PREFIX rarest postings of both (prefix filter, with coordinates ordered by how many classes have them), so
 only these are joined; the remaining coordinates are counted by lookup in the signatures (skip merging).
 Pairs above the threshold are confirmed on full sets.
 
 Long lists, as groups of near copies make, take two steps. First each member is compared with the list's most
-central class alone, which is linear and joins most groups of copies. Then only lists whose members still lie
-in several components are searched for links across these, in blocks bounded by bytes; a list of several
-blocks is first divided by the second posting that a linked pair shares."""
+central class alone, which is linear and joins most groups of copies. Then the members of lists with one
+centre are one group, and only groups whose members still lie in several components are searched for links
+across these, in blocks bounded by bytes, by a second, longer signature and then on full sets."""
 
 from __future__ import annotations
 
@@ -27,7 +27,10 @@ from rasterloom.llm.common import U64, column, materialize, mix64, row_key, text
 from rasterloom.llm.components import components
 
 COORDS, MATCHES, SEED = 48, 24, 7
-PREFIX = COORDS - MATCHES + 2
+PREFIX = COORDS - MATCHES + 1
+#: The second signature has LONG coordinates of one byte. A pair of similarity 0.8 agrees in fewer than LONG_MATCHES
+#: with a chance of 1e-11; one of 0.5 agrees in as many with a chance of 5e-5.
+LONG, LONG_MATCHES = 256, 160
 #: The broadcast table of frequent postings has at most this many 16-byte entries, by its threshold.
 FREQUENT_POSTINGS = 200_000
 #: Posting lists up to SHORT classes give pairs; longer ones are compared with a centre, in parts of STAR members.
@@ -38,7 +41,7 @@ BLOCK_BYTES, BLOCK = 4_000_000, 1_000
 SALTED = 4_096
 
 _B = [U64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)]
-_SALTS = mix64(np.arange(1, COORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(SEED))
+_SALTS = mix64(np.arange(1, COORDS + LONG + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(SEED))
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -54,14 +57,23 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """COORDS numbers: a coordinate's number above 32 bits of its least salted hash."""
-    least = np.full(COORDS, np.iinfo(np.uint64).max, U64)
+def _least(s: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The least salted hash of a set for each salt."""
+    least = np.full(len(salts), np.iinfo(np.uint64).max, U64)
     for i in range(0, len(s), 2048):  # bounds the table of hashes for very long texts
-        x = s[None, i : i + 2048] ^ _SALTS[:, None]
+        x = s[None, i : i + 2048] ^ salts[:, None]
         x = (x ^ (x >> U64(31))) * _B[0]
         np.minimum(least, (x ^ (x >> U64(29))).min(axis=1), out=least)
-    return (np.arange(COORDS, dtype=U64) << U64(32) | (mix64(least) >> U64(32))).view(np.int64)
+    return mix64(least)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """COORDS numbers: a coordinate's number above 32 bits of its least salted hash."""
+    return (np.arange(COORDS, dtype=U64) << U64(32) | (_least(s, _SALTS[:COORDS]) >> U64(32))).view(np.int64)
+
+
+def long_signature(s: np.ndarray) -> np.ndarray:
+    return (_least(s, _SALTS[COORDS:]) >> U64(56)).astype(np.uint8)
 
 
 def _classes(size: int):
@@ -113,53 +125,38 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _counts(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sorted sets, as a product of their 0/1 matrices over common members."""
-    values, place = np.unique(np.concatenate(own + other), return_inverse=True)
-    cut = sum(map(len, own))
-    mine, theirs = np.bincount(place[:cut], minlength=len(values)), np.bincount(place[cut:], minlength=len(values))
-    common = np.flatnonzero((mine > 0) & (theirs > 0))
-    rank = np.full(len(values), -1, np.int64)
-    rank[common] = np.arange(len(common))
-    out = np.zeros((len(own), len(other)), np.float32)
-    rows = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.repeat(np.arange(len(other)), [len(x) for x in other])
-    at = rank[place[:cut]], rank[place[cut:]]
-    for lo in range(0, len(common), 4096):
-        parts = []
-        for n, r, x in zip((len(own), len(other)), rows, at, strict=True):
-            hit = (x >= lo) & (x < lo + 4096)
-            m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
-            m[r[hit], x[hit] - lo] = 1
-            parts.append(m)
-        out += parts[0] @ parts[1].T
-    return out
-
-
-def _links(sets: list[np.ndarray], sigs: np.ndarray, names: list[int], cut: int, labels: list[int], percent: int) -> Iterator[tuple[int, int]]:
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of a sorted set each of several sorted sets has."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    ends = np.cumsum([len(x) for x in others])
+    total = np.r_[0, np.cumsum(one[at] == flat)]
+    return total[ends] - total[np.r_[0, ends[:-1]]]
+
+
+def _links(sets: list[np.ndarray], names: list[int], cut: int, labels: list[int], percent: int) -> Iterator[tuple[int, int]]:
     """Links that join different labels among sets, of which the first `cut` are compared with the others (with
     each other where cut is their number). What a link has joined is one label from then on."""
     size = np.array([len(x) for x in sets])
+    sigs = np.stack([long_signature(x) for x in sets])
     label = np.unique(np.array(labels), return_inverse=True)[1]
-    same = cut == len(sets)
-    cols = np.arange(len(sets)) if same else np.arange(cut, len(sets))
+    cols = np.arange(len(sets)) if cut == len(sets) else np.arange(cut, len(sets))
+    theirs = np.ascontiguousarray(sigs[cols].T)
     for lo in range(0, cut, 256):
         rows = np.arange(lo, min(lo + 256, cut))
         ask = label[rows][:, None] != label[cols][None, :]
-        if ask.any():
-            equal = np.zeros(ask.shape, np.int16)
-            for x, y in zip(sigs[rows].T, sigs[cols].T, strict=True):
-                equal += x[:, None] == y[None, :]
-            ask &= equal >= MATCHES
         if not ask.any():
             continue
-        rows, ask = rows[ask.any(axis=1)], ask[ask.any(axis=1)]
-        use = ask.any(axis=0)
-        n = _counts([sets[i] for i in rows], [sets[j] for j in cols[use]])
-        hit = np.zeros(ask.shape, bool)
-        hit[:, use] = 100 * n >= percent * (size[rows][:, None] + size[cols[use]][None, :] - n)
-        hit &= ask
-        for i, line in zip(rows.tolist(), hit, strict=True):
-            for j in cols[line].tolist():
+        equal = np.zeros(ask.shape, np.uint16)
+        for x, y in zip(sigs[rows].T, theirs, strict=True):
+            equal += x[:, None] == y[None, :]
+        ask &= equal >= LONG_MATCHES
+        for i in rows[ask.any(axis=1)].tolist():
+            near = cols[ask[i - lo] & (label[cols] != label[i])]
+            if not len(near):
+                continue
+            both = _shared(sets[i], [sets[j] for j in near])
+            for j in near[100 * both >= percent * (size[i] + size[near] - both)].tolist():
                 if label[i] != label[j]:
                     label[label == label[j]] = label[i]
                     yield names[i], names[j]
@@ -191,7 +188,7 @@ def _stars(size: int, percent: int):
 
 
 def _across(size: int, percent: int):
-    """Sorted by (t, t2, i, j): one pair of blocks of a list at a time; links across components."""
+    """Sorted by (p, i, j): one pair of blocks of a group at a time; links across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members = None, []
@@ -200,17 +197,16 @@ def _across(size: int, percent: int):
             if at is None or len({x[2] for x in members}) < 2:
                 return []
             members.sort(key=lambda x: x[0])
-            cut = len(members) if at[2] == at[3] else sum(not x[0] for x in members)
-            sets = [shingles(x[3], size) for x in members]
-            return list(_links(sets, np.stack([signature(x) for x in sets]), [x[1] for x in members], cut, [x[2] for x in members], percent))
+            cut = len(members) if at[1] == at[2] else sum(not x[0] for x in members)
+            return list(_links([x[3] for x in members], [x[1] for x in members], cut, [x[2] for x in members], percent))
 
         for batch in batches:
             found = []
-            for row in zip(*(column(batch, x).to_pylist() for x in ("t", "t2", "i", "j", "side", "c", "root", "text")), strict=True):
-                if row[:4] != at:
+            for *key, side, c, root, text in zip(*(column(batch, x).to_pylist() for x in ("p", "i", "j", "side", "c", "root", "text")), strict=True):
+                if key != at:
                     found += done()
-                    at, members = row[:4], []
-                members.append(row[4:])
+                    at, members = key, []
+                members.append((side, c, root, shingles(text, size)))
             yield _batch(found)
         yield _batch(done())
 
@@ -243,39 +239,28 @@ def _star_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, p
     return rows.mapInArrow(_stars(size, percent), "u bigint, v bigint")
 
 
-def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows(keys, c, root, bytes) of lists with several components, with the number of blocks that they need."""
-    lists = rows.groupBy(*keys).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("bytes").alias("sum"), F.count(F.lit(1)).alias("n")).where("a <> b")
+def _cross_links(groups: DataFrame, roots: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(u, v): links across the components roots(node, root), within groups(p, c). None if no group has several."""
+    rows = groups.join(reps.select("c", "bytes"), "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    several = rows.groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("bytes").alias("sum"), F.count(F.lit(1)).alias("n")).where("a <> b")
     blocks = F.ceil(F.greatest(F.col("sum") / BLOCK_BYTES, F.col("n") / BLOCK)).cast("int")
-    return rows.join(lists.select(*keys, blocks.alias("blocks")), keys)
-
-
-def _cross_links(lists: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(u, v): links across the components that links make, within lists(t, c). None if no list has several."""
-    roots = components(links)
-    rows = lists.join(reps.select("c", "bytes"), "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    rows = materialize(_blocks(rows.withColumn("root", F.coalesce("root", "c")), ["t"]))
+    rows = materialize(rows.join(several.select("p", blocks.alias("blocks")), "p").select("p", "c", "root", "blocks"))
     if rows.isEmpty():
         return None
-    # Linked classes share two of their postings: a list of several blocks is divided by the second one.
-    one = rows.where("blocks = 1").withColumn("t2", F.lit(None).cast("bigint"))
-    more = rows.where("blocks > 1").drop("blocks")
-    second = rows.select("c", F.col("t").alias("t2"))
-    more = _blocks(more.join(second, "c").where("t2 <> t"), ["t", "t2"])
-    rows = one.unionByName(more.select(*one.columns)).withColumn("b", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     # Each member goes to the pairs of its own block with every other one.
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "t2", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("side"), "c", "root")
-    rows = rows.join(_texts(rows, docs, reps), "c").repartition("t", "t2", "i", "j").sortWithinPartitions("t", "t2", "i", "j")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("p", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("side"), "c", "root")
+    rows = rows.join(_texts(rows, docs, reps), "c").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
     return rows.mapInArrow(_across(size, percent), "u bigint, v bigint")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): links that connect exactly those classes which chains of linked pairs connect.
+def class_roots(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root): the least class that chains of linked pairs reach, for each class that they reach from above.
 
     Any two linked classes meet in a posting list. The pairs of a short list (SHORT members, so a bounded number
     for each posting), and those of a long list's members with its most central one, are counted by signature
-    and confirmed if above the threshold. Then long lists are searched across the components found."""
+    and confirmed if above the threshold. Then long lists are searched across the components found, and what
+    is found there joins components as a whole."""
     spark = docs.sparkSession
     reps = materialize(classes.groupBy("c").agg(F.min("k").alias("k")).join(classes.select("c", "k", "sig", "bytes").dropDuplicates(["c", "k"]), ["c", "k"]))
     total = reps.count()
@@ -291,9 +276,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -
     pairs = short.join(short.select("t", F.col("c").alias("p")), "t").where("p < c").select("p", "c", F.lit(1).alias("n"))
     long = lists.where(f"n > {SHORT}")
     pairs = pairs.unionByName(long.where("c <> p").select("p", "c", "n")).groupBy("p", "c").agg(F.ceil(F.max("n") / STAR).cast("int").alias("parts"))
-    links = materialize(_star_links(materialize(_matching(pairs, sigs)), docs, reps, size, percent))
-    more = _cross_links(long.select("t", "c"), links, docs, reps, size, percent)
-    return links if more is None else links.unionByName(more)
+    roots = components(_star_links(materialize(_matching(pairs, sigs)), docs, reps, size, percent))
+    more = _cross_links(long.select("p", "c").distinct(), roots, docs, reps, size, percent)
+    if more is None:
+        return roots
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    more = materialize(more).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    top = components(more.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
+    # A node of the first components is never the least of one, so the two have no node in common.
+    lifted = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return lifted.select("node", F.coalesce("top", "root").alias("root")).unionByName(top)
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, key: bool = False) -> DataFrame:
@@ -307,8 +299,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, key: bool = Fa
     null, so is the component, and they are kept. With `key` the row key k, xxhash64 of doc_id and text, comes too."""
     docs = docs.select("doc_id", "text").withColumn("k", row_key())
     classes = materialize(docs.select("k", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_classes(size), "k bigint, doc_id bigint, n_shingles bigint, bytes bigint, c bigint, sig array<bigint>"))
-    links = materialize(link_classes(docs.select("k", "text"), classes.where("c IS NOT NULL").select("k", "c", "sig", "bytes"), size, percent))
-    roots = components(links)
+    roots = class_roots(docs.select("k", "text"), classes.where("c IS NOT NULL").select("k", "c", "sig", "bytes"), size, percent)
     least = classes.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))

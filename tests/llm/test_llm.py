@@ -339,7 +339,6 @@ def test_near_dedup_block_links():
     rng = np.random.default_rng(5)
     base = np.sort(rng.choice(10**6, 100, replace=False).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, 100 - n, replace=False), rng.choice(10**6, n).astype(np.uint64)])) for n in rng.integers(0, 25, 40)]
-    sigs = np.stack([neardup.signature(x) for x in sets])
     want = _components({i: set(s.tolist()) for i, s in enumerate(sets)})
     for parts in ([(range(40), 40)], [(range(20), 20), (range(20, 40), 20), (range(40), 20)]):
         root = {i: i for i in want}
@@ -351,11 +350,11 @@ def test_near_dedup_block_links():
 
         for rows, cut in parts:
             rows = list(rows)
-            for x, y in neardup._links([sets[i] for i in rows], sigs[rows], rows, cut, rows, 80):
+            for x, y in neardup._links([sets[i] for i in rows], rows, cut, rows, 80):
                 x, y = sorted((find(x), find(y)))
                 root[y] = x
         assert {i: find(i) for i in want} == want
-    assert not list(neardup._links(sets, sigs, list(range(40)), 40, [0] * 40, 80))
+    assert not list(neardup._links(sets, list(range(40)), 40, [0] * 40, 80))
 
 
 def test_near_dedup_odd_rows(spark):
