@@ -290,50 +290,89 @@ def _median_cut(colors: np.ndarray, n: np.ndarray, most: int) -> list[np.ndarray
     return boxes
 
 
-def encode_frames(frames: list[Frame], w: int, h: int, loops: int | None = None, interlace: bool | None = None) -> bytes:
+def encode_frames(frames: list[Frame], w: int, h: int, loops: int | None = None, interlace: bool | None = None, disposal: int | None = None, transparency: bool = True, color_table: int = 1) -> bytes:
+    """disposal: of all frames instead of their own. color_table: 0 puts the first frame's palette into the
+    screen's header, and frames of the same palette need none of their own."""
     if not frames or not 0 < w < 65536 or not 0 < h < 65536:
         raise CodecError("Dimensions", "a GIF screen has 1 to 65535 pixels a side")
     parts, later = [], len(frames) > 1 or loops is not None
+    common, screen = None, 0
     for f in frames:
         num, den = f.duration or (0, 1)
         if num * 100 % den or num * 100 // den > 65535:
             raise CodecError("Parameter", "a delay must be whole centiseconds below 65536")
         index, palette, clear = indexed(f.image)
+        clear = clear if transparency else None
         later |= clear is not None
         n = max(2, (max(len(palette) // 3, 4) - 1).bit_length())
         table = palette + bytes((3 << n) - len(palette))
+        if not color_table and common is None:
+            common, screen = table, 128 | n - 1
         x, y, fw, fh = f.rect
-        delay = num * 100 // den
-        if clear is not None or f.disposal or delay:
-            parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", f.disposal << 2 | (clear is not None), delay, clear or 0) + b"\0")
+        delay, code = num * 100 // den, f.disposal if disposal is None else disposal
+        if clear is not None or code or delay:
+            parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", code << 2 | (clear is not None), delay, clear or 0) + b"\0")
         woven = interlace if interlace is not None else len(frames) == 1 and fw >= 16 and fh >= 16
         rows = index[interlaced_rows(fh)] if woven else index
-        parts.append(b"\x2c" + struct.pack("<HHHHB", x, y, fw, fh, 128 | (64 if woven else 0) | n - 1) + table + b"\x08")
-        code = lzw_encode(rows.tobytes(), 8)
-        parts += [bytes([len(code[i : i + 255])]) + code[i : i + 255] for i in range(0, len(code), 255)] + [b"\0"]
+        own = b"" if table == common else table
+        parts.append(b"\x2c" + struct.pack("<HHHHB", x, y, fw, fh, (128 | n - 1 if own else 0) | (64 if woven else 0)) + own + b"\x08")
+        coded = lzw_encode(rows.tobytes(), 8)
+        parts += [bytes([len(coded[i : i + 255])]) + coded[i : i + 255] for i in range(0, len(coded), 255)] + [b"\0"]
     loop = b"\x21\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", loops) + b"\0" if loops is not None else b""
-    return (b"GIF89a" if later else b"GIF87a") + struct.pack("<HHBBB", w, h, 0, 0, 0) + loop + b"".join(parts) + b"\x3b"
+    return (b"GIF89a" if later else b"GIF87a") + struct.pack("<HHBBB", w, h, screen, 0, 0) + (common or b"") + loop + b"".join(parts) + b"\x3b"
 
 
-def encode(image: Raster, interlace: bool | None = None) -> bytes:
+def encode(image: Raster, interlace: bool | None = None, loops: int | None = None, disposal: int | None = None, transparency: bool = True, color_table: int = 1, animated: bool = True) -> bytes:
     image.validate()
-    return encode_frames([Frame(image, (0, 0, image.width, image.height))], image.width, image.height, None, interlace)
+    return encode_frames([Frame(image, (0, 0, image.width, image.height))], image.width, image.height, loops, interlace, disposal, transparency, color_table)
+
+
+def renders(seq: Sequence, disposal: int | None = None) -> list[np.ndarray]:
+    """What the canvas shows at each frame, as RGBA. Frames of source rectangles are laid over it where they are
+    opaque, after one with disposal 2 has cleared its own rectangle; whole canvases replace it."""
+    canvas, out, clear = np.zeros((seq.height, seq.width, 4), np.uint8), [], None
+    for f in seq.frames:
+        if clear is not None:
+            canvas[clear] = 0
+        clear = None
+        if seq.layout == "SourceRect":
+            x, y, w, h = f.rect
+            box = (slice(y, y + h), slice(x, x + w))
+            rgba = f.image.rgba()
+            canvas[box] = np.where(rgba[:, :, 3:] > 0, rgba, canvas[box])
+            clear = box if (f.disposal if disposal is None else disposal) == 2 else None
+        else:
+            canvas[:] = f.image.rgba()
+        out.append(canvas.copy())
+    return out
+
 
+def coalesce(seq: Sequence, disposal: int | None = None) -> list[Frame]:
+    """Frames that show what the one before shows become one with it, their durations added.
 
-def coalesce(frames: list[Frame]) -> list[Frame]:
-    """Equal renders one after another become one frame, their durations added."""
+    Frames of whole canvases after the first are cut to the box that holds what changes."""
     from math import gcd
 
     out: list[Frame] = []
-    for f in frames:
-        if out and (out[-1].image.pixels, out[-1].rect, out[-1].image.palette) == (f.image.pixels, f.rect, f.image.palette):
+    before = None
+    for f, shown in zip(seq.frames, renders(seq, disposal), strict=True):
+        if before is not None and np.array_equal(shown, before):
             (n1, d1), (n2, d2) = out[-1].duration or (0, 1), f.duration or (0, 1)
             g = gcd(d1, d2)
             out[-1].duration = (n1 * (d2 // g) + n2 * (d1 // g), d1 * (d2 // g))
-        else:
-            out.append(Frame(f.image, f.rect, f.duration, f.disposal, f.blend, f.interlaced))
+            continue
+        image, rect = f.image, f.rect
+        if seq.layout != "SourceRect" and before is not None and image.mode in ("L8", "P8", "Rgb8") and not image.palette_alpha:
+            ys, xs = np.nonzero((shown != before).any(axis=2))
+            y, x, y2, x2 = int(ys.min()), int(xs.min()), int(ys.max()) + 1, int(xs.max()) + 1
+            cut = np.ascontiguousarray(image.array()[y:y2, x:x2])
+            image, rect = Raster(x2 - x, y2 - y, image.mode, cut.tobytes(), image.palette), (x, y, x2 - x, y2 - y)
+        out.append(Frame(image, rect, f.duration, f.disposal, f.blend, f.interlaced))
+        before = shown
     return out
 
 
-def encode_sequence(seq: Sequence) -> bytes:
-    return encode_frames(coalesce(seq.frames), seq.width, seq.height, seq.loops)
+def encode_sequence(seq: Sequence, interlace: bool | None = None, loops: int | None = None, disposal: int | None = None, transparency: bool = True, color_table: int = 1, animated: bool = True) -> bytes:
+    """Without `animated` the first frame alone. loops: instead of the sequence's own."""
+    frames = coalesce(seq, disposal) if animated else seq.frames[:1]
+    return encode_frames(frames, seq.width, seq.height, seq.loops if loops is None else loops, interlace, disposal, transparency, color_table)

@@ -1,11 +1,13 @@
-"""WebP: container, lossless (VP8L) decoding and encoding, alpha chunks, animation."""
+"""WebP: container, lossless (VP8L) decoding and encoding, lossy decoding with alpha chunks, animation."""
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
 
+from rasterloom.functions.codecs import vp8
 from rasterloom.functions.codecs.base import CodecError, Frame, Info, NeedMore, Raster, Result, Sequence, check_pixels, malformed, unsupported
 
 # Order in which lengths of code-length codes are stored, and sizes of the five alphabets.
@@ -341,12 +343,62 @@ def _lossless(b: bytes) -> tuple[np.ndarray, bool]:
     return vp8l_pixels(_Bits(b[5:]), w, h), alpha
 
 
+#: Environment variable of executors that names the file of VP8 tables (see vp8.load_tables).
+TABLES = "WEBP_TABLES"
+
+
+def alpha_plane(b: bytes, w: int, h: int) -> np.ndarray:
+    """The samples of an alpha chunk: stored, or green of a lossless image without header, then unfiltered."""
+    if not b or b[0] & 3 > 1 or b[0] >> 4 & 3 > 1:
+        raise malformed("an unknown kind of alpha", None, "webp_chunk")
+    if b[0] & 3:
+        a = vp8l_pixels(_Bits(b[1:]), w, h)[:, :, 1].copy()
+    else:
+        if len(b) - 1 < w * h:
+            raise malformed("alpha samples end early", None, "webp_chunk")
+        a = np.frombuffer(b, np.uint8, w * h, 1).reshape(h, w).copy()
+    return unfilter_alpha(a, b[0] >> 2 & 3)
+
+
+def unfilter_alpha(a: np.ndarray, method: int) -> np.ndarray:
+    """Add each sample's prediction: the one to the left, above, or their sum less the corner, cut to a byte.
+
+    The first sample stands for itself; the rest of the first row goes by the left, the first column by the one above."""
+    if not method:
+        return a
+    if method in (1, 2):
+        first = np.cumsum(a[0] if method == 2 else a[:, 0], dtype=np.uint8)
+        if method == 2:
+            a[0] = first
+            return np.cumsum(a, axis=0, dtype=np.uint8)
+        a[:, 0] = first
+        return np.cumsum(a, axis=1, dtype=np.uint8)
+    rows = a.tolist()
+    for y, row in enumerate(rows):
+        up = rows[y - 1]
+        for x in range(len(row)):
+            if x and y:
+                guess = min(max(row[x - 1] + up[x] - up[x - 1], 0), 255)
+            else:
+                guess = row[x - 1] if x else up[0] if y else 0
+            row[x] = row[x] + guess & 255
+    return np.array(rows, np.uint8)
+
+
 def _image(data: bytes, parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, bool]:
+    alpha = None
     for kind, at, n in parts:
         if kind == b"VP8L":
             return _lossless(data[at : at + n])
+        if kind == b"ALPH":
+            alpha = data[at : at + n]
         if kind == b"VP8 ":
-            raise unsupported("lossy WebP pixels", at, "webp_bitstream")
+            path = os.environ.get(TABLES)
+            if not path:
+                raise unsupported(f"lossy WebP pixels need the format's probability tables: {TABLES} names none", at, "webp_bitstream")
+            rgb = vp8.decode(data[at : at + n], vp8.load_tables(path))
+            a = np.full(rgb.shape[:2], 255, np.uint8) if alpha is None else alpha_plane(alpha, rgb.shape[1], rgb.shape[0])
+            return np.dstack([rgb, a]), alpha is not None
     raise malformed("no image chunk", 12, "webp_chunk")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
 from rasterloom.functions import codecs
-from rasterloom.functions.codecs.base import CodecError, raster_bytes
+from rasterloom.functions.codecs.base import raster_bytes
 
 _INSPECT = "format string, width bigint, height bigint, mode string, frame_count bigint, decoded_bytes bigint, error string"
 
@@ -19,8 +19,8 @@ def image_inspect(content: pd.Series) -> pd.DataFrame:
         try:
             fmt, i = codecs.inspect(bytes(data) if data is not None else b"")
             rows.append((fmt, i.width, i.height, i.mode, i.frames, raster_bytes(i.mode, i.width, i.height), None))
-        except CodecError as e:
-            rows.append((None, None, None, None, None, None, e.kind))
+        except Exception as e:  # any failure is this row's error
+            rows.append((None, None, None, None, None, None, getattr(e, "kind", "Malformed")))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _INSPECT.split(", ")]).astype({c: "Int64" for c in ("width", "height", "frame_count", "decoded_bytes")})
 
 
@@ -31,7 +31,7 @@ def image_pixels(content: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> bytes | None:
         try:
             return codecs.decode(bytes(data))[1].value.pixels if data is not None else None
-        except CodecError:
+        except Exception:
             return None
 
     return content.map(one)
@@ -42,7 +42,7 @@ def image_metadata_bytes(content: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> int | None:
         try:
             return codecs.metadata_bytes(bytes(data)) if data is not None else None
-        except CodecError:
+        except Exception:
             return None
 
     return content.map(one).astype("Int64")

@@ -78,13 +78,16 @@ def modes(spark: SparkSession) -> DataFrame:
 
 
 def capabilities(spark: SparkSession, enabled: tuple[str, ...] | None = None) -> DataFrame:
-    """48 rows (format, operation, capability, reason) under a set of enabled formats (None: all)."""
+    """48 rows (format, operation, capability, reason) of this engine under a set of enabled formats (None: all).
+
+    Restricted: lossy WebP pixels need the format's tables, and WebP is written without loss."""
     on = F.lit(True) if enabled is None else F.col("format").isin(*enabled)
     ops = spark.createDataFrame([(o, i) for i, o in enumerate(OPERATIONS)], "operation string, operation_no int")
-    op = F.col("operation")
-    absent = (op.isin("still_encode", "sequence_decode", "sequence_encode") & (F.col("format") == "AVIF")) | ((op == "sequence_decode") & ~F.col("format").isin(*SEQUENCE_DECODE)) | ((op == "sequence_encode") & ~F.col("format").isin(*SEQUENCE_ENCODE))
-    reason = F.when(op == "detection", F.lit(None)).when(~on, "FeatureDisabled").when(absent, "NotImplemented").when((op == "still_decode") & (F.col("format") == "AVIF"), "PortableAvif")
-    kind = F.when(F.col("reason").isNull(), "ManifestBounded").when(F.col("reason") == "PortableAvif", "Restricted").otherwise("Unavailable")
+    op, webp = F.col("operation"), F.col("format") == "WEBP"
+    absent = (op.isin("still_decode", "still_encode", "sequence_decode", "sequence_encode") & (F.col("format") == "AVIF")) | ((op == "sequence_decode") & ~F.col("format").isin(*SEQUENCE_DECODE)) | ((op == "sequence_encode") & ~F.col("format").isin(*SEQUENCE_ENCODE))
+    limited = F.when(webp & op.isin("still_decode", "sequence_decode"), "Vp8Tables").when(webp & op.isin("still_encode", "sequence_encode"), "LosslessOnly")
+    reason = F.when(op == "detection", F.lit(None)).when(~on, "FeatureDisabled").when(absent, "NotImplemented").otherwise(limited)
+    kind = F.when(F.col("reason").isNull(), "ManifestBounded").when(F.col("reason").isin("Vp8Tables", "LosslessOnly"), "Restricted").otherwise("Unavailable")
     return formats(spark).select("format").crossJoin(F.broadcast(ops)).withColumn("reason", reason).select("format", "operation", kind.alias("capability"), "reason")
 
 

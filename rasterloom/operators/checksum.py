@@ -19,6 +19,23 @@ def zlib_stored_length(n: Column, block: int = 65535) -> Column:
     return (2 + 5 * blocks + n + 4).cast("bigint")
 
 
+def zlib_stored(digits: Column, block: int = 65535) -> Column:
+    """The zlib stream of stored blocks, in hexadecimal digits, of bytes in hexadecimal digits."""
+    n = F.floor(F.length(digits) / 2).cast("bigint")
+    byte = lambda i: F.conv(F.substring(digits, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+    order = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    sums = F.aggregate(order, F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")), lambda s, i: F.struct((s["a"] + byte(i)).alias("a"), (s["b"] + (n - i) * byte(i)).alias("b")))
+    little = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256).cast("bigint")), 2, "0"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(n - 1, F.lit(0)) / block).cast("bigint"))
+
+    def stored(i: Column) -> Column:
+        size = F.least(n - i * block, F.lit(block))
+        last = F.when((i + 1) * block >= n, "01").otherwise("00")
+        return F.concat(last, little(size), little(65535 - size), F.substring(digits, (2 * block * i + 1).cast("int"), (2 * size).cast("int")))
+
+    return F.concat(F.lit("7801"), F.array_join(F.transform(blocks, stored), ""), F.lpad(F.hex(adler32(sums["a"], sums["b"], n)), 8, "0"))
+
+
 def png_output_length(width: Column, height: Column, bytes_per_pixel: int) -> Column:
     """Bytes of a PNG whose scanlines are stored: signature, IHDR, one IDAT, IEND."""
     raw = (width * bytes_per_pixel + 1) * height

@@ -27,6 +27,17 @@ def zlib_stored_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", checksum.zlib_stored_length(F.octet_length("text")).alias("stored"))
 
 
+@query("""WITH h AS (SELECT p_partkey, hex(encode(p_name)) AS h, strlen(p_name) AS n FROM part),
+s AS (SELECT *, list_transform(range(0, n), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM h),
+t AS (SELECT *, (1 + list_sum(b)) % 65521 AS x, (n + list_sum(list_transform(range(0, n), lambda i: (n - i) * b[i + 1]))) % 65521 AS y FROM s),
+k AS (SELECT *, list_transform(range(0, (n + 9) // 10), lambda i: least(n - 10 * i, 10)) AS sizes FROM t)
+SELECT p_partkey, '7801' || array_to_string(list_transform(range(0, len(sizes)), lambda i: CASE WHEN i + 1 = len(sizes) THEN '01' ELSE '00' END || lpad(hex(sizes[i + 1]), 2, '0') || '00' || lpad(hex(255 - sizes[i + 1]), 2, '0') || 'FF' || h[20 * i + 1:20 * i + 2 * sizes[i + 1]]), '')
+  || lpad(hex(CAST(y * 65536 + x AS BIGINT)), 8, '0') AS stream FROM k""")
+def zlib_stored_stream(spark, sf_dir):
+    """Names in stored blocks of ten bytes."""
+    return table(spark, sf_dir, "part").select("p_partkey", checksum.zlib_stored(F.hex(F.encode("p_name", "UTF-8")), 10).alias("stream"))
+
+
 @query("WITH r AS (SELECT p_partkey, (p_size * 3 + 1) * (p_partkey % 97 + 1) AS raw FROM part) SELECT p_partkey, CAST(8 + 25 + 12 + 2 + 5 * greatest(ceil(raw / 65535.0), 1) + raw + 4 + 12 AS BIGINT) AS png_bytes FROM r")
 def png_output_len_level0(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", checksum.png_output_length(F.col("p_size"), F.col("p_partkey") % 97 + 1, 3).cast("bigint").alias("png_bytes"))

@@ -98,9 +98,9 @@ def format_from_path(spark, sf_dir):
 
 
 @query(f"""WITH {_FORMATS}, o AS (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in catalog.OPERATIONS)}) t(operation)),
-r AS (SELECT format, operation, CASE WHEN (format = 'AVIF' AND operation IN ('still_encode', 'sequence_decode', 'sequence_encode')) OR (operation = 'sequence_decode' AND format NOT IN ('PNG', 'GIF', 'WEBP', 'TIFF'))
-  OR (operation = 'sequence_encode' AND format NOT IN ('GIF', 'WEBP', 'TIFF')) THEN 'NotImplemented' WHEN operation = 'still_decode' AND format = 'AVIF' THEN 'PortableAvif' END AS reason FROM f, o)
-SELECT format, operation, CASE WHEN reason IS NULL THEN 'ManifestBounded' WHEN reason = 'PortableAvif' THEN 'Restricted' ELSE 'Unavailable' END AS capability, reason FROM r""")
+r AS (SELECT format, operation, CASE WHEN (format = 'AVIF' AND operation IN ('still_decode', 'still_encode', 'sequence_decode', 'sequence_encode')) OR (operation = 'sequence_decode' AND format NOT IN ('PNG', 'GIF', 'WEBP', 'TIFF'))
+  OR (operation = 'sequence_encode' AND format NOT IN ('GIF', 'WEBP', 'TIFF')) THEN 'NotImplemented' WHEN format = 'WEBP' AND operation LIKE '%decode' THEN 'Vp8Tables' WHEN format = 'WEBP' AND operation LIKE '%encode' THEN 'LosslessOnly' END AS reason FROM f, o)
+SELECT format, operation, CASE WHEN reason IS NULL THEN 'ManifestBounded' WHEN reason = 'NotImplemented' THEN 'Unavailable' ELSE 'Restricted' END AS capability, reason FROM r""")
 def capability_matrix(spark, sf_dir):
     return catalog.capabilities(spark)
 
