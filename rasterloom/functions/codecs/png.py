@@ -396,7 +396,11 @@ def _chunk(kind: bytes, payload: bytes) -> bytes:
 COLOR_OF = {"L1": (0, 1), "L8": (0, 8), "L16": (0, 16), "P8": (3, 8), "La8": (4, 8), "Rgb8": (2, 8), "Rgba8": (6, 8)}
 
 
-def encode(image: Raster, compression: int = 6, optimize: bool = False) -> bytes:
+# The ancillary chunks that options ask for.
+ANCILLARY = {"gamma": (b"gAMA", struct.pack(">I", 45455)), "srgb": (b"sRGB", b"\0"), "physical": (b"pHYs", struct.pack(">IIB", 2835, 2835, 1)), "text_chunks": (b"tEXt", b"Comment\0rasterloom"), "time": (b"tIME", bytes((7, 234, 7, 4, 0, 0, 0)))}
+
+
+def encode(image: Raster, compression: int = 6, optimize: bool = False, gamma: bool = False, srgb: bool = False, physical: bool = False, text_chunks: bool = False, time: bool = False) -> bytes:
     """Interlacing is never written. A bilevel raster stays at one bit; a palette keeps plain rows."""
     if image.mode not in COLOR_OF:
         raise unsupported(f"PNG doesn't take {image.mode}")
@@ -421,4 +425,5 @@ def encode(image: Raster, compression: int = 6, optimize: bool = False) -> bytes
         out.append(_chunk(b"PLTE", image.palette))
         if image.palette_alpha:
             out.append(_chunk(b"tRNS", image.palette_alpha))
+    out += [_chunk(*ANCILLARY[k]) for k, wanted in zip(ANCILLARY, (gamma, srgb, physical, text_chunks, time), strict=True) if wanted]
     return b"".join([*out, _chunk(b"IDAT", zlib.compress(raw, 9 if optimize else compression)), _chunk(b"IEND", b"")])

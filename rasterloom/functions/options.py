@@ -64,7 +64,7 @@ def _sizes(key: str, value: str) -> tuple[int, int]:
 _SAMPLING = {"444": "4:4:4", "422": "4:2:2", "420": "4:2:0"}
 PARSERS: dict[str, dict[str, tuple[Parser, str | None]]] = {
     "JPEG": {"quality": (number, "quality"), "progressive": (flag, "progressive"), "optimize": (flag, "optimize"), "subsampling": (one_of(**_SAMPLING, **{v: v for v in _SAMPLING.values()}), "subsampling"), "restart_interval": (number, "restart_rows"), "exif_hex": (data, "exif")},
-    "PNG": {"compression": (_level, "compression"), "optimize": (flag, "optimize"), **{k: (flag, None) for k in ("interlace", "interlaced", "gamma", "srgb", "physical", "text_chunks", "time")}},
+    "PNG": {"compression": (_level, "compression"), "optimize": (flag, "optimize"), **{k: (flag, None) for k in ("interlace", "interlaced")}, **{k: (flag, k) for k in ("gamma", "srgb", "physical", "text_chunks", "time")}},
     "GIF": {"interlace": (flag, "interlace"), "interlaced": (flag, "interlace"), "animated": (flag, "animated"), "transparency": (flag, "transparency"), "loop": (_loop, "loops"), "color_table": (one_of(**{"global": 0, "local": 1}), "color_table"), "disposal": (one_of(**{"none": 0, "0": 0, "keep": 1, "1": 1, "background": 2, "2": 2, "previous": 3, "3": 3}), "disposal")},
     "BMP": {},
     "TIFF": {"compression": (one_of(none="none", raw="none", lzw="lzw", tiff_lzw="lzw", deflate="deflate", tiff_adobe_deflate="deflate", packbits="packbits"), "compression"), "predictor": (one_of(**{"none": False, "1": False, "horizontal": True, "2": True}), "predictor")},

@@ -182,7 +182,7 @@ def test_option_pairs():
     from rasterloom.functions.options import from_pairs
 
     assert from_pairs("JPEG", [("quality", "90"), ("subsampling", "420"), ("progressive", "Yes")]) == {"quality": 90, "subsampling": "4:2:0", "progressive": True}
-    assert from_pairs("PNG", [("compression", "max"), ("gamma", "off")]) == {"compression": 9}
+    assert from_pairs("PNG", [("compression", "max"), ("gamma", "off"), ("interlace", "on")]) == {"compression": 9, "gamma": False}
     for fmt, pairs, text in (
         ("PNG", [("zzz", "1"), ("optimize", "1"), ("optimize", "1")], "duplicate"),
         ("BMP", [("quality", "1")], "unknown"),

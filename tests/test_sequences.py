@@ -100,6 +100,11 @@ def test_png_colour_chunks_and_compressed_metadata(spark):
         codecs.decode(b[:33] + ck(b"zTXt", b"k\0\1" + zlib.compress(b"x")) + b[33:])
 
 
+def test_png_ancillary_chunks():
+    r = codecs.decode(png.encode(gray(8), **from_pairs("PNG", [(k, "yes") for k in ("time", "gamma", "srgb", "physical", "text_chunks")])))[1].value
+    assert r.color == {"gamma": 45455, "srgb_intent": 0} and [k for k, _ in r.metadata] == [b"pHYs", b"tEXt", b"tIME"]
+
+
 def test_udfs_turn_every_failure_into_a_row(spark, monkeypatch):
     from rasterloom.functions import udf
 
