@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from rasterloom.llm.common import materialize
 #: than LINE_SHARE of the host's. However large the host, more than LINE_MOST distinct documents suffice.
 LINE_FLOOR, LINE_SHARE, LINE_MOST = 5, 0.02, 200
 #: Copies count as one distinct document: a document is known by the least md5 of its 3-word windows, which near
-#: copies share as often as they share windows.
+#: copies share as often as they share windows. To save digests, windows that begin with a word of SKETCH_LETTERS
+#: code points or more stand for all, unless fewer than one word in SKETCH_FEW is that long.
+SKETCH_LETTERS, SKETCH_FEW = 7, 8
 #: A document is depleted if, without such lines, fewer than this share of its words is left.
 LEFT_SHARE = 0.2
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -69,9 +73,15 @@ def repeat_words(rows: DataFrame, w: str, out: str) -> DataFrame:
 
 
 def sketch(w: Column, text: Column) -> Column:
-    """What a document and its copies are known by: the least md5 of a 3-word window, or of a shorter text."""
-    windows = F.transform(w, lambda x, i: F.when(i < F.size(w) - 2, F.md5(F.concat_ws(" ", x, *_window(w, i)).cast("binary"))))
-    return F.coalesce(F.array_min(windows), F.md5(text.cast("binary")))
+    """What a document and its copies are known by: the least md5 of a 3-word window (see SKETCH_LETTERS), or of
+    a shorter text."""
+
+    def least(which: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.transform(w, lambda x, i: F.when(which(x) & (i < F.size(w) - 2), F.md5(F.concat_ws(" ", x, *_window(w, i)).cast("binary")))))
+
+    long = lambda x: F.length(x) >= SKETCH_LETTERS
+    enough = F.size(F.filter(w, long)) * SKETCH_FEW >= F.size(w)
+    return F.coalesce(F.when(enough, least(long)), least(lambda x: F.lit(True)), F.md5(text.cast("binary")))
 
 
 def examined(docs: DataFrame) -> DataFrame:

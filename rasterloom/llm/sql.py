@@ -48,7 +48,9 @@ ln AS (SELECT doc_id, source, unnest(l) AS x FROM d),
 nl AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '{_SPACE}+', ' ', 'g'), '[0-9]+', '0', 'g')) AS s,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM ln),
 hosts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-sk AS (SELECT doc_id, coalesce(list_min([md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1)]), md5(t)) AS known FROM d),
+sk AS (SELECT doc_id, coalesce(CASE WHEN len([x for x in w if length(x) >= {quality.SKETCH_LETTERS}]) * {quality.SKETCH_FEW} >= len(w) THEN
+      list_min([md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1) if length(w[i]) >= {quality.SKETCH_LETTERS}]) END,
+    list_min([md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) for i in range(1, len(w) - 1)]), md5(t)) AS known FROM d),
 fr AS (SELECT nl.source, nl.s FROM nl JOIN hosts USING (source) JOIN sk USING (doc_id) GROUP BY nl.source, nl.s, hosts.n
   HAVING count(DISTINCT known) > least({quality.LINE_MOST}, greatest({quality.LINE_FLOOR}, CAST({quality.LINE_SHARE} AS DOUBLE) * hosts.n))),
 gone AS (SELECT doc_id, sum(n) AS n FROM nl SEMI JOIN fr ON nl.source = fr.source AND nl.s = fr.s GROUP BY doc_id),
