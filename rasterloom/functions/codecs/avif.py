@@ -1,4 +1,4 @@
-"""AVIF at container level: boxes, items, properties, references. Pixels are not decoded."""
+"""AVIF at container level: boxes, items, properties, references, tracks, AV1 units. Pixels are not decoded."""
 
 from __future__ import annotations
 
@@ -124,6 +124,163 @@ def _extents(b: bytes, out: Items) -> None:
             at += off + length
 
 
+def properties(data: bytes) -> list[tuple[int, str, bool, list[int] | None, str | None]]:
+    """(item, kind, essential, numbers, text) of every association, with what the known kinds say.
+
+    ispe: width, height; pixi: bits of each channel; irot: quarter turns; imir: axis; pasp: two sides; clap: eight
+    numbers; colr: its type as text and, of nclx, primaries, transfer, matrix and range; auxC: its name; av1C:
+    profile, level, bits, monochrome and subsampling flags."""
+    out, _ = items(data)
+    rows = []
+    for item, place, essential in out.associations:
+        if not 0 < place <= len(out.properties):
+            continue
+        kind, b = out.properties[place - 1]
+        numbers = text = None
+        try:
+            if kind == "ispe":
+                numbers = list(struct.unpack_from(">II", b, 4))
+            elif kind == "pixi":
+                numbers = list(b[5 : 5 + b[4]])
+            elif kind in ("irot", "imir"):
+                numbers = [b[0] & (3 if kind == "irot" else 1)]
+            elif kind in ("pasp", "clap"):
+                numbers = list(struct.unpack_from(">II" if kind == "pasp" else ">8I", b))
+            elif kind == "colr":
+                text = b[:4].decode("latin1")
+                numbers = [*struct.unpack_from(">HHH", b, 4), b[10] >> 7] if text == "nclx" else None
+            elif kind == "auxC":
+                text = b[4:].split(b"\0")[0].decode("latin1")
+            elif kind == "av1C":
+                numbers = [b[1] >> 5, b[1] & 31, 8 if not b[2] & 0x40 else 12 if b[2] & 0x20 else 10, b[2] >> 4 & 1, b[2] >> 3 & 1, b[2] >> 2 & 1]
+        except (struct.error, IndexError) as e:
+            raise malformed(f"{kind} ends early", None, "avif_box") from e
+        rows.append((item, kind, essential, numbers, text))
+    return rows
+
+
+def samples(data: bytes) -> list[tuple[int, int, int, int, int, int]]:
+    """(track, sample, offset, size, time, duration) from the sample tables of every track, times in its own units."""
+    tables: list[dict] = []
+    for name, _, at, end in boxes(data):
+        b = data[at:end]
+        if name == "/moov/trak":
+            tables.append({})
+        elif name.startswith("/moov/trak/mdia/minf/stbl/") and tables:
+            tables[-1][name[-4:]] = b
+    rows = []
+    for track, t in enumerate(tables):
+        try:
+            rows += [(track, *x) for x in _samples(t)]
+        except (struct.error, KeyError) as e:
+            raise malformed("a sample table is missing or ends early", None, "avif_box") from e
+    return rows
+
+
+def _table(b: bytes, record: str) -> list[tuple]:
+    n, size = struct.unpack_from(">I", b, 4)[0], struct.calcsize(record)
+    if n * size > len(b) - 8:
+        raise malformed("a table ends early", None, "avif_box")
+    return list(struct.iter_unpack(record, b[8 : 8 + n * size]))
+
+
+def _samples(t: dict) -> list[tuple[int, int, int, int, int]]:
+    same, n = struct.unpack_from(">II", t["stsz"], 4)
+    if not same and 12 + 4 * n > len(t["stsz"]):
+        raise malformed("a table ends early", None, "avif_box")
+    sizes = [same] * min(n, MAX_SAMPLES) if same else [x for (x,) in struct.iter_unpack(">I", t["stsz"][12 : 12 + 4 * n])]
+    chunks = [x for (x,) in (_table(t["co64"], ">Q") if "co64" in t else _table(t["stco"], ">I"))]
+    runs = _table(t["stsc"], ">III")
+    per = [0] * len(chunks)
+    for (first, each, _), following in zip(runs, [*(r[0] for r in runs[1:]), len(chunks) + 1], strict=True):
+        for c in range(max(first, 1), min(following, len(chunks) + 1)):
+            per[c - 1] = each
+    times = (d for n, d in _table(t["stts"], ">II") for _ in range(min(n, MAX_SAMPLES)))
+    rows, i, time = [], 0, 0
+    for at, each in zip(chunks, per, strict=True):
+        for _ in range(each):
+            if i == len(sizes):
+                return rows
+            d = next(times, 0)
+            rows.append((i, at, sizes[i], time, d))
+            at, time, i = at + sizes[i], time + d, i + 1
+    return rows
+
+
+MAX_SAMPLES = 1 << 20
+
+
+def obus(data: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(type, temporal layer, spatial layer, payload offset, payload size) of the units of an AV1 stream."""
+    out, at = [], 0
+    while at < len(data):
+        head = data[at]
+        if head & 0x80:
+            raise malformed("a forbidden bit is set", at, "av1_obu")
+        extended, sized = head >> 2 & 1, head >> 1 & 1
+        if at + 1 + extended > len(data):
+            raise NeedMore(at + 1 + extended, at, "av1_obu")
+        layers = data[at + 1] if extended else 0
+        body = at + 1 + extended
+        size = len(data) - body
+        if sized:
+            size = shift = 0
+            while True:
+                if body >= len(data) or shift > 49:
+                    raise malformed("a size ends early", at, "av1_obu")
+                size |= (data[body] & 127) << shift
+                body, shift = body + 1, shift + 7
+                if not data[body - 1] & 128:
+                    break
+        if body + size > len(data):
+            raise NeedMore(body + size, at, "av1_obu")
+        out.append((head >> 3 & 15, layers >> 5, layers >> 3 & 3, body, size))
+        at = body + size
+    return out
+
+
+def sequence_header(payload: bytes) -> dict[str, int]:
+    """Profile, still and reduced flags, first level, and largest width and height of a sequence header."""
+    value, left = int.from_bytes(payload, "big"), 8 * len(payload)
+
+    def bits(n: int) -> int:
+        nonlocal left
+        left -= n
+        if left < 0:
+            raise malformed("a sequence header ends early", None, "av1_obu")
+        return value >> left & (1 << n) - 1
+
+    out = {"profile": bits(3), "still": bits(1), "reduced": bits(1)}
+    if out["reduced"]:
+        out["level"] = bits(5)
+    else:
+        delay = 0
+        if bits(1):
+            bits(64)
+            if bits(1):
+                zeros = 0
+                while not bits(1):
+                    zeros += 1
+                bits(min(zeros, 32) if zeros < 32 else 0)
+            if bits(1):
+                delay = bits(5) + 1
+                bits(42)
+        modelled, shown = delay > 0, bits(1)
+        for i in range(bits(5) + 1):
+            bits(12)
+            level = bits(5)
+            out.setdefault("level", level)
+            if level > 7:
+                bits(1)
+            if modelled and bits(1):
+                bits(2 * delay + 1)
+            if shown and bits(1):
+                bits(4)
+    wide, high = bits(4) + 1, bits(4) + 1
+    out["width"], out["height"] = bits(wide) + 1, bits(high) + 1
+    return out
+
+
 def inspect(data: bytes) -> Info:
     out, _ = items(data)
     if out.primary is None:

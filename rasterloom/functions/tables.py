@@ -84,7 +84,35 @@ class BmffBoxes:
             return
 
 
-FUNCTIONS = {"png_chunks": PngChunks, "jpeg_markers": JpegMarkers, "riff_chunks": RiffChunks, "gif_frames": GifFrames, "tiff_tags": TiffTags, "bmff_boxes": BmffBoxes}
+@udtf(returnType="item bigint, kind string, essential boolean, numbers array<bigint>, text string")
+class AvifProperties:
+    def eval(self, data: bytes) -> Iterator[tuple]:
+        try:
+            yield from avif.properties(bytes(data or b""))
+        except CodecError:
+            return
+
+
+@udtf(returnType="track int, sample int, offset bigint, size bigint, time bigint, duration bigint")
+class AvifSamples:
+    def eval(self, data: bytes) -> Iterator[tuple]:
+        try:
+            yield from avif.samples(bytes(data or b""))
+        except CodecError:
+            return
+
+
+@udtf(returnType="ordinal int, type int, temporal int, spatial int, offset bigint, size bigint")
+class Av1Units:
+    def eval(self, data: bytes) -> Iterator[tuple]:
+        try:
+            for i, unit in enumerate(avif.obus(bytes(data or b""))):
+                yield i, *unit
+        except CodecError:
+            return
+
+
+FUNCTIONS = {"png_chunks": PngChunks, "jpeg_markers": JpegMarkers, "riff_chunks": RiffChunks, "gif_frames": GifFrames, "tiff_tags": TiffTags, "bmff_boxes": BmffBoxes, "avif_properties": AvifProperties, "avif_samples": AvifSamples, "av1_units": Av1Units}
 
 
 def register(spark: SparkSession) -> None:

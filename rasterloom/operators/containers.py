@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,30 @@ def run_starts(runs: DataFrame, key: str, order: str, count: str) -> DataFrame:
     """Run-length table to ranges: first and last (exclusive) sample of each run."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return runs.withColumn("last", F.sum(count).over(w)).withColumn("first", F.col("last") - F.col(count))
+
+
+#: Well-formed lengths of PNG colour chunks of fixed size.
+COLOR_LENGTHS = {"sRGB": 1, "gAMA": 4, "cHRM": 32}
+
+
+def first_color_chunks(chunks: DataFrame, key: str) -> DataFrame:
+    """chunks(key, ordinal, kind, digits: the payload in hexadecimal) with `role`: color for the first well-formed
+    one of its kind, metadata for the others."""
+    n, nul = F.length("digits") / 2, F.expr("regexp_instr(digits, '^(..)*?00') > 0 AND left(digits, 2) <> '00' AND NOT digits rlike '^(([1-9A-F].)|(0[1-9A-F]))*00$'")
+    fixed = reduce(lambda c, x: c.when(F.col("kind") == x[0], n == x[1]), list(COLOR_LENGTHS.items())[1:], F.when(F.col("kind") == "sRGB", (n == 1) & F.col("digits").isin("00", "01", "02", "03")))
+    good = F.coalesce(fixed.when(F.col("kind") == "iCCP", nul), F.lit(False))
+    first = F.min(F.when(F.col("good"), F.col("ordinal"))).over(Window.partitionBy(key, "kind"))
+    return chunks.withColumn("good", good).withColumn("role", F.when(F.col("good") & (F.col("ordinal") == first), "color").otherwise("metadata")).drop("good")
+
+
+def obu_header(byte: Column) -> Column:
+    """Fields of the first byte of an AV1 unit."""
+    part = lambda shift, mask: F.shiftright(byte, shift).bitwiseAND(F.lit(mask))
+    return F.struct((part(7, 1) == 1).alias("forbidden"), part(3, 15).alias("type"), (part(2, 1) == 1).alias("extended"), (part(1, 1) == 1).alias("sized"))
+
+
+def leb128(value: Column) -> Column:
+    """A number in groups of seven bits, lowest first, in hexadecimal digits."""
+    groups = F.sequence(F.lit(0), F.floor((F.greatest(F.length(F.bin(value)), F.lit(1)) - 1) / 7).cast("int"))
+    group = lambda i: F.floor(value / F.pow(F.lit(128), i)).cast("bigint") % 128 + F.when(i < F.size(groups) - 1, 128).otherwise(0)
+    return F.array_join(F.transform(groups, lambda i: F.lpad(F.hex(group(i)), 2, "0")), "")

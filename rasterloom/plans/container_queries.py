@@ -160,3 +160,25 @@ def riff_extents(spark, sf_dir):
     size = F.expr("n div (ordinal + 2)")
     whole = 8 + size + size % 2
     return rows.groupBy("doc_id").agg((F.sum(whole) + 12).alias("riff_bytes"), (F.sum(F.when(F.col("ordinal") > 0, whole).otherwise(0)) + 20).alias("metadata_bytes"))
+
+
+@query("SELECT event_id, event_id % 256 >> 7 = 1 AS forbidden, CAST((event_id % 256 >> 3) & 15 AS INTEGER) AS type, (event_id >> 2) & 1 = 1 AS extended, (event_id >> 1) & 1 = 1 AS sized FROM events")
+def av1_obu_header(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", containers.obu_header((F.col("event_id") % 256).cast("int")).alias("h")).select("event_id", "h.*")
+
+
+@query("""WITH v AS (SELECT event_id, event_id * event_id AS v FROM events), g AS (SELECT event_id, v, greatest(CAST(ceil(length(ltrim(bin(v), '0')) / 7.0) AS INTEGER), 1) AS n FROM v)
+SELECT event_id, array_to_string([lpad(hex((v >> (7 * i)) % 128 + CASE WHEN i + 1 < n THEN 128 ELSE 0 END), 2, '0') for i in range(0, n)], '') AS digits FROM g""")
+def av1_leb128(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", containers.leb128(F.col("event_id") * F.col("event_id")).alias("digits"))
+
+
+_CHUNKS = "c AS (SELECT user_id AS image_id, event_id AS ordinal, CASE event_id % 4 WHEN 0 THEN 'sRGB' WHEN 1 THEN 'gAMA' WHEN 2 THEN 'cHRM' ELSE 'iCCP' END AS kind, repeat(lpad(hex(event_id // 4 % 7), 2, '0'), CAST(CASE event_id % 4 WHEN 0 THEN 1 + event_id // 28 % 2 WHEN 1 THEN 3 + event_id // 28 % 2 WHEN 2 THEN 31 + event_id // 28 % 2 ELSE 2 END AS INTEGER)) || CASE WHEN event_id % 8 = 3 THEN '00' WHEN event_id % 8 = 7 THEN '0041' ELSE '' END AS digits FROM events)"
+
+
+@query(f"""WITH {_CHUNKS}, g AS (SELECT *, CASE kind WHEN 'sRGB' THEN digits IN ('00', '01', '02', '03') WHEN 'gAMA' THEN length(digits) = 8 WHEN 'cHRM' THEN length(digits) = 64
+  ELSE list_position([digits[2 * i + 1:2 * i + 2] for i in range(0, length(digits) // 2)], '00') BETWEEN 2 AND length(digits) // 2 - 1 END AS good FROM c)
+SELECT image_id, ordinal, kind, CASE WHEN good AND ordinal = min(ordinal) FILTER (WHERE good) OVER (PARTITION BY image_id, kind) THEN 'color' ELSE 'metadata' END AS role FROM g""")
+def png_color_chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("user_id as image_id", "event_id as ordinal", "case event_id % 4 when 0 then 'sRGB' when 1 then 'gAMA' when 2 then 'cHRM' else 'iCCP' end as kind", "concat(repeat(lpad(hex(event_id div 4 % 7), 2, '0'), cast(case event_id % 4 when 0 then 1 + event_id div 28 % 2 when 1 then 3 + event_id div 28 % 2 when 2 then 31 + event_id div 28 % 2 else 2 end as int)), case when event_id % 8 = 3 then '00' when event_id % 8 = 7 then '0041' else '' end) as digits")
+    return containers.first_color_chunks(e, "image_id").select("image_id", "ordinal", "kind", "role")
