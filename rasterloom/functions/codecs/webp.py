@@ -478,22 +478,24 @@ def metadata_bytes(data: bytes) -> int:
 
 
 class _Writer:
+    """Values of some bits each, low bits first, packed in one step at the end."""
+
     def __init__(self):
-        self.v = self.n = 0
-        self.out = bytearray()
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
 
     def put(self, v: int, k: int) -> None:
-        self.v |= v << self.n
-        self.n += k
-        while self.n >= 8:
-            self.out.append(self.v & 255)
-            self.v >>= 8
-            self.n -= 8
+        self.extend(np.array([v]), np.array([k]))
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values.append(values.astype(np.int64))
+        self.sizes.append(sizes.astype(np.int64))
 
     def done(self) -> bytes:
-        if self.n:
-            self.out.append(self.v & 255)
-        return bytes(self.out)
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.packbits((values[item] >> place & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _lengths(counts: np.ndarray, limit: int = 15) -> list[int]:
@@ -548,8 +550,84 @@ def _write_code(out: _Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     return _codes(lengths)
 
 
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number of lengths or distances of 1 or more."""
+    n = v - 1
+    high = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    extra = np.where(n < 4, 0, high - 1)
+    symbol = np.where(n < 4, n, 2 * high + (n >> np.maximum(high - 1, 0) & 1))
+    return symbol, n & (1 << extra) - 1, extra
+
+
+LEAST_RUN, MOST_RUN = 4, 4096
+
+
+def _write_pixels(out: _Writer, argb: np.ndarray, top: bool) -> None:
+    """An entropy-coded image: literals, and runs of one colour as copies from the pixel before."""
+    out.put(0, 1)
+    if top:
+        out.put(0, 1)
+    n = len(argb)
+    same = np.r_[False, argb[1:] == argb[:-1]] if n else np.zeros(0, bool)
+    edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+    begin, length = edge[0::2], edge[1::2] - edge[0::2]
+    begin, length = begin[length >= LEAST_RUN], length[length >= LEAST_RUN]
+    pieces = -(-length // MOST_RUN)
+    which = np.repeat(np.arange(len(begin)), pieces)
+    part = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at, size = begin[which] + part * MOST_RUN, np.minimum(length[which] - part * MOST_RUN, MOST_RUN)
+    covered = np.zeros(n + 1, np.int64)
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, begin + length, -1)
+    literal = np.flatnonzero(np.cumsum(covered[:n]) == 0)
+    v = argb[literal]
+    symbol, extra, bits = _prefix(size)
+    green = np.concatenate([v >> 8 & 255, 256 + symbol])
+    channels = [green, v >> 16 & 255, v & 255, v >> 24 & 255, np.full(len(at), 1)]  # distance 2 of the near ones: one to the left
+    codes = [_write_code(out, _lengths(np.bincount(c, minlength=k))) for c, k in zip(channels, ALPHABET, strict=True)]
+    tables = []
+    for c, k in zip(codes, ALPHABET, strict=True):
+        t = np.zeros((k, 2), np.int64)
+        for s, code in c.items():
+            t[s] = code
+        tables.append(t)
+    rows = np.zeros((len(literal) + len(at), 4, 2), np.int64)
+    for i, c in enumerate(channels[:4]):
+        rows[: len(literal), i] = tables[i][c[: len(literal)]]
+    rows[len(literal) :, 0] = tables[0][256 + symbol]
+    rows[len(literal) :, 1] = np.stack([extra, bits], axis=1)
+    rows[len(literal) :, 2] = tables[4][channels[4]]
+    rows = rows[np.argsort(np.concatenate([literal, at]), kind="stable")]
+    out.extend(rows[:, :, 0].ravel(), rows[:, :, 1].ravel())
+
+
+def _guesses(px: np.ndarray) -> dict[int, np.ndarray]:
+    """Predictions of each pixel (h, w, 4) by the modes that need no pixel to the right."""
+    h, w, _ = px.shape
+    p = px.astype(np.int16)
+    left, up, corner = np.zeros_like(p), np.zeros_like(p), np.zeros_like(p)
+    left[:, 1:], up[1:], corner[1:, 1:] = p[:, :-1], p[:-1], p[:-1, :-1]
+    nearer = (np.abs(up - corner).sum(axis=2) < np.abs(left - corner).sum(axis=2))[:, :, None]
+    mean = left + up >> 1
+    half = mean - corner
+    out = {1: left, 2: up, 7: mean, 11: np.where(nearer, left, up), 12: np.clip(left + up - corner, 0, 255), 13: np.clip(mean + (half + (half < 0) >> 1), 0, 255)}
+    for g in out.values():
+        g[0, 1:], g[1:, 0], g[0, 0] = left[0, 1:], up[1:, 0], (255, 0, 0, 0)
+    return out
+
+
+def _cost(residual: np.ndarray) -> float:
+    """Bits that the channels' values take at their entropies."""
+    total = 0.0
+    for c in range(4):
+        n = np.bincount(residual[:, :, c].ravel(), minlength=256)
+        n = n[n > 0]
+        total += float((n * np.log2(n.sum() / n)).sum())
+    return total
+
+
 def encode_vp8l(rgba: np.ndarray) -> bytes:
-    """Literals under subtract-green and one group of prefix codes: lossless, with no copies."""
+    """Lossless: subtract-green, one predictor for the whole image where it pays, and runs as copies."""
     h, w, _ = rgba.shape
     if w > 16384 or h > 16384:
         raise CodecError("Dimensions", "a WebP has at most 16384 pixels a side")
@@ -561,16 +639,21 @@ def encode_vp8l(rgba: np.ndarray) -> bytes:
     out.put(0, 3)
     out.put(1, 1)
     out.put(2, 2)
+    px = rgba[:, :, [3, 0, 1, 2]].copy()
+    px[:, :, 1] -= px[:, :, 2]
+    px[:, :, 3] -= px[:, :, 2]
+    tried = {m: (px - g.astype(np.uint8)) for m, g in _guesses(px).items()}
+    costs = {m: _cost(r) for m, r in tried.items()}
+    best = min(costs, key=lambda m: (costs[m], m))
+    if costs[best] < _cost(px):
+        out.put(1, 1)
+        out.put(0, 2)
+        out.put(7, 3)  # blocks of 512 pixels a side
+        _write_pixels(out, np.full(-(-w // 512) * -(-h // 512), 255 << 24 | best << 8, np.int64), False)
+        px = tried[best]
     out.put(0, 1)
-    r, g, b, a = (rgba[:, :, i].ravel() for i in range(4))
-    r, b = r - g, b - g
-    out.put(0, 1)
-    out.put(0, 1)
-    codes = [_write_code(out, _lengths(np.bincount(v, minlength=n))) for v, n in zip((g, r, b, a, np.zeros(0, np.int64)), ALPHABET, strict=True)]
-    tables = [c for c in codes[:4]]
-    for values in zip(g.tolist(), r.tolist(), b.tolist(), a.tolist(), strict=True):
-        for t, v in zip(tables, values, strict=True):
-            out.put(*t[v])
+    v = px.astype(np.int64)
+    _write_pixels(out, (v[:, :, 0] << 24 | v[:, :, 1] << 16 | v[:, :, 2] << 8 | v[:, :, 3]).ravel(), True)
     return out.done()
 
 
