@@ -252,8 +252,10 @@ def encode_images(df: DataFrame, fmt: str, image: str = "image", policy_max_byte
     return df.mapInArrow(run, out)
 
 
-def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", **options) -> DataFrame:
-    """(key, ok, encoded, message) from rows (key, value: the frame struct of decode_frames), put in order of frame_index."""
+def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", policy_max_bytes: int | None = None, **options) -> DataFrame:
+    """(key, ok, encoded, message) from rows (key, value: the frame struct of decode_frames), put in order of frame_index.
+
+    A sequence longer than policy_max_bytes when encoded is refused."""
 
     def run(group, table):
         rows = sorted(table.column("value").to_pylist(), key=lambda v: v["frame_index"])
@@ -261,6 +263,8 @@ def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", **optio
             first = rows[0]
             parts = [Frame(raster_of(v["image"]), tuple(v["rect"][k] for k in ("left", "top", "width", "height")), (v["duration"]["num"], v["duration"]["den"]) if v["duration"] else None, v["disposal"] or 0) for v in rows]
             blob, message = codecs.encode_sequence(Sequence(first["canvas_width"], first["canvas_height"], parts, first["kind"], first["layout"], first["loop_count"]), fmt, **options), None
+            if policy_max_bytes is not None and len(blob) > policy_max_bytes:
+                raise CodecError("LimitExceeded", f"EncodedOutputBytes: {len(blob)} is over {policy_max_bytes}")
         except Exception as e:
             blob, message = None, str(e)
         return pa.table({key: pa.array([group[0].as_py()], table.column(key).type), "ok": [blob is not None], "encoded": pa.array([blob], pa.binary()), "message": pa.array([message], pa.string())})

@@ -106,3 +106,21 @@ class _SinkWriter(DataSourceWriter):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageSink)
+
+
+def _save(encoded: DataFrame, path: str, overwrite: bool) -> None:
+    register(encoded.sparkSession)
+    encoded.write.format("rasterloom").option("path", path).mode("overwrite" if overwrite else "append").save()
+
+
+def write_images(df: DataFrame, fmt: str, path: str, name: str = "name", image: str = "image", overwrite: bool = False, **options) -> None:
+    """Encode images and write each to the file that its `name` says. A row that can't be encoded fails the job, and
+    then no file appears."""
+    out = images.encode_images(df.select(F.col(name).alias("name"), F.col(image).alias("image")), fmt, **options)
+    _save(out.select("name", F.when(F.col("ok"), F.col("encoded")).otherwise(F.raise_error(F.concat(F.lit("not encoded: "), F.coalesce("error.message", F.lit("")))).cast("binary")).alias("encoded")), path, overwrite)
+
+
+def write_sequences(frames: DataFrame, fmt: str, path: str, name: str = "name", overwrite: bool = False, **options) -> None:
+    """The same for frames (name, value: the frame struct of decode_frames), a file for each name."""
+    out = images.encode_sequences(frames.select(F.col(name).alias("name"), "value"), fmt, key="name", **options)
+    _save(out.select("name", F.when(F.col("ok"), F.col("encoded")).otherwise(F.raise_error(F.concat(F.lit("not encoded: "), F.coalesce("message", F.lit("")))).cast("binary")).alias("encoded")), path, overwrite)

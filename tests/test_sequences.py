@@ -100,6 +100,25 @@ def test_png_colour_chunks_and_compressed_metadata(spark):
         codecs.decode(b[:33] + ck(b"zTXt", b"k\0\1" + zlib.compress(b"x")) + b[33:])
 
 
+def test_sinks_write_all_or_nothing(spark, tmp_path):
+    from rasterloom.sources import raster
+
+    rows = spark.createDataFrame([("a", bytearray(gif.encode_sequence(animation()))), ("b", bytearray(gif.encode_sequence(animation(loops=2))))], "name string, content binary")
+    frames = images.decode_frames(rows).where("ok").select("name", "value")
+    raster.write_sequences(frames, "GIF", str(tmp_path / "seq"))
+    out = raster.read(spark, str(tmp_path / "seq"), frames=True).collect()
+    assert len(out) == 4 and all(r.ok for r in out)
+    with pytest.raises(Exception, match="not encoded"):
+        raster.write_sequences(frames, "GIF", str(tmp_path / "short"), policy_max_bytes=10)
+    stills = frames.where("value.frame_index = 0").selectExpr("concat(name, '.png') as name", "value.image as image")
+    raster.write_images(stills, "PNG", str(tmp_path / "png"))
+    assert sorted(p.name for p in (tmp_path / "png").iterdir()) == ["a.png", "b.png"]
+    assert all(r.ok for r in raster.read(spark, str(tmp_path / "png")).collect())
+    with pytest.raises(Exception, match="not encoded"):
+        raster.write_images(stills, "PNG", str(tmp_path / "bad"), compression=99)
+    assert not [p for p in (tmp_path / "bad").glob("*.png")]
+
+
 def test_png_ancillary_chunks():
     r = codecs.decode(png.encode(gray(8), **from_pairs("PNG", [(k, "yes") for k in ("time", "gamma", "srgb", "physical", "text_chunks")])))[1].value
     assert r.color == {"gamma": 45455, "srgb_intent": 0} and [k for k, _ in r.metadata] == [b"pHYs", b"tEXt", b"tIME"]
