@@ -72,17 +72,6 @@ def png_chunk_table(spark, sf_dir):
     return spark.sql("SELECT b.image_id, c.ordinal, c.kind, c.crc_ok FROM __png_blobs b, LATERAL png_chunks(b.encoded) c")
 
 
-@query("SELECT DISTINCT label AS image_id, true AS close FROM embeddings")
-def roundtrip_jpeg(spark, sf_dir):
-    """Mean absolute difference of at most 12 levels on noise-like rasters, at quality 95."""
-    rasters = images.raster_column(raster_l8(spark, sf_dir))
-    blobs = images.encode_images(rasters, "JPEG", quality=95).select("image_id", "encoded")
-    back = images.decode_images(blobs, "encoded").select("image_id", F.col("value.pixels").alias("got")).join(rasters.select("image_id", F.col("image.pixels").alias("want")), "image_id")
-    level = lambda c, i: F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("int")
-    gaps = F.aggregate(F.sequence(F.lit(1), F.length("want")), F.lit(0), lambda s, i: s + F.abs(level(F.col("got"), i) - level(F.col("want"), i)))
-    return back.select("image_id", (gaps <= 12 * F.length("want")).alias("close"))
-
-
 @query("SELECT DISTINCT label AS image_id, i AS frame_index, CAST(i + 1 AS BIGINT) AS num, 'Canvas' AS layout FROM embeddings, (VALUES (0), (1), (2)) t(i)")
 def sequence_frames(spark, sf_dir):
     """Three frames of an image, coded as an animation and decoded to a row each."""

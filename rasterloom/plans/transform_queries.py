@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from rasterloom.functions.codecs.jpeg import TRANSFORM
+from rasterloom.functions import images
+from rasterloom.functions.codecs.jpeg import TRANSFORM, quant_table
 from rasterloom.operators import jpegmath, vp8math
-from rasterloom.plans.derive import table
+from rasterloom.plans.derive import SQL_L8, raster_l8, table
 from rasterloom.plans.registry import query
 
 _M = TRANSFORM.ravel().tolist()
@@ -35,6 +36,25 @@ def jpeg_forward_dct(spark, sf_dir):
     return _blocks(spark, sf_dir).select("vec_id", F.array_join(jpegmath.forward_dct(samples, _M).cast("array<string>"), ",").alias("coefficients"))
 
 
+_STEPS = quant_table(jpegmath.LUMINANCE, 95).tolist()
+
+
+@query(f"""WITH {_SQL_M}, q AS (SELECT [{', '.join(map(str, _STEPS))}] AS q), {SQL_L8},
+size AS (SELECT image_id, max(y) + 1 AS h FROM l8 GROUP BY image_id),
+pad AS (SELECT s.image_id, p.y, l8.x, l8.v FROM size s, LATERAL (SELECT unnest(range(0, CAST((s.h + 7) // 8 * 8 AS BIGINT))) AS y) p JOIN l8 ON l8.image_id = s.image_id AND l8.y = least(p.y, s.h - 1)),
+b AS (SELECT image_id, y // 8 AS r, x // 8 AS k, list(CAST(v AS BIGINT) - 128 ORDER BY y, x) AS x FROM pad GROUP BY ALL),
+f1 AS (SELECT image_id, r, k, m, {_sql_pass('x', 11, True, True)} AS w FROM b, m), f2 AS (SELECT image_id, r, k, m, {_sql_pass('w', 15, False, True)} AS c FROM f1),
+l AS (SELECT image_id, r, k, m, [sign(c[i]) * ((abs(c[i]) + 4 * q[i]) // (8 * q[i])) * q[i] for i in range(1, 65)] AS c FROM f2, q),
+i1 AS (SELECT image_id, r, k, m, {_sql_pass('c', 11, False, False)} AS w FROM l), i2 AS (SELECT image_id, r, k, {_sql_pass('w', 18, True, False)} AS s FROM i1),
+px AS (SELECT image_id, 8 * r + i // 8 AS y, 8 * k + i % 8 AS x, least(greatest(s[i + 1] + 128, 0), 255) AS v FROM i2, range(0, 64) t(i)),
+rows AS (SELECT px.image_id, y, string_agg(lpad(hex(CAST(v AS BIGINT)), 2, '0'), '' ORDER BY x) AS row FROM px JOIN size ON size.image_id = px.image_id AND px.y < size.h GROUP BY px.image_id, y)
+SELECT image_id, sha256(from_hex(string_agg(row, '' ORDER BY y))) AS pixels_sha256 FROM rows GROUP BY image_id""")
+def roundtrip_jpeg(spark, sf_dir):
+    """Gray images coded at quality 95 and decoded: what transform, quantisation and inverse make of them, to the byte."""
+    blobs = images.encode_images(images.raster_column(raster_l8(spark, sf_dir)), "JPEG", quality=95).select("image_id", "encoded")
+    return images.decode_images(blobs, "encoded").select("image_id", F.sha2("value.pixels", 256).alias("pixels_sha256"))
+
+
 def _sql_four(c: str, at: str, step: int) -> str:
     """Four outputs of one VP8 inverse transform pass over elements at, at + step, ... of c."""
     e = lambda k: f"{c}[{at} + {k * step} + 1]"
