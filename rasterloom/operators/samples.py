@@ -99,6 +99,16 @@ def gif_pass(y: Column) -> Column:
     return F.when(y % 8 == 0, 0).when(y % 8 == 4, 1).when(y % 4 == 2, 2).otherwise(3)
 
 
+def array_runs(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, start, value, length) of the runs of equal values in each row's array: no shuffle, no window."""
+    v = F.col(values)
+    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+    rows = rows.where(F.size(v) > 0).select(key, values, starts.alias("__s"))
+    ends = F.concat(F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), F.array(F.size(v)))
+    rows = rows.select(key, F.explode(F.zip_with("__s", ends, lambda a, b: F.struct(a.alias("start"), F.get(v, a).alias("value"), (b - a).cast("bigint").alias("length")))).alias("r"))
+    return rows.select(key, "r.*")
+
+
 def runs(stream: DataFrame, key: str = "blob_id", pos: str = "pos", value: str = "b") -> DataFrame:
     """(key, start, value, length): maximal runs of equal values, by gaps and islands."""
     w = Window.partitionBy(key).orderBy(pos)

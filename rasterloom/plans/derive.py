@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +43,21 @@ rgb AS (
   FROM l8 WHERE x < 63 GROUP BY image_id, y, x // 3)"""
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def byte_values(content: pd.Series) -> pd.Series:
+    """The bytes of each blob as numbers: SQL has no function for that but conversions of single digits."""
+    return content.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32))
+
+
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(blob_id, pos, b): UTF-8 bytes of each whole text."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("t"))
-    at = F.sequence(F.lit(1), F.length("t"))
-    cells = rows.where(F.length("t") > 0).select("blob_id", "t", F.explode(at).alias("i"))
-    return cells.select("blob_id", (F.col("i") - 1).alias("pos"), F.expr("cast(conv(hex(substring(t, i, 1)), 16, 10) as int)").alias("b"))
+    """(blob_id, bytes): the UTF-8 bytes of each whole text that isn't empty, as an array of numbers."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("t")).where(F.length("t") > 0)
+    return rows.select("blob_id", byte_values("t").alias("bytes"))
 
 
 SQL_BYTES = """bytes AS (
-  SELECT blob_id, CAST(i - 1 AS INTEGER) AS pos, CAST('0x' || h[2 * i - 1:2 * i] AS INTEGER) AS b
-  FROM (SELECT doc_id AS blob_id, hex(encode(substr(text, 1, 256))) AS h, unnest(range(1, CAST(strlen(substr(text, 1, 256)) AS BIGINT) + 1)) AS i FROM documents))"""
+  SELECT blob_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, CAST('0x' || unnest(l) AS INTEGER) AS b
+  FROM (SELECT doc_id AS blob_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents))"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
