@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: A word is a run of characters other than the ASCII white space \x20 and \x09-\x0D; ``bytes.split()`` splits on
 #: exactly that set. A worker remembers the hashes of so many words (about 10 MB).
@@ -41,6 +43,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a literal. createDataFrame copies rows through Python workers of their own on the executors,
+    which stay there beside those that the operators use."""
+    kind = StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(kind.names, row, strict=True)) for row in rows])  # one literal, however many rows
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(kind))))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialize
 
+#: Edges a file of a round holds, about 4 MB: a table of few edges is not spread over all shuffle partitions.
+FILE_EDGES = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges(u, v), u > v. Large star: each node links its larger neighbours to its least neighbour (or itself).
@@ -26,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links(u, v) with u <> v: root is the least node that it reaches."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
     edges, mark = materialize(edges), None
+    files = max(1, -(-edges.count() // FILE_EDGES))  # no star has more edges than it was given
     while True:  # ends: each round lowers some node's root or changes nothing, and usually takes a few rounds
-        edges = materialize(_star(_star(edges, True), False))
+        edges = materialize(_star(_star(edges, True), False).coalesce(files))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from re import _constants as C
 from re import _parser
 
+from rasterloom.llm.common import small_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,7 +102,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     clauses = [(i, j, t, len(s)) for i, q in queries_of(rules).items() if q for j, s in enumerate(q) for t in sorted(s)]
     if not clauses:
         return None
-    table = docs.sparkSession.createDataFrame(clauses, "rule int, alternative int, trigram string, need int")
+    table = small_table(docs.sparkSession, clauses, "rule int, alternative int, trigram string, need int")
     # Rows repeated whole have one k, so trigrams are made distinct first.
     held = postings(docs, sorted({c[2] for c in clauses})).groupBy("k").agg(F.collect_set("trigram").alias("trigrams"))
     hits = held.select("k", F.explode("trigrams").alias("trigram")).join(F.broadcast(table), "trigram")

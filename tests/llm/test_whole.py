@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, mixing, quality
+from rasterloom.llm import ann, components, mixing, quality, secretscan
+from rasterloom.llm.common import small_table
 
 
 def _letters(n):
@@ -49,3 +50,27 @@ def test_ann_repeated_rows_use_up_no_places(spark):
         if i:
             best[i] = max(best.get(i, -np.inf), v[0])
     assert got == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_few_edges_are_one_file_whatever_the_partitions(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.range(60).selectExpr("id + 1 as u", "id as v").unionByName(spark.range(100, 140).selectExpr("id + 100 as u", "100 as v"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components.components(edges)
+        assert len(found.inputFiles()) == 1
+        assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(200, 240)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_small_tables_start_no_python(spark):
+    rows = [(1, "a\"\\\n\0\u20ac\U0001f600", -(1 << 62)), (2, None, None)]
+    got = small_table(spark, rows, "a int, b string, c bigint")
+    assert [tuple(r) for r in got.collect()] == rows and got.dtypes == [("a", "int"), ("b", "string"), ("c", "bigint")]
+    assert small_table(spark, [], "a int").count() == 0
+    docs = spark.range(3).selectExpr("id as doc_id", "'password = abcdefgh1234' as text", "id as k")
+    plan = secretscan.candidates(docs, secretscan.RULES)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "ExternalRDD" not in plan and "LogicalRDD" not in plan
