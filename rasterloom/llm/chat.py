@@ -131,7 +131,7 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     places are to count its ids instead of code points; null roles and texts are empty, a null conv_id is
     one conversation, and rows that repeat (conv_id, turn) are turns of their own in the order of role, text.
 
-    Out, as tables in the shared folder:
+    Out, as tables in the shared folder (nodes: such a table joined with a row for each range of leaves):
     segments: leaf (long, in depth-first order), start, end (places in the stream), position (of the first
       token; they go on by one, see position_ids), tokens (string), ids (array<int>, null without a
       tokenizer; each turn is encoded by itself), attention (array<struct<leaf, start, end>>: the ancestors' intervals, and whose
@@ -151,15 +151,14 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     on_path = leaves.select("leaf", F.explode(steps).alias("x")).select("leaf", "x.depth", "x.node")
     owner = on_path.groupBy("node").agg(F.min("leaf").alias("leaf"))
     one = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("formatted").alias("formatted"), F.first("ids").alias("ids"), F.first("size").alias("size"), F.first("before").alias("position"))
-    owned = materialize(one.join(owner, "node"))
-    # Places in the stream: running sums in each range of leaves, after the sums of the ranges before it.
-    part = F.shiftrightunsigned("leaf", 40)
-    sums = owned.groupBy(part.alias("part")).agg(F.sum("size").alias("size"))
-    base = sums.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("base"))
+    # Places in the stream: running sums in each range of leaves, after the sums of the ranges before it. The texts
+    # are written once, with the running sums; a row for each range is broadcast to what reads them.
     order = Window.partitionBy("part").orderBy("leaf", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nodes = owned.withColumn("part", part).withColumn("sum", F.sum("size").over(order)).join(F.broadcast(base), "part")
+    owned = materialize(one.join(owner, "node").withColumn("part", F.shiftrightunsigned("leaf", 40)).withColumn("sum", F.sum("size").over(order)))
+    sums = owned.groupBy("part").agg(F.sum("size").alias("size"))
+    base = materialize(sums.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("base")))
     end = F.col("base") + F.col("sum")
-    nodes = materialize(nodes.select("node", "parent", "depth", "role", "formatted", "ids", "leaf", (end - F.col("size")).alias("start"), end.alias("end"), "position"))
+    nodes = owned.join(F.broadcast(base), "part").select("node", "parent", "depth", "role", "formatted", "ids", "leaf", (end - F.col("size")).alias("start"), end.alias("end"), "position")
     segments = nodes.groupBy("leaf").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("position").alias("position"), F.sort_array(F.collect_list(F.struct("depth", "formatted", "ids"))).alias("parts"))
     ancestors = on_path.join(nodes.select("node", F.col("leaf").alias("owner"), "start", "end"), "node").where("owner <> leaf")
     spans = ancestors.groupBy("leaf", "owner").agg(F.min("start").alias("start"), F.max("end").alias("end"))  # a path meets a segment in one stretch

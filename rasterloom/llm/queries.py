@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import ann, chat, langid, mixing, neardup, quality, secretscan, spm, substring, tokencount
-from rasterloom.llm.common import documents
+from rasterloom.llm.common import documents, small_table
 
 #: Where the tokenizer files are; None: the installed package of public tokenizers.
 TOKENIZERS: str | None = None
@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    extra = small_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     conversations = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     segments, _, leaves, members = chat.prefix_tree(conversations)
     return chat.read_conversations(segments, leaves, members)

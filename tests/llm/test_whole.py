@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm import ann, components, mixing, quality, secretscan
-from rasterloom.llm.common import small_table
+from rasterloom.llm import ann, chat, components, mixing, quality, queries, secretscan
+from rasterloom.llm.common import materialize, small_table
 
 
 def _letters(n):
@@ -74,3 +74,16 @@ def test_small_tables_start_no_python(spark):
     docs = spark.range(3).selectExpr("id as doc_id", "'password = abcdefgh1234' as text", "id as k")
     plan = secretscan.candidates(docs, secretscan.RULES)._jdf.queryExecution().toString()
     assert "ExistingRDD" not in plan and "ExternalRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_chat_texts_are_written_three_times(spark, sf_dir, monkeypatch):
+    written = []
+
+    def noted(df):
+        written.append(df.columns)
+        return materialize(df)
+
+    monkeypatch.setattr(chat, "materialize", noted)
+    out = queries.op2_chat_tree(spark, sf_dir)
+    assert sum("formatted" in c or "tokens" in c for c in written) == 3  # turns, nodes, segments
+    assert out.count() == 1 + spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
