@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
 
 def in_row() -> WindowSpec:
     return Window.partitionBy("image_id", "y").orderBy("x")
@@ -99,14 +105,47 @@ def gif_pass(y: Column) -> Column:
     return F.when(y % 8 == 0, 0).when(y % 8 == 4, 1).when(y % 4 == 2, 2).otherwise(3)
 
 
-def array_runs(rows: DataFrame, key: str, values: str) -> DataFrame:
-    """(key, start, value, length) of the runs of equal values in each row's array: no shuffle, no window."""
-    v = F.col(values)
-    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
-    rows = rows.where(F.size(v) > 0).select(key, values, starts.alias("__s"))
-    ends = F.concat(F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), F.array(F.size(v)))
-    rows = rows.select(key, F.explode(F.zip_with("__s", ends, lambda a, b: F.struct(a.alias("start"), F.get(v, a).alias("value"), (b - a).cast("bigint").alias("length")))).alias("r"))
-    return rows.select(key, "r.*")
+RUN_ROWS, RUN_BYTES = 65_536, 65_536
+
+
+def runs_of(blobs: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the blob, start, value, length) of the runs of equal bytes, as columns of at most RUN_ROWS + RUN_BYTES rows.
+
+    Blobs are read RUN_BYTES at a time, a run that goes on is carried over."""
+    parts, rows = [], 0
+    for n, blob in enumerate(blobs):
+        b = np.frombuffer(blob, np.uint8)
+        start = 0  # of the run that isn't over
+        for at in range(0, len(b), RUN_BYTES):
+            end = min(at + RUN_BYTES, len(b))
+            new = np.flatnonzero(b[max(at, 1) : end] != b[max(at, 1) - 1 : end - 1]) + max(at, 1)
+            edges = np.concatenate([[start], new, [len(b)] if end == len(b) else []]).astype(np.int64)
+            start = int(edges[-1])
+            parts.append((np.full(len(edges) - 1, n), edges[:-1], b[edges[:-1]], np.diff(edges)))
+            rows += len(edges) - 1
+            if rows >= RUN_ROWS:
+                yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                parts, rows = [], 0
+    if rows:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def byte_runs(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, start, value, length) of the runs of equal bytes of each row's binary: no shuffle, no window.
+
+    Runs leave in small batches while a blob is read, so memory follows Spark's Arrow batches of the input alone."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = StructType([rows.schema[key], *StructType.fromDDL("start int, value int, length bigint").fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, start, value, length in runs_of(x.as_buffer() or b"" for x in batch.column(1)):
+                own = [pa.array(x.astype(t), f.type) for x, t, f in zip((start, value, length), (np.int32, np.int32, np.int64), list(arrow)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), *own], schema=arrow)
+
+    return rows.select(key, content).mapInArrow(run, out)
 
 
 def runs(stream: DataFrame, key: str = "blob_id", pos: str = "pos", value: str = "b") -> DataFrame:

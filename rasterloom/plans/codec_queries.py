@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rasterloom.operators import checksum, jpegmath, samples
-from rasterloom.plans.derive import SQL_BYTES, SQL_L8, raster_l8, table, text_bytes
+from rasterloom.plans.derive import SQL_BYTES, SQL_L8, raster_l8, table, text_blobs, text_bytes
 from rasterloom.plans.registry import query
 
 
@@ -19,8 +19,7 @@ def adler32_text(spark, sf_dir):
 @query()
 def crc32_text(spark, sf_dir):
     """SQL would take a step for each byte of the longest text; tests/test_whole_texts.py holds it against zlib."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("t"))
-    return rows.where(F.length("t") > 0).select("blob_id", F.crc32("t").alias("crc"))
+    return text_blobs(spark, sf_dir).select("blob_id", F.crc32("content").alias("crc"))
 
 
 @query("SELECT doc_id, CAST(2 + 5 * greatest(ceil(strlen(text) / 65535.0), 1) + strlen(text) + 4 AS BIGINT) AS stored FROM documents")
@@ -69,7 +68,7 @@ def png_inflated_len(spark, sf_dir):
 @query(f"""WITH {SQL_BYTES}, m AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY blob_id ORDER BY pos) = b THEN 0 ELSE 1 END AS new FROM bytes), r AS (SELECT *, sum(new) OVER (PARTITION BY blob_id ORDER BY pos) AS island FROM m)
 SELECT blob_id, min(pos) AS start, any_value(b) AS value, count(*) AS length FROM r GROUP BY blob_id, island""")
 def packbits_runs(spark, sf_dir):
-    return samples.array_runs(text_bytes(spark, sf_dir), "blob_id", "bytes")
+    return samples.byte_runs(text_blobs(spark, sf_dir), "blob_id", "content")
 
 
 _Z = "z AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {n})" for i, n in enumerate(jpegmath.zigzag())) + ") t(position, place))"

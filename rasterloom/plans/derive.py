@@ -49,10 +49,14 @@ def byte_values(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32))
 
 
+def text_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(blob_id, content): the UTF-8 bytes of each whole text that isn't empty."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("content")).where(F.length("content") > 0)
+
+
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(blob_id, bytes): the UTF-8 bytes of each whole text that isn't empty, as an array of numbers."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("t")).where(F.length("t") > 0)
-    return rows.select("blob_id", byte_values("t").alias("bytes"))
+    """text_blobs with an array of numbers for each."""
+    return text_blobs(spark, sf_dir).select("blob_id", byte_values("content").alias("bytes"))
 
 
 SQL_BYTES = """bytes AS (
