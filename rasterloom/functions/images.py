@@ -273,10 +273,15 @@ def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", policy_
     return frames.select(key, "value").groupBy(key).applyInArrow(run, f"{key} {kind}, ok boolean, encoded binary, message string")
 
 
-def raster_column(samples: DataFrame, key: str = "image_id") -> DataFrame:
-    """(key, image) of 8-bit gray rasters from exploded samples (key, y, x, v), rows first and then images."""
+def raster_column(samples: DataFrame, key: str = "image_id", strip_rows: int | None = None) -> DataFrame:
+    """(key, image) of 8-bit gray rasters from exploded samples (key, y, x, v), rows first and then images.
+
+    With strip_rows, (key, strip, image): an image for each strip of so many rows, for formats that limit the height."""
     two = F.lpad(F.hex("v"), 2, "0")
-    rows = samples.groupBy(key, "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", two.alias("h")))), lambda p: p["h"]), "").alias("row"), F.count(F.lit(1)).alias("w"))
-    images = rows.groupBy(key).agg(F.max("w").alias("width"), F.count(F.lit(1)).alias("height"), F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda r: r["row"]).alias("rows"))
+    keys = [key]
+    if strip_rows:
+        samples, keys = samples.withColumn("strip", F.floor(F.col("y") / strip_rows).cast("int")), [key, "strip"]
+    rows = samples.groupBy(*keys, "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", two.alias("h")))), lambda p: p["h"]), "").alias("row"), F.count(F.lit(1)).alias("w"))
+    images = rows.groupBy(*keys).agg(F.max("w").alias("width"), F.count(F.lit(1)).alias("height"), F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda r: r["row"]).alias("rows"))
     image = F.struct("width", "height", F.lit("L8").alias("mode"), F.unhex(F.array_join("rows", "")).alias("pixels"), F.lit(None).cast("binary").alias("palette_rgb"), F.lit(None).cast("binary").alias("palette_alpha"))
-    return images.select(key, image.alias("image"))
+    return images.select(*keys, image.alias("image"))
