@@ -252,10 +252,11 @@ def encode_images(df: DataFrame, fmt: str, image: str = "image", policy_max_byte
     return df.mapInArrow(run, out)
 
 
-def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", policy_max_bytes: int | None = None, **options) -> DataFrame:
+def encode_sequences(frames: DataFrame, fmt: str, key: str | tuple[str, ...] = "image_id", policy_max_bytes: int | None = None, **options) -> DataFrame:
     """(key, ok, encoded, message) from rows (key, value: the frame struct of decode_frames), put in order of frame_index.
 
-    A sequence longer than policy_max_bytes when encoded is refused."""
+    The key is a column or several. A sequence longer than policy_max_bytes when encoded is refused."""
+    keys = [key] if isinstance(key, str) else list(key)
 
     def run(group, table):
         rows = sorted(table.column("value").to_pylist(), key=lambda v: v["frame_index"])
@@ -267,10 +268,10 @@ def encode_sequences(frames: DataFrame, fmt: str, key: str = "image_id", policy_
                 raise CodecError("LimitExceeded", f"EncodedOutputBytes: {len(blob)} is over {policy_max_bytes}")
         except Exception as e:
             blob, message = None, str(e)
-        return pa.table({key: pa.array([group[0].as_py()], table.column(key).type), "ok": [blob is not None], "encoded": pa.array([blob], pa.binary()), "message": pa.array([message], pa.string())})
+        return pa.table({**{k: pa.array([g.as_py()], table.column(k).type) for k, g in zip(keys, group, strict=True)}, "ok": [blob is not None], "encoded": pa.array([blob], pa.binary()), "message": pa.array([message], pa.string())})
 
-    kind = frames.schema[key].dataType.simpleString()
-    return frames.select(key, "value").groupBy(key).applyInArrow(run, f"{key} {kind}, ok boolean, encoded binary, message string")
+    out = StructType([frames.schema[k] for k in keys] + StructType.fromDDL("ok boolean, encoded binary, message string").fields)
+    return frames.select(*keys, "value").groupBy(*keys).applyInArrow(run, out)
 
 
 def raster_column(samples: DataFrame, key: str = "image_id", strip_rows: int | None = None) -> DataFrame:

@@ -30,3 +30,8 @@ def test_webp_round_trip_of_strips_in_order(spark, sf_dir, monkeypatch):
     whole = sorted(map(tuple, QUERIES["roundtrip_webp"](spark, sf_dir).collect()))
     monkeypatch.setattr(image_queries, "STRIP", 3)
     assert sorted(map(tuple, QUERIES["roundtrip_webp"](spark, sf_dir).collect())) == whole
+
+
+def test_sequence_frames(spark, tall):
+    want = [(k, i, i + 1, "Canvas") for k in (0, 1) for i in range(3)]
+    assert sorted(map(tuple, QUERIES["sequence_frames"](spark, tall[0]).collect())) == want
