@@ -3,17 +3,14 @@
 from pyspark.sql import functions as F
 
 from rasterloom.operators import checksum, jpegmath, samples
-from rasterloom.plans.derive import SQL_BYTES, SQL_L8, raster_l8, table, text_blobs, text_bytes
+from rasterloom.plans.derive import SQL_BYTES, SQL_L8, raster_l8, table, text_blobs
 from rasterloom.plans.registry import query
 
 
 @query(f"""WITH {SQL_BYTES}, n AS (SELECT blob_id, count(*) AS n FROM bytes GROUP BY blob_id) SELECT blob_id, n.n AS n_bytes, CAST(((n.n + sum((n.n - pos) * b)) % 65521) * 65536 + (1 + sum(b)) % 65521 AS BIGINT) AS adler FROM bytes JOIN n USING (blob_id) GROUP BY blob_id, n.n""")
 def adler32_text(spark, sf_dir):
-    add = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    placed = F.transform("bytes", lambda x, i: x.cast("bigint") * i)
-    g = text_bytes(spark, sf_dir).select("blob_id", F.size("bytes").cast("bigint").alias("n"), add(F.col("bytes")).alias("total"), add(placed).alias("placed"))
     n = F.col("n")
-    return g.select("blob_id", n.alias("n_bytes"), checksum.adler32(F.col("total"), n * F.col("total") - F.col("placed"), n).alias("adler"))
+    return checksum.byte_sums(text_blobs(spark, sf_dir), "blob_id", "content").select("blob_id", n.alias("n_bytes"), checksum.adler32(F.col("total"), F.col("weighted"), n).alias("adler"))
 
 
 @query()

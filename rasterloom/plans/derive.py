@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,22 +39,11 @@ rgb AS (
   FROM l8 WHERE x < 63 GROUP BY image_id, y, x // 3)"""
 
 
-@pandas_udf(ArrayType(IntegerType()))
-def byte_values(content: pd.Series) -> pd.Series:
-    """The bytes of each blob as numbers: SQL has no function for that but conversions of single digits."""
-    return content.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32))
-
-
 def text_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(blob_id, content): the UTF-8 bytes of each whole text that isn't empty."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-8").alias("content")).where(F.length("content") > 0)
 
 
-def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text_blobs with an array of numbers for each."""
-    return text_blobs(spark, sf_dir).select("blob_id", byte_values("content").alias("bytes"))
-
-
 SQL_BYTES = """bytes AS (
   SELECT blob_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, CAST('0x' || unnest(l) AS INTEGER) AS b
   FROM (SELECT doc_id AS blob_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents))"""

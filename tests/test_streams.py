@@ -2,10 +2,11 @@
 
 import itertools
 import tracemalloc
+import zlib
 
 import numpy as np
 
-from rasterloom.operators import samples
+from rasterloom.operators import checksum, samples
 
 
 def test_runs_leave_in_small_batches():
@@ -39,3 +40,19 @@ def test_runs_query_has_no_arrays_of_bytes(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(1, 0, 97, 2), (1, 2, 98, 1)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "Generate" not in plan
+
+
+def test_sums_need_no_memory_for_each_byte_of_input(spark, tmp_path):
+    from rasterloom.queries import QUERIES
+
+    blob = b"\xff\xfe" * 10_000_000
+    tracemalloc.start()
+    n, total, weighted = checksum.sums_of(blob)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6 and (n + weighted) % 65521 << 16 | (1 + total) % 65521 == zlib.adler32(blob)
+    texts = ["ÿ" * 300_000, "a" * 65_536, "b" * 65_537, "", None, "c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["adler32_text"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(i, len(t.encode()), zlib.adler32(t.encode())) for i, t in enumerate(texts) if t]
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
